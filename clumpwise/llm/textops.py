@@ -185,10 +185,10 @@ def window_hashes(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.
         src = np.repeat(first[long_] - out_first[long_], lens) + ramp(out_first[long_], lens)
         out[ramp(out_first[long_], lens)] = h[src]
     for d in np.flatnonzero((count > 0) & (count < width)):
-        v = _U(0xA24BAED4963EE407) + _U(count[d])
-        for x in words[first[d] : first[d + 1]]:
-            v = mix(np.asarray([v * _U(0x9FB21C651E98DF25) + x], _U))[0]
-        out[out_first[d]] = v
+        v = np.full(1, 0xA24BAED4963EE407 + int(count[d]), _U)
+        for k in range(first[d], first[d + 1]):
+            v = mix(v * _U(0x9FB21C651E98DF25) + words[k : k + 1])
+        out[out_first[d]] = v[0]
     return out, out_first
 
 
