@@ -18,7 +18,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -89,15 +89,15 @@ def shard_groups(
         F.when(F.col("bytes") * grains > total, F.col("_kk_key")).otherwise(grain).alias("_kk_item")
     ).agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
 
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["bytes", "_kk_item"], ascending=[False, True], ignore_index=True)
-        shard = difference([int(x) for x in pdf["bytes"]], shards)
-        parts = -(-pdf["n"] // SLOT_ROWS)
-        return pd.DataFrame({"_kk_item": pdf["_kk_item"], "shard": pd.Series(shard, dtype="int32"), "_kk_parts": parts})
+    def deal(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("bytes", "descending"), ("_kk_item", "ascending")])
+        shard = difference(table.column("bytes").to_pylist(), shards)
+        parts = [-(-n // SLOT_ROWS) for n in table.column("n").to_pylist()]
+        return pa.table({"_kk_item": table.column("_kk_item"), "shard": pa.array(shard, pa.int32()), "_kk_parts": pa.array(parts, pa.int64())})
 
     # at most 2 * grains rows: one task, recomputed if its executor is lost
     dealt = cut(
-        items.groupBy(F.lit(0).alias("_kk_all")).applyInPandas(deal, "_kk_item string, shard int, _kk_parts long")
+        items.groupBy(F.lit(0).alias("_kk_all")).applyInArrow(deal, "_kk_item string, shard int, _kk_parts long")
     )
     placed = (
         rows.join(F.broadcast(heavy.select("_kk_key", F.col("_kk_key").alias("_kk_heavy"))), "_kk_key", "left")
