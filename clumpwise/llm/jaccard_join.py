@@ -4,9 +4,11 @@ Two texts link when their shingle sets have Jaccard similarity of at least
 3/4, so a partner of a set of ``a`` shingles holds at least ``ceil(3a/4)`` of
 them, and any two linked sets of sizes a and b share ``T = ceil(3(a+b)/7)``.
 As in DivideSkip, each document's lists are divided: the
-``a - ceil(3a/4) + 1`` shortest are merged, and one hit there makes a
-candidate; the long ones are never read as lists but probed by binary search in
-the candidate's own sorted set, keeping pairs that reach T occurrences.
+``k = a - ceil(3a/4) + 1`` shortest are merged, the long ones are never read as
+lists. A pair that meets in c of the merged lists can reach T only if
+``c >= T - L``, L being the long lists of the document whose merged part ends
+first (at most the larger of a - k and b - k); such pairs are probed by binary
+search in each other's sorted set and kept if they reach T occurrences.
 
 Lists are told apart by their length: one round counts all lists that fall into
 documents' lowest hashes, and lists of ``HEAVY`` or more (the ``KNOWN`` longest
@@ -16,10 +18,11 @@ is only a matter of cost; the search is exact under any order.
 * Documents with equal sets are one class; each task posts a class once.
 * Lists are merged by bucket in tasks of bounded size; the very long ones are
   split into chunks by class.
-* In a list every member is first probed against a few leaders only. Then only
-  members outside their list's main component are paired with the members of
-  other components, so no list of near copies is expanded into all its pairs,
-  and no link between different components is missed.
+* All pairs are counted in lists of up to ``SHORT`` members. In longer ones
+  every member is first probed against two leaders only; then only members
+  outside their list's main component are paired with the members of other
+  components. So no list of near copies is expanded into all its pairs, and no
+  link between different components is missed.
 """
 
 from __future__ import annotations
@@ -28,19 +31,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clumpwise.llm.components import connected
 from clumpwise.llm.textops import SPACED, cut, map_arrow, mix, text_slices, window_hashes, word_hashes, word_spans
 
 WIDTH = 5
-#: Documents in whose prefix a shingle must lie to count as heavy.
-HEAVY = 16
+#: Classes (by task) in whose lowest hashes a shingle must lie to count as heavy.
+HEAVY = 3
 #: Most heavy shingles that are broadcast (8 bytes each).
-KNOWN = 1 << 18
+KNOWN = 1 << 20
 #: Postings of one bucket, and of one chunk of a list.
 BUCKET, CHUNK = 1_000_000, 100_000
+#: Members up to which all pairs of a list are counted; longer lists go by leaders first.
+SHORT = 8
 #: Postings that a task gathers before it deals them to buckets.
 FLUSH = 2_000_000
 #: Bits of the filter of candidate classes: 4 MB, at any size of input.
@@ -149,21 +154,27 @@ def heavy_lists(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         h, c = h[order], c[order].astype(np.int64)
         cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         n = np.add.reduceat(c, cuts)
-        keep = n >= HEAVY
-        return pa.table({"h": h[cuts][keep].view(np.int64), "n": n[keep]})
+        h, n = h[cuts][n >= HEAVY], n[n >= HEAVY]
+        return pa.table({"n": (lengths := np.unique(n)), "h": pa.array([h[n == x].tobytes() for x in lengths], pa.binary())})
 
     dealt = map_arrow(docs.select("doc_id", "text"), scan, "bucket long, h binary, c binary")
-    found = dealt.groupBy("bucket").applyInArrow(total, "h long, n long")
-    rows = found.orderBy(F.desc("n"), "h").limit(KNOWN).collect()
-    h = np.asarray([r[0] for r in rows], np.int64).view(_U)
-    n = np.asarray([r[1] for r in rows], np.int64)
+    found = cut(dealt.groupBy("bucket").applyInArrow(total, "n long, h binary"))
+    least, held = 1 << 62, 0
+    for n, k in found.groupBy("n").agg(F.sum(F.length("h") / 8)).orderBy(F.desc("n")).limit(KNOWN).collect():
+        if (held := held + k) > KNOWN:
+            break
+        least = n
+    rows = found.where(F.col("n") >= least).collect()
+    h = np.frombuffer(b"".join(r[1] for r in rows), _U)
+    n = np.repeat(np.asarray([r[0] for r in rows], np.int64), [len(r[1]) // 8 for r in rows])
     order = np.argsort(h)
     return h[order], n[order]
 
 
 def merged_lists(docs: DataFrame, buckets: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """The merged short lists: rows of kind 0 are candidate pairs (a, b) with leaders, of
-    kind 1 members (t, a, n, pos) of lists of three or more, of kind 2 leaders (t, a, n) of chunks."""
+    """The merged short lists: rows of kind 0 are pairs (a, b) of sizes (n, m) that meet ``times`` in short
+    lists of this bucket, or 0 times: a leader and a member of a long one; of kind 1 members (t, a, n) of
+    long lists, of kind 2 leaders (t, a, n) of chunks."""
     schema = pa.schema([("bucket", pa.int64()), *((x, pa.binary()) for x in ("h", "cls", "n", "pos"))])
     known = docs.sparkSession.sparkContext.broadcast(heavy)
 
@@ -217,20 +228,32 @@ def merged_lists(docs: DataFrame, buckets: int, heavy: tuple[np.ndarray, np.ndar
         keep = np.repeat(sizes > 1, sizes)
         h, cls, n, pos, sizes = h[keep], cls[keep], n[keep], pos[keep], sizes[sizes > 1]
         if not len(h):
-            return pa.table({k: pa.array([], pa.int64()) for k in ("kind", "t", "a", "b", "n", "pos")})
+            return pa.table({k: pa.array([], pa.int64()) for k in ("kind", "t", "a", "b", "n", "m", "times")})
         cuts = np.cumsum(sizes) - sizes
-        by_size = np.lexsort((cls, n, np.repeat(np.arange(len(sizes)), sizes)))
-        pairs = []
-        for leader in (cuts, cuts + sizes - 1, by_size[cuts], by_size[cuts + sizes // 2]):
-            lead = np.repeat(leader, sizes)
-            low, high = np.minimum(n, n[lead]), np.maximum(n, n[lead])
-            t = needed(n, n[lead])
-            good = (cls != cls[lead]) & (4 * low >= 3 * high) & (n - pos >= t) & (n[lead] - pos[lead] >= t)
-            pairs.append(np.stack([cls[lead][good], cls[good]], 1))
-        pairs = np.sort(np.concatenate(pairs), 1)
-        pairs = np.unique(pairs, axis=0)
+        few = sizes <= SHORT
+        met = [np.zeros((0, 2), np.int64)]
+        for m in range(2, SHORT + 1):
+            x, y = np.triu_indices(m, 1)
+            at = cuts[sizes == m][:, None]
+            x, y = (at + x).ravel(), (at + y).ravel()
+            good = 4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])
+            met.append(np.stack([cls[x][good], cls[y][good]], 1))
+        met, times = np.unique(np.concatenate(met), axis=0, return_counts=True)
+        size = dict(zip(cls.tolist(), n.tolist(), strict=True))
+        many = np.repeat(~few, sizes)
+        long_cuts, long_sizes = cuts[~few], sizes[~few]
+        by_size = np.flatnonzero(many)[np.lexsort((cls[many], n[many], np.repeat(np.arange(len(long_sizes)), long_sizes)))]
+        star = []
+        for leader in (long_cuts, by_size[np.cumsum(long_sizes) - long_sizes]):
+            lead = np.repeat(leader, long_sizes)
+            x = np.flatnonzero(many)
+            t = needed(n[x], n[lead])
+            good = (cls[x] != cls[lead]) & (4 * np.minimum(n[x], n[lead]) >= 3 * np.maximum(n[x], n[lead])) & (n[x] - pos[x] >= t) & (n[lead] - pos[lead] >= t)
+            star.append(np.stack([cls[lead][good], cls[x][good]], 1))
+        star = np.unique(np.sort(np.concatenate(star), 1), axis=0)
+        pairs = np.concatenate([met, star])
+        times = np.concatenate([times, np.zeros(len(star), np.int64)])
         t = (np.int64(key[0].as_py()) << 32) | h.astype(np.int64)
-        many = np.repeat(sizes > 2, sizes)
         split = cuts[sizes > CHUNK // 4]
         none = lambda x: np.zeros(len(x), np.int64)
         return pa.table(
@@ -239,17 +262,21 @@ def merged_lists(docs: DataFrame, buckets: int, heavy: tuple[np.ndarray, np.ndar
                 "t": np.concatenate([none(pairs), t[many], h[split].astype(np.int64)]),
                 "a": np.concatenate([pairs[:, 0], cls[many], cls[split]]),
                 "b": np.concatenate([pairs[:, 1], none(cls[many]), none(split)]),
-                "n": np.concatenate([none(pairs), n[many], n[split]]),
-                "pos": np.concatenate([none(pairs), pos[many], none(split)]),
+                "n": np.concatenate([np.asarray([size[c] for c in pairs[:, 0].tolist()], np.int64), n[many], n[split]]),
+                "m": np.concatenate([np.asarray([size[c] for c in pairs[:, 1].tolist()], np.int64), none(cls[many]), none(split)]),
+                "times": np.concatenate([times, none(cls[many]), none(split)]),
             }
         )
 
     dealt = map_arrow(docs.select("doc_id", "text"), scan, "bucket long, h binary, cls binary, n binary, pos binary")
-    return dealt.groupBy("bucket").applyInArrow(merge, "kind long, t long, a long, b long, n long, pos long")
+    return dealt.groupBy("bucket").applyInArrow(merge, "kind long, t long, a long, b long, n long, m long, times long")
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls, rep, s): the sets of ``wanted`` classes, packed. A fixed-size filter spares the shuffle most others."""
+    """(cls, rep, s): the sets of ``wanted`` classes, packed to 48 bits a shingle.
+
+    A filter of fixed size keeps most other classes out of the shuffle.
+    """
     bits = 1 << FILTER_BITS
     slot = F.pmod(F.col("cls"), F.lit(bits))
     rows = (
@@ -265,32 +292,32 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> Da
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held = [], 0
-        names = ["doc_id", "cls", "fb", "s"]
-
-        def batch() -> pa.RecordBatch:
-            ids, a, b, s = zip(*out, strict=True)
-            return pa.record_batch([pa.array(ids, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.binary())], names)
-
-        # every row of a wanted class goes on: which of them stands for its class is known by doc_id only
-        for part in batches:
-            ids = part.column(0)
-            for row, s in shingle_sets(part):
-                if not len(s):
-                    continue
-                a, b = fingerprint(s)
-                at = a % bits
-                if known.value[at >> 3] >> (at & 7) & 1 and ids[row].as_py() is not None:
-                    out.append((ids[row].as_py(), a, b, s.tobytes()))
-                    held += len(s)
-                    if held > 500_000:
-                        yield batch()
-                        out, held = [], 0
+
+        def packed() -> pa.RecordBatch:
+            a, b, s = zip(*out, strict=True)
+            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.binary())], ["cls", "fb", "s"])
+
+        for (a, b), s, _ in _new_sets(batches):
+            at = a % bits
+            if known.value[at >> 3] >> (at & 7) & 1:
+                out.append((a, b, (s >> _U(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()))
+                held += len(s)
+                if held > 500_000:
+                    yield packed()
+                    out, held = [], 0
         if out:
-            yield batch()
+            yield packed()
 
-    found = map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), scan, "doc_id long, cls long, fb long, s binary")
-    reps = classes.join(wanted, "cls", "left_semi").select("cls", "fb", F.col("rep").alias("doc_id"))
-    return found.join(reps, ["cls", "fb", "doc_id"]).groupBy("cls", "fb").agg(F.min("doc_id").alias("rep"), F.first("s").alias("s")).drop("fb")
+    found = map_arrow(docs.select("doc_id", "text"), scan, "cls long, fb long, s binary")
+    reps = classes.join(wanted, "cls", "left_semi").select("cls", "fb", "rep")
+    return found.groupBy("cls", "fb").agg(F.first("s").alias("s")).join(reps, ["cls", "fb"]).select("cls", "rep", "s")
+
+
+def _unpacked(s: pa.Scalar) -> np.ndarray:
+    b = np.frombuffer(s.as_buffer(), np.uint8).reshape(-1, 6)
+    out = np.zeros((len(b), 8), np.uint8)
+    out[:, :6] = b
+    return out.reshape(-1).view(_U)
 
 
 def probed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -301,7 +328,7 @@ def probed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             u, v, sa, sb = (batch.column(k) for k in range(4))
             keep = []
             for k in range(batch.num_rows):
-                x, y = np.frombuffer(sa[k].as_buffer(), _U), np.frombuffer(sb[k].as_buffer(), _U)
+                x, y = _unpacked(sa[k]), _unpacked(sb[k])
                 if len(x) > len(y):
                     x, y = y, x
                 hit = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
@@ -314,22 +341,34 @@ def probed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_arrow(pairs.join(b, "b").join(a, "a").select("u", "v", "sa", "sb"), probe, "u long, v long")
 
 
-def remaining_pairs(members: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lists' members in different components, one of them outside its list's main component."""
+def reaching(pairs: DataFrame) -> Column:
+    """c >= T - L for pairs of sizes (n, m) that meet ``times`` in merged lists."""
+    a, b = F.col("n"), F.col("m")
+    t = F.floor((3 * (a + b) + 6) / 7)
+    return F.col("times") >= t - F.greatest(a - prefix_length_column(a), b - prefix_length_column(b))
+
+
+def remaining_pairs(members: DataFrame, label: DataFrame, met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of long lists' members in different components that meet often enough, short lists included.
+
+    Of two components one at least is not its list's main one, so the join runs
+    between the members outside the main component and all members.
+    """
     m = members.join(label, "a", "left").withColumn("c", F.coalesce("component", "a"))
     each = m.groupBy("t", "c").agg(F.count("*").alias("k"))
     main = each.groupBy("t").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("many")).where("many > 1")
-    m = cut(m.join(main, "t").select("t", "a", "n", "pos", "c", "main"))
-    few = m.where("c <> main").select("t", F.col("a").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("c").alias("c2"))
-    t = F.floor((3 * (F.col("n") + F.col("n2")) + 6) / 7)
+    m = cut(m.join(main, "t").select("t", "a", "n", "c", "main"))
+    few = m.where("c <> main").select("t", F.col("a").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
     good = (
-        (F.col("c") != F.col("c2"))
+        (F.col("c") != F.col("d"))
         & ((F.col("c") == F.col("main")) | (F.col("a") < F.col("b")))
-        & (4 * F.least("n", "n2") >= 3 * F.greatest("n", "n2"))
-        & (F.col("n") - F.col("pos") >= t)
-        & (F.col("n2") - F.col("pos2") >= t)
+        & (4 * F.least("n", "m") >= 3 * F.greatest("n", "m"))
     )
-    return m.join(few, "t").where(good).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = m.join(few, "t").where(good).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n", "m", F.lit(1).cast("long").alias("times"))
+    pairs = pairs.groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("times").alias("times"))
+    short = met.select("a", "b", F.col("times").alias("more"))
+    pairs = pairs.join(short, ["a", "b"], "left").withColumn("times", F.col("times") + F.coalesce("more", F.lit(0)))
+    return pairs.where(reaching(pairs)).select("a", "b")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -347,21 +386,25 @@ def near_copies(docs: DataFrame) -> DataFrame:
     posted = classes.agg(F.sum(prefix_length_column("n"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-posted // BUCKET))
     lists = cut(merged_lists(docs, buckets, heavy_lists(docs, buckets)))
-    pairs = lists.where("kind = 0").select("a", "b").union(_between_chunks(lists)).distinct()
-    pairs = cut(pairs)
-    wanted = cut(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(lists.where("kind = 1").select("a")).distinct())
-    sets = cut(candidate_sets(docs, wanted, classes))
-    links = cut(probed(pairs, sets))
+    met = lists.where("kind = 0").groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("times").alias("times"), F.min("times").alias("least"))
+    met = cut(met)
+    pairs = cut(met.where(reaching(met) | (F.col("least") == 0)).select("a", "b").union(_between_chunks(lists)).distinct())
+    links = cut(probed(pairs, _sets_of(docs, pairs, classes)))
     found = connected(links)
     label = classes.join(found, F.col("rep") == F.col("node")).select(F.col("cls").alias("a"), "component")
-    more = cut(remaining_pairs(lists.where("kind = 1").select("t", "a", "n", "pos"), label).join(pairs, ["a", "b"], "left_anti"))
+    more = cut(remaining_pairs(lists.where("kind = 1").select("t", "a", "n"), label, met).join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        found = connected(links.union(probed(more, sets)))
+        found = connected(links.union(probed(more, _sets_of(docs, more, classes))))
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select("cls", "fb", F.coalesce("component", "rep").alias("component_id"))
     linked = rows.where("n > 0").join(named, ["cls", "fb"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.union(rows.where("n = 0").select("doc_id", "n", "doc_id"))
 
 
+def _sets_of(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    return cut(candidate_sets(docs, cut(wanted), classes))
+
+
 def _between_chunks(lists: DataFrame) -> DataFrame:
     """Pairs of the leaders of one list's chunks with the least of them."""
     leaders = lists.where("kind = 2").select("t", "a").distinct()
@@ -369,5 +412,6 @@ def _between_chunks(lists: DataFrame) -> DataFrame:
     return leaders.join(least, "t").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def prefix_length_column(n: str):
-    return F.col(n) - F.floor((3 * F.col(n) + 3) / 4) + 1
+def prefix_length_column(n: Column | str) -> Column:
+    n = F.col(n) if isinstance(n, str) else n
+    return n - F.floor((3 * n + 3) / 4) + 1
