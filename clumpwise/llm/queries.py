@@ -33,6 +33,15 @@ def op6_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from clumpwise.llm.token_transducer import count_tokens
+
+    found = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clumpwise.llm.jaccard_join import near_copies
 
@@ -42,6 +51,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_karmarkar_karp": op1_karmarkar_karp,
     "op6_positional_index": op6_positional_index,
+    "op7_token_transducer": op7_token_transducer,
     "op8_jaccard_join": op8_jaccard_join,
 }
 
