@@ -48,11 +48,20 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))
 
 
+def op9_shared_prefix_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from clumpwise.llm.trie_pieces import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_karmarkar_karp": op1_karmarkar_karp,
     "op6_positional_index": op6_positional_index,
     "op7_token_transducer": op7_token_transducer,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_shared_prefix_viterbi": op9_shared_prefix_viterbi,
 }
 
 ORACLE_SQL: dict[str, str] = {}
