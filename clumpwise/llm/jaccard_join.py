@@ -10,8 +10,7 @@ lists. A pair that meets in c of the merged lists can reach T only if
 first (at most the larger of a - k and b - k); such pairs are probed by binary
 search in each other's sorted set and kept if they reach T occurrences.
 
-Lists are told apart by their length: one round counts all lists that fall into
-documents' lowest hashes, and lists of ``HEAVY`` or more (the ``KNOWN`` longest
+Lists are told apart by their length: two rounds count those that can be merged, and lists of ``HEAVY`` or more (the ``KNOWN`` longest
 of them, a bounded table) come last in the order of every document. The order
 is only a matter of cost; the search is exact under any order.
 
@@ -19,9 +18,10 @@ is only a matter of cost; the search is exact under any order.
 * Lists are merged by bucket in tasks of bounded size; the very long ones are
   split into chunks by class.
 * All pairs are counted in lists of up to ``SHORT`` members. In longer ones
-  every member is first probed against two leaders only; then only members
-  outside their list's main component are paired with the members of other
-  components. So no list of near copies is expanded into all its pairs, and no
+  every member is first probed against two leaders only: the least class, and
+  the one whose lists are longest, which stands closest to what a group of near
+  copies has in common; then only members outside their list's main component
+  are paired with the members of other components. So no list of near copies is expanded into all its pairs, and no
   link between different components is missed.
 """
 
@@ -40,6 +40,8 @@ from clumpwise.llm.textops import SPACED, cut, map_arrow, mix, text_slices, wind
 WIDTH = 5
 #: Classes (by task) in whose lowest hashes a shingle must lie to count as heavy.
 HEAVY = 3
+#: Share of heavy shingles from which all of a set's lists are counted.
+COMMON = 0.25
 #: Most heavy shingles that are broadcast (8 bytes each).
 KNOWN = 1 << 20
 #: Postings of one bucket, and of one chunk of a list.
@@ -129,8 +131,23 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> _U(32)) * _U(buckets)) >> _U(32)
 
 
-def heavy_lists(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The longest lists: shingles in rising order and their lengths. At most ``KNOWN`` are sent to the driver."""
+def _lengths(s: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The known length of each shingle's list, else 0."""
+    h, n = known
+    if not len(h):
+        return np.zeros(len(s), np.int64)
+    at = np.minimum(np.searchsorted(h, s), len(h) - 1)
+    return np.where(h[at] == s, n[at], 0)
+
+
+def heavy_lists(docs: DataFrame, buckets: int, before: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The longest lists: shingles in rising order and their lengths. At most ``KNOWN`` are sent to the driver.
+
+    The first round counts the lists of every set's lowest hashes. Sets of which
+    a quarter (``COMMON``) turns out heavy will reach beyond these, so a second
+    round counts the lists of all their other shingles.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(before)
     schema = pa.schema([("bucket", pa.int64()), ("h", pa.binary()), ("c", pa.binary())])
 
     def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
@@ -140,7 +157,13 @@ def heavy_lists(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for _, s, _ in _new_sets(batches):
-            parts.append(s[: prefix_length(len(s))])
+            k = prefix_length(len(s))
+            if known.value is None:
+                parts.append(s[:k])
+            elif np.count_nonzero(_lengths(s[:k], known.value)) >= COMMON * k:
+                parts.append(s[k:])
+            else:
+                continue
             held += len(parts[-1])
             if held >= FLUSH:
                 yield counted(parts)
@@ -167,84 +190,87 @@ def heavy_lists(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     rows = found.where(F.col("n") >= least).collect()
     h = np.frombuffer(b"".join(r[1] for r in rows), _U)
     n = np.repeat(np.asarray([r[0] for r in rows], np.int64), [len(r[1]) // 8 for r in rows])
+    if before is not None:
+        h, n = np.concatenate([before[0], h]), np.concatenate([before[1], n])
+        longest = np.argsort(-n, kind="stable")[:KNOWN]
+        h, n = h[longest], n[longest]
     order = np.argsort(h)
     return h[order], n[order]
 
 
 def merged_lists(docs: DataFrame, buckets: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """The merged short lists: rows of kind 0 are pairs (a, b) of sizes (n, m) that meet ``times`` in short
-    lists of this bucket, or 0 times: a leader and a member of a long one; of kind 1 members (t, a, n) of
-    long lists, of kind 2 leaders (t, a, n) of chunks."""
-    schema = pa.schema([("bucket", pa.int64()), *((x, pa.binary()) for x in ("h", "cls", "n", "pos"))])
+    lists of this bucket (pos 1: early enough in one of them), or 0 times: a leader and a member of a long
+    one; of kind 1 members (t, a, n, pos) of long lists, of kind 2 leaders (t, a, n) of chunks."""
+    schema = pa.schema([("bucket", pa.int64()), *((x, pa.binary()) for x in ("h", "cls", "n", "w", "pos"))])
     known = docs.sparkSession.sparkContext.broadcast(heavy)
 
-    def ordered(s: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
-        """The merged part of a set, and the lengths of its lists where any is heavy."""
+    def ordered(s: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, int]:
+        """The merged part of a set, the lengths of its lists where any is heavy, and the mean length."""
         k = prefix_length(len(s))
-        h, n = known.value
-        if not len(h):
-            return s[:k], None
-        at = np.minimum(np.searchsorted(h, s[:k]), len(h) - 1)
-        if not (h[at] == s[:k]).any():
-            return s[:k], None
-        at = np.minimum(np.searchsorted(h, s), len(h) - 1)
-        length = np.where(h[at] == s, n[at], 0)
+        if not _lengths(s[:k], known.value).any():
+            return s[:k], None, 0
+        length = _lengths(s, known.value)
         order = np.argsort(length, kind="stable")[:k]
-        return s[order], length[order]
+        return s[order], length[order], int(length.mean() * 16)
 
-    def packed(h: list, cls: list, n: list, many: list) -> pa.RecordBatch:
+    def packed(h: list, cls: list, n: list, many: list, w: list) -> pa.RecordBatch:
         sizes = [len(x) for x in h]
         pos = np.concatenate([np.arange(x) for x in sizes])
         h, cls, n = np.concatenate(h), np.repeat(np.asarray(cls, np.int64), sizes), np.repeat(np.asarray(n, np.uint32), sizes)
+        w = np.repeat(np.asarray(w, np.uint32), sizes)
         bucket = _bucket(h, buckets)
         length = np.concatenate([np.zeros(x, np.int64) if m is None else m for x, m in zip(sizes, many, strict=True)])
         for i in np.flatnonzero(length > CHUNK):  # a chunk goes to a bucket of its own choice
             chunk = int(mix(cls[i : i + 1].view(_U) ^ h[i])[0]) % int(-(-length[i] // CHUNK))
             bucket[i] = _bucket(mix(h[i : i + 1] + _U(chunk)), buckets)[0]
         low = (h & _U(0xFFFFFFFF)).astype(np.uint32)
-        return _dealt(bucket, [low, cls, n, np.minimum(pos, 65535).astype(np.uint16)], schema)
+        return _dealt(bucket, [low, cls, n, w, np.minimum(pos, 65535).astype(np.uint16)], schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, parts = 0, ([], [], [], [])
+        held, parts = 0, ([], [], [], [], [])
         for (cls, _), s, _ in _new_sets(batches):
-            h, many = ordered(s)
-            for part, x in zip(parts, (h, cls, len(s), many), strict=True):
+            h, many, w = ordered(s)
+            for part, x in zip(parts, (h, cls, len(s), many, w), strict=True):
                 part.append(x)
             held += len(h)
             if held >= FLUSH:
                 yield packed(*parts)
-                held, parts = 0, ([], [], [], [])
+                held, parts = 0, ([], [], [], [], [])
         if held:
             yield packed(*parts)
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        h, cls, n, pos = _gathered(table, {"h": np.uint32, "cls": np.int64, "n": np.uint32, "pos": np.uint16})
+        h, cls, n, w, pos = _gathered(table, {"h": np.uint32, "cls": np.int64, "n": np.uint32, "w": np.uint32, "pos": np.uint16})
         order = np.lexsort((cls, h))
-        h, cls, n, pos = h[order], cls[order], n[order].astype(np.int64), pos[order].astype(np.int64)
-        own = np.concatenate([[True], (h[1:] != h[:-1]) | (cls[1:] != cls[:-1])])
-        h, cls, n, pos = h[own], cls[own], n[own], pos[own]
+        own = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (cls[order][1:] != cls[order][:-1])])
+        h, cls, n, w, pos = (x[order][own].astype(np.int64) for x in (h, cls, n, w, pos))
         cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         sizes = np.diff(np.append(cuts, len(h)))
         keep = np.repeat(sizes > 1, sizes)
-        h, cls, n, pos, sizes = h[keep], cls[keep], n[keep], pos[keep], sizes[sizes > 1]
+        h, cls, n, w, pos = (x[keep] for x in (h, cls, n, w, pos))
+        sizes = sizes[sizes > 1]
         if not len(h):
-            return pa.table({k: pa.array([], pa.int64()) for k in ("kind", "t", "a", "b", "n", "m", "times")})
+            return pa.table({k: pa.array([], pa.int64()) for k in ("kind", "t", "a", "b", "n", "m", "times", "pos")})
         cuts = np.cumsum(sizes) - sizes
         few = sizes <= SHORT
-        met = [np.zeros((0, 2), np.int64)]
-        for m in range(2, SHORT + 1):
-            x, y = np.triu_indices(m, 1)
-            at = cuts[sizes == m][:, None]
+        met, first = [np.zeros((0, 2), np.int64)], [np.zeros(0, bool)]
+        for k in range(2, SHORT + 1):
+            x, y = np.triu_indices(k, 1)
+            at = cuts[sizes == k][:, None]
             x, y = (at + x).ravel(), (at + y).ravel()
             good = 4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])
-            met.append(np.stack([cls[x][good], cls[y][good]], 1))
-        met, times = np.unique(np.concatenate(met), axis=0, return_counts=True)
+            x, y = x[good], y[good]
+            met.append(np.stack([cls[x], cls[y]], 1))
+            first.append(np.minimum(n[x] - pos[x], n[y] - pos[y]) >= needed(n[x], n[y]))
+        met, which, times = np.unique(np.concatenate(met), axis=0, return_inverse=True, return_counts=True)
+        early = np.bincount(which.reshape(-1), weights=np.concatenate(first), minlength=len(met)) > 0
         size = dict(zip(cls.tolist(), n.tolist(), strict=True))
         many = np.repeat(~few, sizes)
         long_cuts, long_sizes = cuts[~few], sizes[~few]
-        by_size = np.flatnonzero(many)[np.lexsort((cls[many], n[many], np.repeat(np.arange(len(long_sizes)), long_sizes)))]
+        by_weight = np.flatnonzero(many)[np.lexsort((cls[many], -w[many], np.repeat(np.arange(len(long_sizes)), long_sizes)))]
         star = []
-        for leader in (long_cuts, by_size[np.cumsum(long_sizes) - long_sizes]):
+        for leader in (long_cuts, by_weight[np.cumsum(long_sizes) - long_sizes]):
             lead = np.repeat(leader, long_sizes)
             x = np.flatnonzero(many)
             t = needed(n[x], n[lead])
@@ -253,6 +279,7 @@ def merged_lists(docs: DataFrame, buckets: int, heavy: tuple[np.ndarray, np.ndar
         star = np.unique(np.sort(np.concatenate(star), 1), axis=0)
         pairs = np.concatenate([met, star])
         times = np.concatenate([times, np.zeros(len(star), np.int64)])
+        early = np.concatenate([early, np.ones(len(star), bool)]).astype(np.int64)
         t = (np.int64(key[0].as_py()) << 32) | h.astype(np.int64)
         split = cuts[sizes > CHUNK // 4]
         none = lambda x: np.zeros(len(x), np.int64)
@@ -265,11 +292,12 @@ def merged_lists(docs: DataFrame, buckets: int, heavy: tuple[np.ndarray, np.ndar
                 "n": np.concatenate([np.asarray([size[c] for c in pairs[:, 0].tolist()], np.int64), n[many], n[split]]),
                 "m": np.concatenate([np.asarray([size[c] for c in pairs[:, 1].tolist()], np.int64), none(cls[many]), none(split)]),
                 "times": np.concatenate([times, none(cls[many]), none(split)]),
+                "pos": np.concatenate([early, pos[many], none(split)]),
             }
         )
 
-    dealt = map_arrow(docs.select("doc_id", "text"), scan, "bucket long, h binary, cls binary, n binary, pos binary")
-    return dealt.groupBy("bucket").applyInArrow(merge, "kind long, t long, a long, b long, n long, m long, times long")
+    dealt = map_arrow(docs.select("doc_id", "text"), scan, "bucket long, h binary, cls binary, n binary, w binary, pos binary")
+    return dealt.groupBy("bucket").applyInArrow(merge, "kind long, t long, a long, b long, n long, m long, times long, pos long")
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
@@ -341,34 +369,41 @@ def probed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_arrow(pairs.join(b, "b").join(a, "a").select("u", "v", "sa", "sb"), probe, "u long, v long")
 
 
-def reaching(pairs: DataFrame) -> Column:
-    """c >= T - L for pairs of sizes (n, m) that meet ``times`` in merged lists."""
-    a, b = F.col("n"), F.col("m")
-    t = F.floor((3 * (a + b) + 6) / 7)
-    return F.col("times") >= t - F.greatest(a - prefix_length_column(a), b - prefix_length_column(b))
+def reaching(met: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of short lists that may reach T: early enough in one list, and c >= T - L.
+
+    What two classes can have in common beyond short lists is at most the long lists of either.
+    """
+    long_lists = members.groupBy("a").agg(F.count("*").alias("k"))
+    p = met.join(long_lists.withColumnRenamed("k", "ka"), "a", "left").join(long_lists.select(F.col("a").alias("b"), F.col("k").alias("kb")), "b", "left")
+    n, m, none = F.col("n"), F.col("m"), F.lit(0)
+    c = F.col("times") + F.least(F.coalesce("ka", none), F.coalesce("kb", none))
+    enough = c >= F.floor((3 * (n + m) + 6) / 7) - F.greatest(n - prefix_length_column(n), m - prefix_length_column(m))
+    return p.where((F.col("least") == 0) | (F.col("early") > 0) & enough).select("a", "b")
 
 
-def remaining_pairs(members: DataFrame, label: DataFrame, met: DataFrame) -> DataFrame:
-    """Pairs (a, b) of long lists' members in different components that meet often enough, short lists included.
+def remaining_pairs(members: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs (a, b) of long lists' members in different components that stand early enough to reach T.
 
-    Of two components one at least is not its list's main one, so the join runs
-    between the members outside the main component and all members.
+    Linked sets do so in the list of their first common shingle. Of two
+    components one at least is not its list's main one, so the join runs between
+    the members outside the main component and all members.
     """
     m = members.join(label, "a", "left").withColumn("c", F.coalesce("component", "a"))
     each = m.groupBy("t", "c").agg(F.count("*").alias("k"))
     main = each.groupBy("t").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("many")).where("many > 1")
-    m = cut(m.join(main, "t").select("t", "a", "n", "c", "main"))
-    few = m.where("c <> main").select("t", F.col("a").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
+    m = cut(m.join(main, "t").select("t", "a", "n", "pos", "c", "main"))
+    few = m.where("c <> main").select("t", F.col("a").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("c").alias("d"))
+    t = F.floor((3 * (F.col("n") + F.col("m")) + 6) / 7)
     good = (
         (F.col("c") != F.col("d"))
         & ((F.col("c") == F.col("main")) | (F.col("a") < F.col("b")))
         & (4 * F.least("n", "m") >= 3 * F.greatest("n", "m"))
+        & (F.col("n") - F.col("pos") >= t)
+        & (F.col("m") - F.col("at") >= t)
     )
-    pairs = m.join(few, "t").where(good).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n", "m", F.lit(1).cast("long").alias("times"))
-    pairs = pairs.groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("times").alias("times"))
-    short = met.select("a", "b", F.col("times").alias("more"))
-    pairs = pairs.join(short, ["a", "b"], "left").withColumn("times", F.col("times") + F.coalesce("more", F.lit(0)))
-    return pairs.where(reaching(pairs)).select("a", "b")
+    same = m.join(few, "t").where(good)
+    return same.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -385,14 +420,17 @@ def near_copies(docs: DataFrame) -> DataFrame:
     classes = cut(rows.where("n > 0").groupBy("cls", "fb").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
     posted = classes.agg(F.sum(prefix_length_column("n"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-posted // BUCKET))
-    lists = cut(merged_lists(docs, buckets, heavy_lists(docs, buckets)))
-    met = lists.where("kind = 0").groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("times").alias("times"), F.min("times").alias("least"))
-    met = cut(met)
-    pairs = cut(met.where(reaching(met) | (F.col("least") == 0)).select("a", "b").union(_between_chunks(lists)).distinct())
+    heavy = heavy_lists(docs, buckets)
+    lists = cut(merged_lists(docs, buckets, heavy_lists(docs, buckets, heavy)))
+    members = lists.where("kind = 1").select("t", "a", "n", "pos")
+    met = lists.where("kind = 0").groupBy("a", "b").agg(
+        F.max("n").alias("n"), F.max("m").alias("m"), F.sum("times").alias("times"), F.min("times").alias("least"), F.max("pos").alias("early")
+    )
+    pairs = cut(reaching(met, members).union(_between_chunks(lists)).distinct())
     links = cut(probed(pairs, _sets_of(docs, pairs, classes)))
     found = connected(links)
     label = classes.join(found, F.col("rep") == F.col("node")).select(F.col("cls").alias("a"), "component")
-    more = cut(remaining_pairs(lists.where("kind = 1").select("t", "a", "n"), label, met).join(pairs, ["a", "b"], "left_anti"))
+    more = cut(remaining_pairs(members, label).join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         found = connected(links.union(probed(more, _sets_of(docs, more, classes))))
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select("cls", "fb", F.coalesce("component", "rep").alias("component_id"))
