@@ -31,7 +31,7 @@ MARK = "▁"
 #: What the unknown piece reads as.
 UNKNOWN = " \u2047 "
 #: Most words and pairs remembered by one worker, and the longest word remembered.
-WORDS, PAIRS, REMEMBERED = 300_000, 300_000, 64
+WORDS, PAIRS, REMEMBERED = 600_000, 500_000, 64
 #: Characters of texts whose words are sorted together.
 SLICE_CHARS = 2_000_000
 
@@ -56,10 +56,16 @@ class PieceModel:
         self.unknown = next((i for i in range(n) if sp.is_unknown(i)), -1)
         self.silent = {i for i in range(n) if sp.is_control(i)}
         self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
-        self.longest = max(map(len, self.ids))
         self.known: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.whole: dict[int, bool] = {}
+        self.text: dict[int, str] = {i: p for p, i in self.ids.items()}
+        self.trie: dict = {}
+        for p, i in self.ids.items():
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[0] = i
 
     def merged(self, text: str) -> list[str]:
         """The segmentation by definition: the adjacent pair whose piece scores best is merged first, leftmost on a tie."""
@@ -84,54 +90,95 @@ class PieceModel:
                     heapq.heappush(heap, (-score[q], a, q))
         return [p for p in parts if p is not None]
 
-    def _adjacent(self, a: str | None, b: str) -> bool:
-        ok = self.whole.get(b)
-        if ok is None:
-            ok = self.whole[b] = self.merged(b) == [b]
-        if a is None or not ok:
-            return ok
-        ok = self.pairs.get((a, b))
-        if ok is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            ok = self.pairs[a, b] = self.merged(a + b) == [a, b]
+    def _whole(self, b: int) -> bool:
+        """Whether the merges of a piece's own characters give it back."""
+        ok = self.whole[b] = self.merged(self.text[b]) == [self.text[b]]
         return ok
 
-    def _numbers(self, pieces: Sequence[str]) -> tuple[int, ...]:
+    def _adjacent(self, a: int, b: int) -> bool:
+        """Whether the merges leave piece b beside piece a."""
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        ok = self.pairs[a << 24 | b] = self.merged(self.text[a] + self.text[b]) == [self.text[a], self.text[b]]
+        return ok
+
+    def _single(self, c: str) -> int:
+        """The number of a character that is no piece (beyond all pieces)."""
+        number = len(self.pieces) + ord(c)
+        self.text[number] = c
+        self.whole[number] = True
+        return number
+
+    def _numbers(self, path: Sequence[int]) -> tuple[int, ...]:
+        n = len(self.pieces)
+        if max(path, default=0) < n:
+            return tuple(path)
         out: list[int] = []
-        for p in pieces:
-            i = self.ids.get(p)
-            if i is None:
-                out.extend(self.bytes[x] for x in p.encode("utf-8", "surrogatepass"))
+        for p in path:
+            if p < n:
+                out.append(p)
             else:
-                out.append(i)
+                out.extend(self.bytes[x] for x in chr(p - n).encode("utf-8", "surrogatepass"))
         return tuple(out)
 
     def walk(self, words: Sequence[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
-        """(word, ids) of sorted distinct words: a depth-first walk of their trie that reuses forward cells."""
-        forward: list[tuple[str | None, int]] = [(None, 0)]  # at each depth: last piece, where it begins
-        before, score, adjacent, longest = "", self.score, self._adjacent, self.longest
+        """(word, ids) of sorted distinct words: a depth-first walk of their trie that reuses forward cells.
+
+        Besides its cell, each depth keeps the places where a piece may have
+        begun, with the node of the pieces' own trie that it has come to.
+        """
+        root, whole, pairs = self.trie, self.whole, self.pairs
+        last, begun = [-1], [0]  # the forward cells: last piece (-2: none) and where it begins
+        open_: list[list[tuple[int, dict]]] = [[]]
+        before = ""
         for word in words:
             depth = 0
             for x, y in zip(before, word, strict=False):
                 if x != y:
                     break
                 depth += 1
-            del forward[depth + 1 :]
-            for end in range(len(forward), len(word) + 1):
-                for begin in range(max(0, end - longest), end):
-                    piece = word[begin:end]
-                    if (piece in score or end - begin == 1) and forward[begin] is not None and adjacent(forward[begin][0], piece):
-                        forward.append((piece, begin))
-                        break
-                else:
-                    forward.append(None)
+            del last[depth + 1 :], begun[depth + 1 :], open_[depth + 1 :]
+            for at in range(len(last) - 1, len(word)):
+                c = word[at]
+                cell = now = -2
+                still = []
+                for begin, node in (*open_[at], (at, root)):
+                    node = node.get(c)
+                    if node is None:
+                        if begin < at:
+                            continue
+                        piece = self._single(c)
+                    else:
+                        still.append((begin, node))
+                        piece = node.get(0)
+                        if piece is None:
+                            if begin < at:
+                                continue
+                            piece = self._single(c)
+                    if cell != -2:
+                        continue
+                    ok = whole.get(piece)
+                    if ok is None:
+                        ok = self._whole(piece)
+                    if ok and (left := last[begin]) != -1:
+                        if left == -2:
+                            continue
+                        ok = pairs.get(left << 24 | piece)
+                        if ok is None:
+                            ok = self._adjacent(left, piece)
+                    if ok:
+                        cell, now = piece, begin
+                last.append(cell)
+                begun.append(now)
+                open_.append(still)
             before = word
             path, at = [], len(word)
-            while at and forward[at] is not None:
-                path.append(forward[at][0])
-                at = forward[at][1]
-            yield word, self._numbers(path[::-1] if not at else self.merged(word))
+            while at and last[at] != -2:
+                path.append(last[at])
+                at = begun[at]
+            if at:
+                path = [self.ids[p] if p in self.ids else self._single(p) for p in reversed(self.merged(word))]
+            yield word, self._numbers(path[::-1])
 
     def words(self, text: str) -> list[str]:
         """The marked words of a text; an empty text has none."""
