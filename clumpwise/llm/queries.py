@@ -18,6 +18,23 @@ def op1_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clumpwise.llm.secret_scan import scan_secrets
+
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    joined = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id",
+        number("assign").alias("n_assign"),
+        number("access").alias("n_access"),
+        number("hex").alias("n_hex"),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clumpwise.llm.phrase_index import find_leaks
 
@@ -58,6 +75,7 @@ def op9_shared_prefix_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_karmarkar_karp": op1_karmarkar_karp,
+    "op3_randomness_battery": op3_randomness_battery,
     "op6_positional_index": op6_positional_index,
     "op7_token_transducer": op7_token_transducer,
     "op8_jaccard_join": op8_jaccard_join,

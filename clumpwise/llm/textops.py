@@ -15,6 +15,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Text bytes handled at once by the vectorised kernels (one longer document goes alone).
 SLICE_BYTES = 2 << 20
@@ -39,7 +40,7 @@ def ship(spark: SparkSession) -> None:
     sc._clumpwise_shipped = True
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with the package shipped and Arrow batches of bounded rows."""
     spark = df.sparkSession
     ship(spark)
