@@ -73,6 +73,24 @@ def op9_shared_prefix_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_template_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clumpwise.llm.license_templates import scan_licenses
+
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    own = F.transform("matches", lambda m: m["label"])
+    base = F.filter(F.split("base_labels", ","), lambda x: x != "")
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        "base_labels",
+        F.array_join(F.array_sort(F.array_union(base, own)), ",").alias("labels"),
+        "score",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_karmarkar_karp": op1_karmarkar_karp,
     "op3_randomness_battery": op3_randomness_battery,
@@ -80,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_transducer": op7_token_transducer,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_shared_prefix_viterbi": op9_shared_prefix_viterbi,
+    "op10_template_automata": op10_template_automata,
 }
 
 ORACLE_SQL: dict[str, str] = {}
