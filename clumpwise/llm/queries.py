@@ -18,6 +18,13 @@ def op1_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clumpwise.llm.decision_lists import quality_rules
+
+    found = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op3_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clumpwise.llm.secret_scan import scan_secrets
 
@@ -93,6 +100,7 @@ def op10_template_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_karmarkar_karp": op1_karmarkar_karp,
+    "op2_decision_list": op2_decision_list,
     "op3_randomness_battery": op3_randomness_battery,
     "op6_positional_index": op6_positional_index,
     "op7_token_transducer": op7_token_transducer,
