@@ -42,6 +42,20 @@ def op3_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_site_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clumpwise.llm.site_bayes import site_quality
+
+    docs = table(spark, sf_dir, "documents")
+    return site_quality(docs, table(spark, sf_dir, "labels"), F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
+def op5_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clumpwise.llm.toxicity_chain import toxicity
+
+    found = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
 def op6_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clumpwise.llm.phrase_index import find_leaks
 
@@ -102,6 +116,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_karmarkar_karp": op1_karmarkar_karp,
     "op2_decision_list": op2_decision_list,
     "op3_randomness_battery": op3_randomness_battery,
+    "op4_site_bayes": op4_site_bayes,
+    "op5_classifier_chain": op5_classifier_chain,
     "op6_positional_index": op6_positional_index,
     "op7_token_transducer": op7_token_transducer,
     "op8_jaccard_join": op8_jaccard_join,
