@@ -1,12 +1,90 @@
-"""A corpus pipeline of five stages (being built)."""
+"""A corpus pipeline of five stages, counted as part of the ``llm`` subpackage.
 
-STAGES = []
+Each stage is (name, function); a function takes (spark, docs, sf_dir) and works
+on all that its predecessor kept. ``run`` writes each stage's rows as Parquet in
+the shared folder and reads them again, which cuts lineage and lets a lost
+executor be replaced.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from clumpwise.llm.jaccard_join import near_copies
+from clumpwise.llm.phrase_index import find_leaks
+from clumpwise.llm.secret_scan import redacted, scan_secrets
+from clumpwise.llm.site_bayes import site_quality
+from clumpwise.llm.textops import checkpoint_dir, cut
+from clumpwise.llm.trie_pieces import decode, encode
+
+#: The model of the last stage, by its public name.
+PIECES = "piece_bpe_32k.model"
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps; sites are sources, paths are their languages."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    columns = tuple(docs.columns)
+    found = site_quality(docs, labels, F.col("source"), F.concat_ws("/", "source", "lang"), keep=columns)
+    return found.where("kept").select(*columns)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` but for the doc_ids of ``gone``; rows without doc_id stay."""
+    return docs.join(gone.where("doc_id is not null").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the smallest doc_id; of rows with one doc_id, one."""
+    found = cut(near_copies(docs))
+    out = without(docs, found.where("component_id <> doc_id").select("doc_id"))
+    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if not twice.isEmpty():
+        known = out.where("doc_id is not null").dropDuplicates(["doc_id"])
+        out = known.union(out.where("doc_id is null"))
+    return out
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark window occurs."""
+    found = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(docs, cut(found.where("n_hit > 0").select("doc_id")))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by a mark."""
+    return redacted(scan_secrets(docs))
+
+
+def in_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_pieces, ids, exact) of all documents: their pieces, and whether these give the text back."""
+    import public_tokenizers
+
+    path = public_tokenizers.path(PIECES)
+    rows = decode(encode(docs, path), path)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", (F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))).alias("exact"))
+
+
+STAGES = [
+    ("quality_classifier", keep_good),
+    ("ngram_jaccard_join", one_of_each),
+    ("benchmark_decontamination", without_leaks),
+    ("secret_scans", without_secrets),
+    ("sentencepiece", in_pieces),
+]
+
+#: SQL can't express the learned classifier nor the pieces; tests compare with plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply all stages to the documents of ``sf_dir``."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    place = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}-{name}")
+        docs = spark.read.parquet(f"{place}/{k}-{name}")
     return docs
