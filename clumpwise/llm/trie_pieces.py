@@ -18,14 +18,17 @@ merges themselves.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clumpwise.llm.textops import map_arrow
+from clumpwise.llm.textops import map_arrow, ramp
 
 MARK = "▁"
 #: What the unknown piece reads as.
@@ -53,10 +56,17 @@ class PieceModel:
         self.ids = {self.pieces[i]: i for i in plain}
         if len(self.bytes) != 256 or any(MARK in p.lstrip(MARK) for p in self.ids) or sp.encode("a  b", out_type=str) != [MARK + "a", MARK, MARK + "b"]:
             raise ValueError("a model with byte pieces, marks at the front and unchanged white space is needed")
+        own = [b"" if sp.is_control(i) else UNKNOWN.encode() if sp.is_unknown(i) else bytes([int(p[3:5], 16)]) if self.is_byte[i] else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
+        self.size = np.asarray([len(x) for x in own], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(own), np.uint8)
+        self.marked = np.asarray([p.startswith(MARK) for p in self.pieces])
         self.unknown = next((i for i in range(n) if sp.is_unknown(i)), -1)
         self.silent = {i for i in range(n) if sp.is_control(i)}
         self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
-        self.known: dict[str, tuple[int, ...]] = {}
+        # words by number, and each number's ids: row[rows_at[k] : rows_at[k + 1]]
+        self.known: dict[str, int] = {}
+        self.row, self.rows_at = array("i"), array("q", [0])
         self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.text: dict[int, str] = {i: p for p, i in self.ids.items()}
@@ -96,10 +106,31 @@ class PieceModel:
         return ok
 
     def _adjacent(self, a: int, b: int) -> bool:
-        """Whether the merges leave piece b beside piece a."""
+        """Whether the merges leave piece b beside piece a: none of them crosses the border."""
         if len(self.pairs) >= PAIRS:
             self.pairs.clear()
-        ok = self.pairs[a << 24 | b] = self.merged(self.text[a] + self.text[b]) == [self.text[a], self.text[b]]
+        score, left = self.score, self.text[a]
+        parts = list(left + self.text[b])
+        border, best = len(left), [score.get(x + y) for x, y in zip(parts, parts[1:], strict=False)]
+        ok = True
+        while True:
+            top, i = None, -1
+            for k, x in enumerate(best):
+                if x is not None and (top is None or x > top):
+                    top, i = x, k
+            if i < 0:
+                break
+            if i + 1 == border:
+                ok = False
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del best[i]
+            border -= i + 1 < border
+            if i:
+                best[i - 1] = score.get(parts[i - 1] + parts[i])
+            if i < len(best):
+                best[i] = score.get(parts[i] + parts[i + 1])
+        ok = self.pairs[a << 24 | b] = ok and len(parts) == 2
         return ok
 
     def _single(self, c: str) -> int:
@@ -187,19 +218,40 @@ class PieceModel:
     def encode_all(self, texts: Sequence[str]) -> list[np.ndarray]:
         """The ids of each text, without begin and end pieces."""
         split = [self.words(t) for t in texts]
-        new = {w for ws in split for w in set(ws)} - self.known.keys()
+        new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > WORDS:
             self.known.clear()
-            new = {w for ws in split for w in set(ws)}
-        own = dict(self.walk(sorted(new)))
-        self.known.update((w, ids) for w, ids in own.items() if len(w) <= REMEMBERED)
-        long_ = {w: ids for w, ids in own.items() if len(w) > REMEMBERED}
+            self.row, self.rows_at = array("i"), array("q", [0])
+            new = set().union(*split)
+        known, row, rows_at = self.known, self.row, self.rows_at
+        for word, ids in self.walk(sorted(new)):
+            known[word] = len(rows_at) - 1
+            row.extend(ids)
+            rows_at.append(len(row))
+        rows, at = np.array(row, np.int32), np.array(rows_at)
+        lens = np.diff(at)
         out = []
         for ws in split:
-            ids: list[int] = []
-            for w in ws:
-                ids.extend(self.known[w] if len(w) <= REMEMBERED else long_[w])
-            out.append(np.asarray(ids, np.int32))
+            k = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
+            out.append(rows[ramp(at[k], lens[k])])
+        for w in new:
+            if len(w) > REMEMBERED:
+                del known[w]
+        return out
+
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The texts of lists of ids, ``ids[offsets[k] : offsets[k + 1]]``; the same as ``decode`` of each."""
+        lens = self.size[ids]
+        data = self.flat[ramp(self.begin[ids], lens)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(lens)])[offsets].tolist()
+        out = []
+        for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+            if b > a and self.marked[ids[offsets[k]]]:
+                a += 1
+            try:
+                out.append(data[a:b].decode())
+            except UnicodeDecodeError:
+                out.append(self.decode(ids[offsets[k] : offsets[k + 1]].tolist()))
         return out
 
     def decode(self, ids: Sequence[int]) -> str:
@@ -299,7 +351,9 @@ def decode(rows: DataFrame, model_path: str) -> DataFrame:
         model = loaded(blob.value)
         for batch in batches:
             lists = batch.column(2)
-            texts = [model.decode(x.values.to_pylist()) if x.is_valid else "" for x in lists]
+            ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            lens = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            texts = model.decode_all(ids, np.concatenate([[0], np.cumsum(lens)]).astype(np.int64))
             yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "text", "ids", "decoded"])
 
     return map_arrow(rows.select("doc_id", "text", "ids"), scan, "doc_id long, text string, ids array<int>, decoded string")
