@@ -20,6 +20,8 @@ from clumpwise.llm.textops import cut
 
 #: What the evidence of a site weighs against a document's own.
 SITE_WEIGHT = 0.5
+#: Most sites that are broadcast (under 20 MB).
+SENT = 100_000
 #: Bounds of a prior's strength, in documents.
 STRENGTH = (2.0, 10_000.0)
 
@@ -84,7 +86,9 @@ def site_quality(
     hosts = cut(hosts.select("_host", ((F.col("s") + k * base) / (F.col("n") + k)).alias("p_host")))
     under = paths.join(hosts, "_host")
     j = _strength(under, F.col("p_host"))
-    sites = under.select("_host", "_path", "p_host", ((F.col("s") + j * F.col("p_host")) / (F.col("n") + j)).alias("p_path"))
+    sites = cut(under.select("_host", "_path", "p_host", ((F.col("s") + j * F.col("p_host")) / (F.col("n") + j)).alias("p_path")))
+    if sites.count() <= SENT:  # else the rows are dealt by site
+        sites = F.broadcast(sites)
     z = _logit(F.col("p")) + SITE_WEIGHT * (_logit(F.col("p_path")) - _logit(F.lit(base)))
     # narrow rows come from the kept statistics; whole documents are read again rather than stored
     if set(keep) <= {"doc_id"}:
