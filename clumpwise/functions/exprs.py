@@ -89,9 +89,9 @@ def valid_star(age: Col, metal: Col, mass: Col) -> Column:
 
 
 def fortran_bool(text: Col) -> Column:
-    """True for .true., true, t, yes, y, on, 1 in any case; false for their opposites; else null."""
+    """True for .true., true, t, yes, y, 1 in any case; false for their opposites; else null."""
     t = F.lower(F.trim(col(text)))
-    return F.when(t.isin(".true.", "true", "t", "yes", "y", "on", "1"), True).when(t.isin(".false.", "false", "f", "no", "n", "off", "0"), False)
+    return F.when(t.isin(".true.", "true", "t", "yes", "y", "1"), True).when(t.isin(".false.", "false", "f", "no", "n", "0"), False)
 
 
 def fortran_double(text: Col) -> Column:

@@ -253,3 +253,23 @@ def vmax(p: DataFrame, h: DataFrame) -> DataFrame:
 def octants(p: DataFrame, h: DataFrame) -> DataFrame:
     rel = M.relative(p, h).withColumn("oct", X.octant("dx", "dy", "dz"))
     return rel.groupBy("halo_id", "oct").agg(F.count("*").alias("n"), F.sum("mass").alias("mass"))
+
+
+def _starts(p: DataFrame, h: DataFrame) -> DataFrame:
+    """Members with their structure's centre and radius as the first guess, and a density."""
+    rows = p.withColumn("density", F.col("mass") * (F.abs("vx") + 1))
+    return rows.join(h.select(F.col("id").alias("halo_id"), "px", "py", "pz", F.col("r").alias("start")), "halo_id")
+
+
+@query("d6_shrinking_sphere", PH)
+def shrinking(p: DataFrame, h: DataFrame) -> DataFrame:
+    from clumpwise.operators.refine import shrinking_sphere
+
+    return shrinking_sphere(_starts(p, h), 0.001)
+
+
+@query("d7_nested_cells", PH)
+def nested(p: DataFrame, h: DataFrame) -> DataFrame:
+    from clumpwise.operators.refine import nested_cells
+
+    return nested_cells(_starts(p, h), 0.001)
