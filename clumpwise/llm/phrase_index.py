@@ -1,7 +1,7 @@
 r"""Benchmark decontamination with a distributed positional inverted index.
 
 The index is partitioned by document: each row holds the postings of a block of
-whole documents (about 2 MB of text), terms in rising order of their hash, each
+whole documents (about half a megabyte of text), terms in rising order of their hash, each
 with its rising word positions. Documents are set apart by a gap, so no phrase
 runs over a border. A search sends the test phrases to every block: a phrase's
 lists are taken from its rarest term on, each shifted by the term's offset, and

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 #: Text bytes handled at once by the vectorised kernels (one longer document goes alone).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 #: Rows of an Arrow batch on the way to Python, so that long texts stay bounded.
 BATCH_ROWS = 512
