@@ -6,6 +6,9 @@ time, in slices of bounded size that never cut a document.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
@@ -40,12 +43,30 @@ def ship(spark: SparkSession) -> None:
     sc._clumpwise_shipped = True
 
 
+def release() -> None:
+    """Give free memory back to the system, so that idle Python workers stay small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _released(fn: Callable) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
+    return run
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with the package shipped and Arrow batches of bounded rows."""
     spark = df.sparkSession
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(_released(fn), schema)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

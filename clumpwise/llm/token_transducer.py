@@ -249,10 +249,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter: Callable[[str], int] = compiled(spec.value).text
+        words = compiled(spec.value)
+        counter: Callable[[str], int] = words.text
         for batch in batches:
             n = [counter(t.as_py()) if t.is_valid else 0 for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        words.known.clear()
 
     size = F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long"))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), size.alias("n_bytes"))

@@ -34,9 +34,9 @@ MARK = "▁"
 #: What the unknown piece reads as.
 UNKNOWN = " \u2047 "
 #: Most words and pairs remembered by one worker, and the longest word remembered.
-WORDS, PAIRS, REMEMBERED = 600_000, 500_000, 64
+WORDS, PAIRS, REMEMBERED = 500_000, 300_000, 64
 #: Characters of texts whose words are sorted together.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -215,13 +215,17 @@ class PieceModel:
         """The marked words of a text; an empty text has none."""
         return _WORD.findall(MARK + text.replace(" ", MARK)) if text else []
 
+    def forget(self) -> None:
+        """Drop the remembered words (what may stand side by side is kept)."""
+        self.known = {}
+        self.row, self.rows_at = array("i"), array("q", [0])
+
     def encode_all(self, texts: Sequence[str]) -> list[np.ndarray]:
         """The ids of each text, without begin and end pieces."""
         split = [self.words(t) for t in texts]
         new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > WORDS:
-            self.known.clear()
-            self.row, self.rows_at = array("i"), array("q", [0])
+            self.forget()
             new = set().union(*split)
         known, row, rows_at = self.known, self.row, self.rows_at
         for word, ids in self.walk(sorted(new)):
@@ -359,15 +363,30 @@ def decode(rows: DataFrame, model_path: str) -> DataFrame:
     return map_arrow(rows.select("doc_id", "text", "ids"), scan, "doc_id long, text string, ids array<int>, decoded string")
 
 
-def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
-    """(doc_id, n_pieces, ids_sha256, exact) of every row: what the texts encode to and whether they come back.
+def coded(docs: DataFrame, model_path: str) -> DataFrame:
+    """(doc_id, ids, exact): pieces, and whether these decode to the text again, in one pass.
 
-    The digest is of the ids, comma-joined. A null text has no pieces and comes back as empty, which counts as exact.
+    A null text has no pieces and comes back as empty, which counts as exact.
     """
-    rows = decode(encode(docs, model_path), model_path)
-    return rows.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_pieces"),
-        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
-        (F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))).alias("exact"),
-    )
+    with open(model_path, "rb") as f:
+        blob = docs.sparkSession.sparkContext.broadcast(f.read())
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = loaded(blob.value)
+        for batch in batches:
+            for at, part in _parts(batch.column(1).to_pylist()):
+                ids = model.encode_all(part)
+                offs = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+                flat = np.concatenate(ids)
+                exact = [a == b for a, b in zip(model.decode_all(flat, offs), part, strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(flat))
+                yield pa.record_batch([batch.column(0).slice(at, len(part)), lists, pa.array(exact, pa.bool_())], ["doc_id", "ids", "exact"])
+        model.forget()
+
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), scan, "doc_id long, ids array<int>, exact boolean")
+
+
+def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
+    """(doc_id, n_pieces, ids_sha256, exact) of every row; the digest is of the ids, comma-joined."""
+    rows = coded(docs, model_path)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), "exact")

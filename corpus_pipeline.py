@@ -18,7 +18,7 @@ from clumpwise.llm.phrase_index import find_leaks
 from clumpwise.llm.secret_scan import redacted, scan_secrets
 from clumpwise.llm.site_bayes import site_quality
 from clumpwise.llm.textops import checkpoint_dir, cut
-from clumpwise.llm.trie_pieces import decode, encode
+from clumpwise.llm.trie_pieces import coded
 
 #: The model of the last stage, by its public name.
 PIECES = "piece_bpe_32k.model"
@@ -63,9 +63,8 @@ def in_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_pieces, ids, exact) of all documents: their pieces, and whether these give the text back."""
     import public_tokenizers
 
-    path = public_tokenizers.path(PIECES)
-    rows = decode(encode(docs, path), path)
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", (F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))).alias("exact"))
+    rows = coded(docs, public_tokenizers.path(PIECES))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "exact")
 
 
 STAGES = [
