@@ -67,7 +67,6 @@ def op6_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        F.size("near_items").cast("long").alias("n_near_items"),
     )
 
 
@@ -125,4 +124,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_template_automata": op10_template_automata,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP6 = rf"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+ b as (select item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+ q as (select distinct item_id, array_to_string(w[k + 1 : k + 10], ' ') as s, least(len(w), 10) as n from (select item_id, w, unnest(range(greatest(len(w) - 9, 1))) as k from b where len(w) > 0)),
+ p as (select r, k, n, array_to_string(w[k + 1 : k + n], ' ') as s from (select r, w, n, unnest(range(len(w) - n + 1)) as k from d cross join (select distinct n from q) where len(w) >= n)),
+ m as (select r, k, p.n, item_id from p join q on p.s = q.s and p.n = q.n),
+ h as (select r, count(distinct pos) as n_hit from (select r, unnest(range(k, k + n)) as pos from m) group by r),
+ i as (select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, cast(item_id as varchar) as item from m) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h on d.r = h.r left join i on d.r = i.r"""
+
+_OP8 = rf"""
+with recursive d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from documents),
+ s as (select distinct doc_id, array_to_string(w[k + 1 : k + 5], ' ') as s from (select doc_id, w, unnest(range(greatest(len(w) - 4, 1))) as k from d where len(w) > 0)),
+ n as (select doc_id, count(*) as n from s group by doc_id),
+ c as (select a.doc_id as u, b.doc_id as v, count(*) as c from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+ l as (select u, v from c join n x on x.doc_id = u join n y on y.doc_id = v where 100 * c >= 75 * (x.n + y.n - c)),
+ e as (select u, v from l union all select v, u from l),
+ r as (select doc_id, doc_id as seen from d union select r.doc_id, e.v from r join e on r.seen = e.u)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, x.component_id from d left join n on d.doc_id = n.doc_id
+join (select doc_id, min(seen) as component_id from r group by doc_id) x on d.doc_id = x.doc_id"""
+
+ORACLE_SQL: dict[str, str] = {"op6_positional_index": _OP6, "op8_jaccard_join": _OP8}
