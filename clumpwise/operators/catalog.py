@@ -43,3 +43,36 @@ def light(catalog: DataFrame) -> DataFrame:
 def with_gas(catalog: DataFrame, gas: DataFrame, missing: dict[str, object]) -> DataFrame:
     """The catalog with its gas columns by id; ``missing`` fills rows without gas."""
     return catalog.join(gas, "id", "left").fillna(missing)
+
+
+def member_dump(members: DataFrame, particles: DataFrame, mass_unit: float = X.MASS_UNIT) -> DataFrame:
+    """(halo_id, pid, x, y, z, vx, vy, vz, mass) of all members (halo_id, pid): code-unit places, masses in solar masses."""
+    columns = [c for c in ("x", "y", "z", "vx", "vy", "vz", "mass") if c in particles.columns]
+    return members.join(particles.select("pid", *columns), "pid").select("halo_id", "pid", *[c for c in columns if c != "mass"], (F.col("mass") * mass_unit).alias("mass"))
+
+
+def write_catalog(path: str, snapshot: int, header: dict[str, object], halos: DataFrame, members: DataFrame | None = None, photometry: DataFrame | None = None) -> None:
+    """One snapshot's tables under ``path``: header, halos and, if given, members and photometry, each replaced whole."""
+    spark = halos.sparkSession
+    row = spark.createDataFrame([(snapshot, {k: str(v) for k, v in header.items()})], "snapshot int, attributes map<string,string>")
+    for name, df in (("header", row.coalesce(1)), ("halos", halos), ("members", members), ("photometry", photometry)):
+        if df is not None:
+            df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}/snapshot={snapshot}")
+
+
+def read_catalog(spark, path: str, snapshot: int, name: str = "halos") -> DataFrame:
+    """One of the tables of a snapshot."""
+    return spark.read.parquet(f"{path.rstrip('/')}/{name}/snapshot={snapshot}")
+
+
+def members_of(members: DataFrame, halo: int) -> DataFrame:
+    """The members of one structure, by pid."""
+    return members.where(F.col("halo_id") == halo).orderBy("pid")
+
+
+def with_mother(tree: DataFrame) -> DataFrame:
+    """Rows of (id, hostsub, level) with their mother's level and number of direct daughters; a daughter is one level below."""
+    mother = tree.select(F.col("id").alias("hostsub"), F.col("level").alias("mother_level"))
+    kids = tree.groupBy("hostsub").agg(F.count("*").alias("nbsub")).select(F.col("hostsub").alias("id"), "nbsub")
+    out = tree.join(mother, "hostsub", "left").join(kids, "id", "left")
+    return out.withColumns({"nbsub": F.coalesce("nbsub", F.lit(0)), "in_order": F.coalesce(F.col("level") == F.col("mother_level") + 1, F.col("level") == 1)})

@@ -14,7 +14,7 @@ FLAGSHIP = "d18_half_mass_radius"
 _FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 #: Modules whose queries are registered when they are imported.
-MODULES = ("queries_members", "queries_gas", "queries_groups", "queries_tables")
+MODULES = ("queries_members", "queries_gas", "queries_groups", "queries_tables", "queries_scalars")
 
 
 def query(name: str, views: tuple[str, ...], sql: str | None = None) -> Callable:

@@ -314,3 +314,14 @@ def test_catalog(spark):
     out = catalog.output_units(rows, 2.0).first()
     assert (out.m, out.px, out.r) == (2e11, 0.25, 0.5)
     assert catalog.light(rows.withColumn("odd", F.lit(1))).columns == ["id", "m", "r", "px"]
+
+
+def test_catalog_files(spark, tmp_path):
+    halos = spark.createDataFrame([(1, 0.5), (2, 0.25)], "id long, r double")
+    members = spark.createDataFrame([(1, 7), (1, 3), (2, 5)], "halo_id long, pid long")
+    for _ in range(2):  # writing again replaces
+        catalog.write_catalog(str(tmp_path), 12, {"aexp": 1.0}, halos, members)
+    assert catalog.read_catalog(spark, str(tmp_path), 12).count() == 2
+    again = catalog.read_catalog(spark, str(tmp_path), 12, "members")
+    assert [r.pid for r in catalog.members_of(again, 1).collect()] == [3, 7]
+    assert catalog.read_catalog(spark, str(tmp_path), 12, "header").first().attributes == {"aexp": "1.0"}
