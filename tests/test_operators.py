@@ -63,8 +63,8 @@ def test_neighbours_and_density(spark, cloud):
 
 def test_groups_saddles_and_percolation(spark, cloud):
     p, _, df = cloud
-    knn = N.nearest(df, 10).localCheckpoint()
-    density = N.kernel_density(df, knn, 10).localCheckpoint()
+    knn = N.nearest(df, 10).checkpoint()
+    density = N.kernel_density(df, knn, 10).checkpoint()
     rho = {r.pid: r.density for r in density.collect()}
     near = {}
     for r in knn.where("rank <= 8").orderBy("pid", "rank").collect():
@@ -77,7 +77,7 @@ def test_groups_saddles_and_percolation(spark, cloud):
             k = target[k]
         return k
 
-    member = N.groups(N.climb_targets(density, knn, least, 8)).localCheckpoint()
+    member = N.groups(N.climb_targets(density, knn, least, 8)).checkpoint()
     group = {r.pid: r.group_id for r in member.collect()}
     assert group == {k: top(k) for k in target}
     want = {}
