@@ -21,10 +21,10 @@ def is_star() -> Column:
 
 def masses(members: DataFrame) -> DataFrame:
     """Total, dark and stellar mass and counts, and the mass above the least dark mass."""
-    dark = members.where("family = 1").agg(F.min("mass").alias("least"))
+    least = members.where("family = 1").agg(F.min("mass")).scalar()
     star = is_star()
     return (
-        members.crossJoin(F.broadcast(dark))  # one row
+        members.withColumn("least", least)
         .groupBy("halo_id")
         .agg(
             F.sum("mass").alias("m"),
