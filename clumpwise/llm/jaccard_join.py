@@ -48,6 +48,8 @@ KNOWN = 1 << 20
 BUCKET, CHUNK = 1_000_000, 100_000
 #: Members up to which all pairs of a list are counted; longer lists go by leaders first.
 SHORT = 8
+#: Marks places of shingles whose list is dealt in chunks; places beyond count as the last below.
+SPLIT = 1 << 15
 #: Postings that a task gathers before it deals them to buckets.
 FLUSH = 2_000_000
 #: Bits of the filter of candidate classes: 4 MB, at any size of input.
@@ -224,8 +226,8 @@ def merged_lists(docs: DataFrame, buckets: int, heavy: tuple[np.ndarray, np.ndar
         for i in np.flatnonzero(length > CHUNK):  # a chunk goes to a bucket of its own choice
             chunk = int(mix(cls[i : i + 1].view(_U) ^ h[i])[0]) % int(-(-length[i] // CHUNK))
             bucket[i] = _bucket(mix(h[i : i + 1] + _U(chunk)), buckets)[0]
-        low = (h & _U(0xFFFFFFFF)).astype(np.uint32)
-        return _dealt(bucket, [low, cls, n, w, np.minimum(pos, 65535).astype(np.uint16)], schema)
+        pos = np.minimum(pos, SPLIT - 1) | np.where(length > CHUNK, SPLIT, 0)
+        return _dealt(bucket, [h, cls, n, w, pos.astype(np.uint16)], schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, parts = 0, ([], [], [], [], [])
@@ -240,24 +242,25 @@ def merged_lists(docs: DataFrame, buckets: int, heavy: tuple[np.ndarray, np.ndar
         if held:
             yield packed(*parts)
 
-    def merge(key: tuple, table: pa.Table) -> pa.Table:
-        h, cls, n, w, pos = _gathered(table, {"h": np.uint32, "cls": np.int64, "n": np.uint32, "w": np.uint32, "pos": np.uint16})
+    def merge(table: pa.Table) -> pa.Table:
+        h, cls, n, w, pos = _gathered(table, {"h": np.int64, "cls": np.int64, "n": np.uint32, "w": np.uint32, "pos": np.uint16})
         order = np.lexsort((cls, h))
         own = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (cls[order][1:] != cls[order][:-1])])
         h, cls, n, w, pos = (x[order][own].astype(np.int64) for x in (h, cls, n, w, pos))
         cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        sizes = np.diff(np.append(cuts, len(h)))
-        keep = np.repeat(sizes > 1, sizes)
-        h, cls, n, w, pos = (x[keep] for x in (h, cls, n, w, pos))
-        sizes = sizes[sizes > 1]
+        sizes, chunk = np.diff(np.append(cuts, len(h))), pos[cuts] >= SPLIT
+        pos &= SPLIT - 1
+        keep = (sizes > 1) | chunk
+        h, cls, n, w, pos = (x[np.repeat(keep, sizes)] for x in (h, cls, n, w, pos))
+        sizes, chunk = sizes[keep], chunk[keep]
         if not len(h):
             return pa.table({k: pa.array([], pa.int64()) for k in ("kind", "t", "a", "b", "n", "m", "times", "pos")})
         cuts = np.cumsum(sizes) - sizes
-        few = sizes <= SHORT
+        few = (sizes <= SHORT) & ~chunk
         met, first = [np.zeros((0, 2), np.int64)], [np.zeros(0, bool)]
         for k in range(2, SHORT + 1):
             x, y = np.triu_indices(k, 1)
-            at = cuts[sizes == k][:, None]
+            at = cuts[few & (sizes == k)][:, None]
             x, y = (at + x).ravel(), (at + y).ravel()
             good = 4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])
             x, y = x[good], y[good]
@@ -280,13 +283,12 @@ def merged_lists(docs: DataFrame, buckets: int, heavy: tuple[np.ndarray, np.ndar
         pairs = np.concatenate([met, star])
         times = np.concatenate([times, np.zeros(len(star), np.int64)])
         early = np.concatenate([early, np.ones(len(star), bool)]).astype(np.int64)
-        t = (np.int64(key[0].as_py()) << 32) | h.astype(np.int64)
-        split = cuts[sizes > CHUNK // 4]
+        split = cuts[chunk]
         none = lambda x: np.zeros(len(x), np.int64)
         return pa.table(
             {
                 "kind": np.concatenate([none(pairs), none(cls[many]) + 1, none(split) + 2]),
-                "t": np.concatenate([none(pairs), t[many], h[split].astype(np.int64)]),
+                "t": np.concatenate([none(pairs), h[many], h[split]]),
                 "a": np.concatenate([pairs[:, 0], cls[many], cls[split]]),
                 "b": np.concatenate([pairs[:, 1], none(cls[many]), none(split)]),
                 "n": np.concatenate([np.asarray([size[c] for c in pairs[:, 0].tolist()], np.int64), n[many], n[split]]),
