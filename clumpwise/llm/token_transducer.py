@@ -12,8 +12,8 @@ made anew when there are too many.
 
 A text is cut into chunks; each chunk is a map of the states of the word
 splitter, kept in factored form: what it adds to an open word, the count of the words
-inside, and the word it leaves open. Maps compose associatively, and a long
-text's maps are joined pairwise, level by level, as a parallel prefix scan does. Words
+inside, and the word it leaves open. Maps compose associatively, so a
+parallel prefix scan over a long text's maps gives the counts of all its prefixes. Words
 inside chunks repeat a lot, so a bounded memory keeps the counts of words that
 have run through the transducer.
 """
@@ -212,11 +212,19 @@ class WordCounter:
         text = text.replace("Σ", "σ").lower()
         if len(text) <= CHUNK:
             return self.inside(text)
-        maps = [self.chunk_map(text[k : k + CHUNK]) for k in range(0, len(text), CHUNK)]
-        while len(maps) > 1:
-            maps = [self.join(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
-        head, count, tail = maps[0]
-        return self.inside(head) + (count or 0) + self.inside(tail)
+        return self.prefix_counts([text[k : k + CHUNK] for k in range(0, len(text), CHUNK)])[-1]
+
+    def prefix_counts(self, chunks: list[str]) -> list[int]:
+        """Tokens of every prefix of chunks (of normalised text): a parallel prefix scan over their maps.
+
+        In step d each map is joined with the one d places before it, so log2 n
+        steps of independent joins give all prefixes.
+        """
+        maps, d = [self.chunk_map(c) for c in chunks], 1
+        while d < len(maps):
+            maps = [self.join(maps[k - d], m) if k >= d else m for k, m in enumerate(maps)]
+            d *= 2
+        return [self.inside(head) + (count or 0) + self.inside(tail) for head, count, tail in maps]
 
     def text(self, text: str) -> int:
         """Tokens of a text; special strings inside are one token each, as the library has it by default."""

@@ -6,6 +6,8 @@ import random
 import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, cls string, spans string"
@@ -295,6 +297,33 @@ def test_token_counts(spark, docs, texts, empty):
         module.CHUNK = old
 
 
+@given(st.lists(st.text(alphabet="ab 'tsé1!\n\t", max_size=8), min_size=1, max_size=7))
+@settings(max_examples=150, deadline=None)
+def test_chunk_maps_compose(chunks):
+    public = pytest.importorskip("public_tokenizers")
+    from clumpwise.llm.token_transducer import compiled
+
+    counter = compiled(open(public.path("word_bpe_49k.json"), encoding="utf-8").read())
+    whole = "".join(chunks)
+    assert counter.prefix_counts(chunks) == [counter.inside("".join(chunks[: k + 1])) for k in range(len(chunks))]
+    maps = [counter.chunk_map(c) for c in chunks]
+    if len(maps) >= 3:
+        a, b, c = maps[:3]
+        assert counter.join(counter.join(a, b), c) == counter.join(a, counter.join(b, c))
+    assert counter.text(whole) == counter.inside(whole.lower())
+
+
+@given(st.lists(st.integers(1, 50), max_size=40), st.integers(2, 5))
+@settings(max_examples=100, deadline=None)
+def test_differencing_deals_all(sizes, shards):
+    from clumpwise.llm.sharding import difference
+
+    lanes = difference(sizes, shards)
+    assert len(lanes) == len(sizes) and all(0 <= k < shards for k in lanes)
+    sums = [sum(s for s, k in zip(sizes, lanes, strict=True) if k == j) for j in range(shards)]
+    assert max(sums) - min(sums) <= max(sizes, default=0)
+
+
 def brute_components(texts):
     sets = {}
     for i, t in texts:
