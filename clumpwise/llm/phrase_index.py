@@ -37,40 +37,46 @@ _INDEX = "doc_ids array<long>, starts array<int>, n_words array<int>, terms arra
 _SPANS = "array<struct<item_id:string,start:long,end:long,exact:boolean>>"
 
 
+def _narrow(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Index rows of documents."""
+    for batch in batches:
+        ids = batch.column(0).to_pylist()
+        for i, j, data, offs in text_slices(batch):
+            start, end, first = word_spans(data, offs, ALNUM)
+            h = word_hashes(data, start, end).view(np.int64)
+            count = np.diff(first)
+            place = np.arange(len(h), dtype=np.int32) + np.repeat(np.arange(j - i, dtype=np.int32) * GAP, count)
+            order = np.argsort(h, kind="stable")
+            h = h[order]
+            cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+            cells = [
+                pa.array([ids[i:j]], pa.list_(pa.int64())),
+                *(
+                    pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, t))
+                    for v, t in (
+                        ((first[:-1] + np.arange(j - i) * GAP).astype(np.int32), pa.int32()),
+                        (count.astype(np.int32), pa.int32()),
+                        (h[cuts], pa.int64()),
+                        (np.append(cuts, len(h)).astype(np.int32), pa.int32()),
+                        (place[order], pa.int32()),
+                    )
+                ),
+                pa.array([0], pa.int64()),
+            ]
+            yield pa.record_batch(cells, ["doc_ids", "starts", "n_words", "terms", "at", "positions", "block"])
+
+
 def build_index(docs: DataFrame) -> DataFrame:
     """One row for each block of documents: their ids, first positions and word counts, and the postings.
 
     ``positions[at[k] : at[k + 1]]`` are those of ``terms[k]``. A null text has no words.
     """
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for i, j, data, offs in text_slices(batch):
-                start, end, first = word_spans(data, offs, ALNUM)
-                h = word_hashes(data, start, end).view(np.int64)
-                count = np.diff(first)
-                place = np.arange(len(h), dtype=np.int32) + np.repeat(np.arange(j - i, dtype=np.int32) * GAP, count)
-                order = np.argsort(h, kind="stable")
-                h = h[order]
-                cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-                cells = [
-                    pa.array([ids[i:j]], pa.list_(pa.int64())),
-                    *(
-                        pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, t))
-                        for v, t in (
-                            ((first[:-1] + np.arange(j - i) * GAP).astype(np.int32), pa.int32()),
-                            (count.astype(np.int32), pa.int32()),
-                            (h[cuts], pa.int64()),
-                            (np.append(cuts, len(h)).astype(np.int32), pa.int32()),
-                            (place[order], pa.int32()),
-                        )
-                    ),
-                    pa.array([0], pa.int64()),
-                ]
-                yield pa.record_batch(cells, ["doc_ids", "starts", "n_words", "terms", "at", "positions", "block"])
-
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), scan, _INDEX)
+    return map_arrow(_narrow(docs), _indexed, _INDEX)
 
 
 def windows_of(items: list[tuple[str, str]], width: int = WIDTH) -> dict[str, np.ndarray]:
@@ -146,9 +152,11 @@ def matches(q: dict[str, np.ndarray], terms: np.ndarray, at: np.ndarray, positio
     return win, start, exact
 
 
-def search(index: DataFrame, items: list[tuple[str, str]], width: int = WIDTH, slop: int = SLOP) -> DataFrame:
+def search(index: DataFrame, items: list[tuple[str, str]], width: int = WIDTH, slop: int = SLOP, built: bool = True) -> DataFrame:
     """Rows (block, row, doc_id, n_words, spans): matches of the items' windows in every indexed document.
 
+    With ``built`` false the rows are documents, whose index is built and searched block by block in the same task.
+
     Spans are in words of the document, end exclusive; a proximity span may begin before the document's first word by up to ``slop``.
     """
     q = windows_of(items, width)
@@ -158,7 +166,7 @@ def search(index: DataFrame, items: list[tuple[str, str]], width: int = WIDTH, s
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, names = sent.value
         size = (q["windows"] >= 0).sum(1)
-        for batch in batches:
+        for batch in batches if built else _indexed(batches):
             for b in range(batch.num_rows):
                 ids, starts, n_words, terms, at, positions = (batch.column(k)[b].values for k in range(6))
                 starts, n_words, terms, at, positions = (np.asarray(x).astype(np.int64) for x in (starts, n_words, terms, at, positions))
@@ -180,7 +188,7 @@ def search(index: DataFrame, items: list[tuple[str, str]], width: int = WIDTH, s
                     ["block", "row", "doc_id", "n_words", "spans"],
                 )
 
-    return map_arrow(index, scan, f"block long, row long, doc_id long, n_words long, spans {_SPANS}")
+    return map_arrow(index if built else _narrow(index), scan, f"block long, row long, doc_id long, n_words long, spans {_SPANS}")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int = SLOP) -> DataFrame:
@@ -195,12 +203,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop:
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string"))
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rounds = -(-size // TEST_BYTES) or 1
-    index = build_index(docs)
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds))
     if rounds == 1:
-        found = search(index, [tuple(r) for r in bench.collect()], width, slop)
+        found = search(docs, [tuple(r) for r in bench.collect()], width, slop, built=False)
     else:  # each round broadcasts its share; numbered blocks are kept, so that rounds meet again by row
-        kept = cut(index.withColumn("block", F.monotonically_increasing_id()))
+        kept = cut(build_index(docs).withColumn("block", F.monotonically_increasing_id()))
         found = None
         for k in range(rounds):
             share = [tuple(r) for r in bench.where(part == k).collect()]

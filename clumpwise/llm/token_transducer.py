@@ -262,7 +262,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         for batch in batches:
             n = [counter(t.as_py()) if t.is_valid else 0 for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
-        words.known.clear()
+        _COMPILED.clear()  # an idle worker holds no tokenizer
 
     size = F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long"))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), size.alias("n_bytes"))

@@ -381,7 +381,7 @@ def coded(docs: DataFrame, model_path: str) -> DataFrame:
                 exact = [a == b for a, b in zip(model.decode_all(flat, offs), part, strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(flat))
                 yield pa.record_batch([batch.column(0).slice(at, len(part)), lists, pa.array(exact, pa.bool_())], ["doc_id", "ids", "exact"])
-        model.forget()
+        _MODELS.clear()  # an idle worker holds no model
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), scan, "doc_id long, ids array<int>, exact boolean")
 
