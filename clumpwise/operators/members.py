@@ -155,14 +155,24 @@ def pair_potential(members: DataFrame, most: int = 1000) -> DataFrame:
 
     The bound is what makes the pairs of a structure fit one task; larger ones take ``large_potential``.
     """
-    small = members.groupBy("halo_id").agg(F.count("*").alias("n")).where(F.col("n") < most)
-    m = members.join(small, "halo_id").select("halo_id", "pid", "x", "y", "z", "mass")
-    a, b = m.alias("a"), m.alias("b")
-    pairs = a.join(b, (F.col("a.halo_id") == F.col("b.halo_id")) & (F.col("a.pid") < F.col("b.pid")))
-    d = F.sqrt(X.norm2(*[X.min_image(F.col(f"a.{c}") - F.col(f"b.{c}")) for c in "xyz"]))
-    e = F.when(d > 0, F.col("a.mass") * F.col("b.mass") / d)
-    sums = pairs.groupBy(F.col("a.halo_id").alias("halo_id")).agg((-X.G * F.sum(e)).alias("ep"))
-    return small.join(sums, "halo_id", "left").select("halo_id", F.coalesce("ep", F.lit(0.0)).alias("ep"))
+    import numpy as np
+    import pyarrow as pa
+
+    def one(table: pa.Table) -> pa.Table:
+        at = np.stack([table.column(c).to_numpy() for c in "xyz"], 1)
+        m = table.column("mass").to_numpy()
+        total = 0.0
+        for k in range(len(m) - 1):
+            d = at[k + 1 :] - at[k]
+            d -= np.rint(d)
+            r = np.sqrt((d * d).sum(1))
+            near = r > 0
+            total += m[k] * (m[k + 1 :][near] / r[near]).sum()
+        return pa.table({"halo_id": table.column("halo_id").slice(0, 1), "ep": [-X.G * total]})
+
+    small = members.groupBy("halo_id").agg(F.count("*").alias("n")).where(F.col("n") < most).select("halo_id")
+    m = members.join(small, "halo_id").select("halo_id", "x", "y", "z", "mass")
+    return m.groupBy("halo_id").applyInArrow(one, "halo_id long, ep double")
 
 
 def spin(props: DataFrame) -> DataFrame:
