@@ -325,3 +325,48 @@ def test_catalog_files(spark, tmp_path):
     again = catalog.read_catalog(spark, str(tmp_path), 12, "members")
     assert [r.pid for r in catalog.members_of(again, 1).collect()] == [3, 7]
     assert catalog.read_catalog(spark, str(tmp_path), 12, "header").first().attributes == {"aexp": "1.0"}
+
+
+def test_finder_end_to_end(spark):
+    from clumpwise.plans.programs import find_structures
+    from clumpwise.sources.text import RunConfig
+
+    r = np.random.default_rng(11)
+    blobs = [((0.2, 0.2, 0.2), 0.01, 250), ((0.23, 0.2, 0.2), 0.006, 150), ((0.98, 0.6, 0.01), 0.01, 250), ((0.5, 0.8, 0.6), 0.01, 40)]
+    rows = []
+    for c, s, n in blobs:
+        for p in r.normal(0, s, (n, 3)) + np.array(c):
+            rows.append((len(rows), 1 + len(rows) % 2, *map(float, p % 1), *map(float, r.normal(0, 1, 3)), 1.0))
+    rows += [(len(rows) + k, 1, *map(float, p), 0.0, 0.0, 0.0, 1.0) for k, p in enumerate(r.random((150, 3)))]
+    p = spark.createDataFrame(rows, "pid long, family int, x double, y double, z double, vx double, vy double, vz double, mass double")
+    found = find_structures(p, RunConfig(neighbours=16, hops=12, threshold=3e4, members=20, fudge=2.0), overdensity=1e3)
+    halos = {h.id: h for h in found.catalog.collect()}
+    assert 2 <= len(halos) <= 8 and set(halos) == set(range(1, len(halos) + 1))
+    assert {h.id for h in halos.values() if h.level == 1} == {h.hosthalo for h in halos.values()}
+    for c, n in (((0.2, 0.2, 0.2), 100), ((0.98, 0.6, 0.01), 100)):
+        d = [np.abs((np.array([h.px, h.py, h.pz]) - c) - np.rint(np.array([h.px, h.py, h.pz]) - c)).max() for h in halos.values()]
+        h = list(halos.values())[int(np.argmin(d))]
+        assert min(d) < 0.03 and h.n_members >= n and h.m == h.n_members
+    for h in halos.values():
+        assert h.ep < 0 <= h.ek and h.sha <= h.shb <= h.shc and (h.rvir is None or h.rvir <= h.r + 1e-12)
+    n = {m.halo_id: m["count"] for m in found.members.groupBy("halo_id").count().collect()}
+    assert n == {h.id: h.n_members for h in halos.values()}
+
+
+def test_gas_end_to_end(spark, tmp_path):
+    from clumpwise.plans.programs import summarise_gas, summarise_root
+    from clumpwise.sources.reader import TableReader
+
+    k = [(i, (i % 16 + 0.5) / 16, (i // 16 % 16 + 0.5) / 16, (i // 256 + 0.5) / 16, 4, 1.0, 10.0, 0.0, 0.0, 0.0, 0.02) for i in range(4096)]
+    cells = spark.createDataFrame(k, "cell_id long, x double, y double, z double, level int, rho double, p double, vx double, vy double, vz double, metal double")
+    parts = spark.createDataFrame([(1, 1, 0.5, 0.5, 0.51, 2.0), (2, 2, 0.02, 0.5, 0.5, 3.0)], "pid long, family int, x double, y double, z double, mass double")
+    tree = spark.createDataFrame([(1, 0, 1, 1, 0.5, 0.5, 0.5, 0.2), (2, 1, 2, 1, 0.55, 0.5, 0.5, 0.1), (3, 0, 1, 3, 0.0, 0.5, 0.5, 0.1)], "id long, hostsub long, level int, hosthalo long, px double, py double, pz double, r double")
+    reader = TableReader(cells, parts)
+    rows = {r.id: r for r in summarise_root(reader, tree, 1, depth=5).collect()}
+    assert set(rows) == {1, 2} and rows[1].m_dark == 2.0
+    assert rows[1].m_gas == pytest.approx(4 / 3 * math.pi * 0.2**3, rel=0.03) and rows[1].metal == pytest.approx(0.02)
+    schema = summarise_root(reader, tree, 1).schema
+    sink = RootSink(spark, str(tmp_path / "gas"), schema)
+    assert summarise_gas(sink, reader, tree, most=1) == {"processed": [1], "skipped": [], "remaining": [3]}
+    assert summarise_gas(sink, reader, tree)["processed"] == [3]
+    assert {r.id: r.m_star for r in sink.rows().collect()}[3] == 3.0
