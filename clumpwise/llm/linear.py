@@ -9,8 +9,8 @@ def logistic(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -35.0, 35.0)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Weights (the last is the intercept) of a ridge logistic model by Newton's method.
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
+    """Weights (the last is the intercept) of a ridge logistic model by Newton's method with halved steps.
 
     With rows of one kind only, or none, the model is the smoothed share alone.
     """
@@ -22,12 +22,24 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
         return w
     a = np.concatenate([x, np.ones((n, 1))], 1)
     penalty = np.full(k + 1, ridge)
-    penalty[k] = 1e-6
+    penalty[k] = 1e-3
+    def loss(w: np.ndarray) -> float:
+        z = a @ w
+        return float(np.logaddexp(0.0, z).sum() - (y * z).sum() + 0.5 * (penalty * w * w).sum())
+
+    now = loss(w)
     for _ in range(steps):
         p = logistic(a @ w)
         v = np.maximum(p * (1 - p), 1e-6)
         step = np.linalg.solve(a.T @ (a * v[:, None]) + np.diag(penalty), a.T @ (y - p) - penalty * w)
-        w += step
-        if np.abs(step).max() < 1e-6:
+        # a full step may overshoot where the classes come apart: it is halved until the loss falls
+        size, then = 1.0, loss(w + step)
+        while then > now and size > 1e-6:
+            size /= 2
+            then = loss(w + size * step)
+        if then > now:
+            break
+        w, gain, now = w + size * step, now - then, then
+        if gain < 1e-7 * max(now, 1.0):
             break
     return w

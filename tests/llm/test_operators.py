@@ -230,6 +230,20 @@ def test_toxicity_held_out(spark):
     assert sum(a == b for a, b in held) / len(held) > 0.97
 
 
+def test_logistic_fit_of_separable_rows():
+    import numpy as np
+
+    from clumpwise.llm.linear import fit_logistic, logistic
+
+    r = np.random.default_rng(1)
+    for rare in (0.5, 0.05, 0.004):
+        x = (r.random((6000, 40)) < rare).astype(float)
+        y = (x[:, :20].sum(1) > 0).astype(float)
+        w = fit_logistic(np.concatenate([x, 50 * x[:, :1]], 1), y)
+        p = logistic(np.concatenate([x, 50 * x[:, :1]], 1) @ w[:-1] + w[-1])
+        assert np.isfinite(w).all() and np.abs(w).max() < 50 and ((p > 0.5) == (y > 0.5)).mean() > 0.999
+
+
 def test_phrase_index(spark, docs, texts, empty):
     from clumpwise.llm import phrase_index as P
 
