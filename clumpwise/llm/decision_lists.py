@@ -33,6 +33,7 @@ FEATURES: dict[str, str] = {
     "upper": "n_upper / greatest(word_chars, 1)",
     "marks": "n_marks / greatest(word_chars, 1)",
     "distinct": "n_distinct / greatest(n_words, 1)",
+    "stutter": "n_stutter / greatest(n_words, 1)",
 }
 
 
@@ -42,8 +43,8 @@ def statistics(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     n_words, word_chars (code points in words), n_symbols (of ``#*$%&|<>``),
     n_lines (with a word), n_dup_lines (of those, equal to an earlier one),
     n_repeat_words (words in three-word windows that occur twice or more),
-    n_distinct (words), n_upper (A-Z), n_marks (``!?``); a null text has none of
-    any. Windows are compared by 64-bit hashes whose low bits, as many as a
+    n_distinct (words), n_stutter (words equal to the one before), n_upper (A-Z),
+    n_marks (``!?``); a null text has none of any. Windows are compared by 64-bit hashes whose low bits, as many as a
     place in the text needs, make room for the place.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
@@ -64,13 +65,14 @@ def statistics(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
         F.size("w").alias("n_words"),
         F.length(F.array_join("w", "")).alias("word_chars"),
         F.size(F.array_distinct("w")).alias("n_distinct"),
+        F.expr("size(filter(w, (x, i) -> x <=> get(w, i - 1)))").alias("n_stutter"),
         F.size("lines").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
         "n_symbols",
         "n_upper",
         "n_marks",
     )
-    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_distinct", "n_lines", "n_upper", "n_marks")
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_distinct", "n_lines", "n_upper", "n_marks", "n_stutter")
     three = two.select(
         *names,
         *counts,
