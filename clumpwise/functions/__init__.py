@@ -1 +1 @@
-"""."""
+"""Column functions and scalar cosmology."""

@@ -1 +1 @@
-"""."""
+"""DataFrame operators on structures, particles and cells."""

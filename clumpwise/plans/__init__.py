@@ -1 +1 @@
-"""."""
+"""Registered queries and the programs end to end."""

@@ -1 +1 @@
-"""."""
+"""Readers, views of the test tables, and parameters."""

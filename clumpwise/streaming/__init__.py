@@ -1 +1 @@
-"""."""
+"""Restartable work and streams."""
