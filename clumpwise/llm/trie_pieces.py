@@ -34,11 +34,12 @@ MARK = "▁"
 #: What the unknown piece reads as.
 UNKNOWN = " \u2047 "
 #: Most words and pairs remembered by one worker, and the longest word remembered.
-WORDS, PAIRS, REMEMBERED = 500_000, 300_000, 64
+WORDS, PAIRS, REMEMBERED = 600_000, 300_000, 64
 #: Characters of texts whose words are sorted together.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 2_000_000
 
-_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+# inside, marks are spaces: such strings are smaller and faster than those with marks
+_WORD = re.compile(r" *[^ ]+| +")
 
 
 class PieceModel:
@@ -53,8 +54,8 @@ class PieceModel:
         self.is_byte = [sp.is_byte(i) for i in range(n)]
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.is_byte[i]}
         plain = [i for i in range(n) if not (self.is_byte[i] or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        self.ids = {self.pieces[i]: i for i in plain}
-        if len(self.bytes) != 256 or any(MARK in p.lstrip(MARK) for p in self.ids) or sp.encode("a  b", out_type=str) != [MARK + "a", MARK, MARK + "b"]:
+        self.ids = {self.pieces[i].replace(MARK, " "): i for i in plain}
+        if len(self.bytes) != 256 or any(" " in p.lstrip(" ") for p in self.ids) or sp.encode("a  b", out_type=str) != [MARK + "a", MARK, MARK + "b"]:
             raise ValueError("a model with byte pieces, marks at the front and unchanged white space is needed")
         own = [b"" if sp.is_control(i) else UNKNOWN.encode() if sp.is_unknown(i) else bytes([int(p[3:5], 16)]) if self.is_byte[i] else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
         self.size = np.asarray([len(x) for x in own], np.int64)
@@ -68,14 +69,14 @@ class PieceModel:
         self.known: dict[str, int] = {}
         self.row, self.rows_at = array("i"), array("q", [0])
         self.pairs: dict[int, bool] = {}
-        self.whole: dict[int, bool] = {}
         self.text: dict[int, str] = {i: p for p, i in self.ids.items()}
         self.trie: dict = {}
         for p, i in self.ids.items():
             node = self.trie
             for c in p:
                 node = node.setdefault(c, {})
-            node[0] = i
+            if self.merged(p) == [p]:  # else the merges never end in this piece
+                node[0] = i
 
     def merged(self, text: str) -> list[str]:
         """The segmentation by definition: the adjacent pair whose piece scores best is merged first, leftmost on a tie."""
@@ -100,11 +101,6 @@ class PieceModel:
                     heapq.heappush(heap, (-score[q], a, q))
         return [p for p in parts if p is not None]
 
-    def _whole(self, b: int) -> bool:
-        """Whether the merges of a piece's own characters give it back."""
-        ok = self.whole[b] = self.merged(self.text[b]) == [self.text[b]]
-        return ok
-
     def _adjacent(self, a: int, b: int) -> bool:
         """Whether the merges leave piece b beside piece a: none of them crosses the border."""
         if len(self.pairs) >= PAIRS:
@@ -134,10 +130,9 @@ class PieceModel:
         return ok
 
     def _single(self, c: str) -> int:
-        """The number of a character that is no piece (beyond all pieces)."""
+        """The number of a character that is no piece, beyond those of all pieces."""
         number = len(self.pieces) + ord(c)
         self.text[number] = c
-        self.whole[number] = True
         return number
 
     def _numbers(self, path: Sequence[int]) -> tuple[int, ...]:
@@ -149,20 +144,22 @@ class PieceModel:
             if p < n:
                 out.append(p)
             else:
-                out.extend(self.bytes[x] for x in chr(p - n).encode("utf-8", "surrogatepass"))
+                c = chr(p - n)
+                out.extend(self.bytes[x] for x in (MARK if c == " " else c).encode("utf-8", "surrogatepass"))
         return tuple(out)
 
     def walk(self, words: Sequence[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
-        """(word, ids) of sorted distinct words: a depth-first walk of their trie that reuses forward cells.
+        """(word, ids) of sorted distinct words (without first marks): a depth-first walk of their trie that reuses forward cells.
 
         Besides its cell, each depth keeps the places where a piece may have
         begun, with the node of the pieces' own trie that it has come to.
         """
-        root, whole, pairs = self.trie, self.whole, self.pairs
+        root, pairs = self.trie, self.pairs
         last, begun = [-1], [0]  # the forward cells: last piece (-2: none) and where it begins
-        open_: list[list[tuple[int, dict]]] = [[]]
+        open_: list[list[tuple[int, dict]]] = [[(0, root)]]
         before = ""
-        for word in words:
+        for key in words:
+            word = " " + key
             depth = 0
             for x, y in zip(before, word, strict=False):
                 if x != y:
@@ -173,32 +170,23 @@ class PieceModel:
                 c = word[at]
                 cell = now = -2
                 still = []
-                for begin, node in (*open_[at], (at, root)):
+                for begin, node in open_[at]:
                     node = node.get(c)
                     if node is None:
-                        if begin < at:
-                            continue
-                        piece = self._single(c)
-                    else:
-                        still.append((begin, node))
-                        piece = node.get(0)
-                        if piece is None:
-                            if begin < at:
-                                continue
-                            piece = self._single(c)
-                    if cell != -2:
                         continue
-                    ok = whole.get(piece)
-                    if ok is None:
-                        ok = self._whole(piece)
-                    if ok and (left := last[begin]) != -1:
-                        if left == -2:
-                            continue
-                        ok = pairs.get(left << 24 | piece)
-                        if ok is None:
-                            ok = self._adjacent(left, piece)
-                    if ok:
-                        cell, now = piece, begin
+                    still.append((begin, node))
+                    if cell == -2 and (piece := node.get(0)) is not None and (left := last[begin]) != -2:
+                        if left == -1:
+                            cell, now = piece, begin
+                        else:
+                            ok = pairs.get(left << 24 | piece)
+                            if ok or ok is None and self._adjacent(left, piece):
+                                cell, now = piece, begin
+                if cell == -2 and c not in self.ids and (left := last[at]) != -2:
+                    piece = self._single(c)
+                    if left == -1 or self._adjacent(left, piece):
+                        cell, now = piece, at
+                still.append((at + 1, root))
                 last.append(cell)
                 begun.append(now)
                 open_.append(still)
@@ -209,19 +197,25 @@ class PieceModel:
                 at = begun[at]
             if at:
                 path = [self.ids[p] if p in self.ids else self._single(p) for p in reversed(self.merged(word))]
-            yield word, self._numbers(path[::-1])
+            yield key, self._numbers(path[::-1])
 
     def words(self, text: str) -> list[str]:
-        """The marked words of a text; an empty text has none."""
-        return _WORD.findall(MARK + text.replace(" ", MARK)) if text else []
+        """The marked words of a text, each without its first mark; an empty text has none."""
+        if not text:
+            return []
+        if MARK in text:
+            text = text.replace(MARK, " ")
+        if "  " in text or text[0] == " " or text[-1] == " ":
+            return [w[1:] for w in _WORD.findall(" " + text)]
+        return text.split(" ")
 
     def forget(self) -> None:
         """Drop the remembered words (what may stand side by side is kept)."""
         self.known = {}
         self.row, self.rows_at = array("i"), array("q", [0])
 
-    def encode_all(self, texts: Sequence[str]) -> list[np.ndarray]:
-        """The ids of each text, without begin and end pieces."""
+    def encode_flat(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, without begin and end pieces, and n + 1 offsets."""
         split = [self.words(t) for t in texts]
         new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > WORDS:
@@ -233,15 +227,19 @@ class PieceModel:
             row.extend(ids)
             rows_at.append(len(row))
         rows, at = np.array(row, np.int32), np.array(rows_at)
-        lens = np.diff(at)
-        out = []
-        for ws in split:
-            k = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
-            out.append(rows[ramp(at[k], lens[k])])
+        k = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64)
+        lens = np.diff(at)[k]
+        flat = rows[ramp(at[k], lens)]
+        ends = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum([len(ws) for ws in split])]).astype(np.int64)]
         for w in new:
             if len(w) > REMEMBERED:
                 del known[w]
-        return out
+        return flat, ends
+
+    def encode_all(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        flat, ends = self.encode_flat(texts)
+        return [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
     def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """The texts of lists of ids, ``ids[offsets[k] : offsets[k + 1]]``; the same as ``decode`` of each."""
@@ -338,9 +336,8 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for at, part in _parts(texts):
-                ids = model.encode_all(part)
-                offs = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(ids)))
+                flat, offs = model.encode_flat(part)
+                lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(flat))
                 yield pa.record_batch([*(batch.column(k).slice(at, len(part)) for k in (0, 1)), lists], ["doc_id", "text", "ids"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), scan, "doc_id long, text string, ids array<int>")
@@ -375,13 +372,11 @@ def coded(docs: DataFrame, model_path: str) -> DataFrame:
         model = loaded(blob.value)
         for batch in batches:
             for at, part in _parts(batch.column(1).to_pylist()):
-                ids = model.encode_all(part)
-                offs = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-                flat = np.concatenate(ids)
+                flat, offs = model.encode_flat(part)
                 exact = [a == b for a, b in zip(model.decode_all(flat, offs), part, strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(flat))
                 yield pa.record_batch([batch.column(0).slice(at, len(part)), lists, pa.array(exact, pa.bool_())], ["doc_id", "ids", "exact"])
-        _MODELS.clear()  # an idle worker holds no model
+        model.forget()  # an idle worker holds the model, but no words
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), scan, "doc_id long, ids array<int>, exact boolean")
 
