@@ -34,7 +34,7 @@ MARK = "▁"
 #: What the unknown piece reads as.
 UNKNOWN = " \u2047 "
 #: Most words and pairs remembered by one worker, and the longest word remembered.
-WORDS, PAIRS, REMEMBERED = 600_000, 300_000, 64
+WORDS, PAIRS, REMEMBERED = 400_000, 300_000, 64
 #: Characters of texts whose words are sorted together.
 SLICE_CHARS = 2_000_000
 
