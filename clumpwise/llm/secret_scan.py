@@ -10,12 +10,15 @@ False discoveries (composed names taken for secrets) are controlled for each
 encoding and length on its own, as short runs give weak tests: p-values of truly random
 runs are uniform, so Storey's count above 1/2 tells how many random runs a
 stratum holds, and the threshold is the least at which the share of other runs
-among those above it is at most ``alpha``. The counts cover all runs of all
-documents, in a table of fixed size.
+among those above it is at most ``alpha``. The counts cover the distinct runs of
+all documents, as copies of a run are one draw, in a table of fixed size. The
+estimate needs some runs: a stratum of few is counted together with the nearest
+lengths of its encoding, and an encoding of few has a fixed threshold.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -32,6 +35,8 @@ from clumpwise.llm.textops import map_arrow
 KINDS = ("assign", "access", "hex", "random")
 #: Steps of the p-values' histogram, and the lengths at which strata begin.
 STEPS, LENGTHS = 50, (20, 24, 28, 32, 40, 48, 64, 96, 128, 256)
+#: Distinct runs that the estimate needs (it loses some 4% of random runs at so many), and the threshold of encodings that have fewer.
+LEAST, FIXED = 200, 0.04
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -125,19 +130,37 @@ def thresholds(docs: DataFrame, alpha: float = 0.1) -> dict[str, float]:
     """The least p-value that counts as random, by stratum, from the runs of all documents."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[tuple[str, int]] = Counter()
         for batch in batches:
+            seen: dict[tuple[str, bytes], int] = {}
             for t in batch.column(0):
                 if t.is_valid:
-                    seen.update((s, min(int(p * STEPS), STEPS - 1)) for s, _, _, p in runs_of(t.as_py()))
-        keys = list(seen)
-        yield pa.record_batch([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())], ["s", "step", "n"])
+                    text = t.as_py()
+                    for s, a, b, p in runs_of(text):
+                        seen[s, hashlib.blake2b(text[a:b].encode(), digest_size=16).digest()] = min(int(p * STEPS), STEPS - 1)
+            keys = list(seen)
+            yield pa.record_batch([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()), pa.array(list(seen.values()), pa.int64())], ["s", "run", "step"])
 
-    counted = map_arrow(docs.select(F.col("text").cast("string")), scan, "s string, step long, n long")
+    runs = map_arrow(docs.select(F.col("text").cast("string")), scan, "s string, run binary, step long").distinct()
     table: dict[str, list[int]] = {}
-    for s, step, n in counted.groupBy("s", "step").agg(F.sum("n")).collect():  # encodings x lengths x steps at most
+    for s, step, n in runs.groupBy("s", "step").agg(F.count("*")).collect():  # encodings x lengths x steps at most
         table.setdefault(s, [0] * STEPS)[step] = n
-    return {s: t for s, n in table.items() if (t := least_random(n, alpha)) is not None}
+    found = {s: least_random(n, alpha) if sum(n) >= LEAST else FIXED for s, n in pooled(table).items()}
+    return {s: t for s, t in found.items() if t is not None}
+
+
+def pooled(table: dict[str, list[int]]) -> dict[str, list[int]]:
+    """The counts of each stratum; one of fewer than ``LEAST`` runs takes in its encoding's nearest lengths until there are as many."""
+    out = {}
+    for s in table:
+        encoding, length = s.split(":")
+        at = LENGTHS.index(int(length))
+        counts = [0] * STEPS
+        for x in sorted(LENGTHS, key=lambda x: (abs(LENGTHS.index(x) - at), x)):
+            if sum(counts) >= LEAST:
+                break
+            counts = [a + b for a, b in zip(counts, table.get(f"{encoding}:{x}", [0] * STEPS), strict=True)]
+        out[s] = counts
+    return out
 
 
 def least_random(counts: list[int], alpha: float) -> float | None:
