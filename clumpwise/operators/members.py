@@ -153,7 +153,7 @@ def kinetic_energy(members: DataFrame, centres: DataFrame, hubble: float) -> Dat
 def pair_potential(members: DataFrame, most: int = 1000) -> DataFrame:
     """-G sum of m m / distance over all pairs of structures with fewer than ``most`` members; coincident pairs count nothing.
 
-    The bound is what makes the pairs of a structure fit one task; larger ones take ``large_potential``.
+    The bound is what makes the pairs of a structure fit one task; larger ones have no row here, but in ``large_potential``.
     """
     import numpy as np
     import pyarrow as pa
@@ -175,6 +175,37 @@ def pair_potential(members: DataFrame, most: int = 1000) -> DataFrame:
     return m.groupBy("halo_id").applyInArrow(one, "halo_id long, ep double")
 
 
+def large_potential(members: DataFrame, centres: DataFrame, most: int = 1000) -> DataFrame:
+    """The outer value of the shells' potential, of structures of at least ``most`` members.
+
+    Where that is null or vanishes (flat or coincident members have no ellipsoidal shells), the value of a homogeneous
+    ellipsoid of the principal axes; 0 if all members coincide. No structure is taken whole into a task.
+    """
+    from clumpwise.functions.cosmology import ellipsoid_potential
+    from clumpwise.operators import profiles as R
+
+    large = members.groupBy("halo_id").agg(F.count("*").alias("n"), F.sum("mass").alias("m")).where(F.col("n") >= most)
+    rows = members.join(large.select("halo_id"), "halo_id")
+    ax = axes(inertia(rows, centres))
+    rel = relative(rows, centres).join(ax, "halo_id").where("sha > 0").withColumn("v2", F.lit(0.0))
+    turned = {f"d{a}": sum((F.col(f"d{c}") * F.col("v")[3 * i + j] for i, c in enumerate("xyz")), F.lit(0.0)) for j, a in enumerate("abc")}
+    shells = R.shell_potential(R.shell_table(R.in_shells(rel.withColumns(turned))))
+    outer = shells.groupBy("halo_id").agg(F.min("w_in").alias("outer"))
+
+    @F.udf("double")
+    def ellipsoid(m, a, b, c):
+        # the integral diverges where two axes vanish
+        return ellipsoid_potential(m, a, b, c, X.G) if b else 0.0
+
+    out = large.join(ax, "halo_id", "left").join(outer, "halo_id", "left")
+    return out.select("halo_id", F.when(F.col("outer") < 0, F.col("outer")).otherwise(ellipsoid("m", "sha", "shb", "shc")).alias("ep"))
+
+
+def potential(members: DataFrame, centres: DataFrame, most: int = 1000) -> DataFrame:
+    """The potential energy of every structure: all pairs below ``most`` members, the shells beyond."""
+    return pair_potential(members, most).unionByName(large_potential(members, centres, most))
+
+
 def spin(props: DataFrame) -> DataFrame:
     """|L| sqrt|et| / (m^2.5 G) of rows with Lx, Ly, Lz, et, m."""
     l = F.sqrt(X.norm2("Lx", "Ly", "Lz"))
