@@ -64,11 +64,11 @@ from part where p_partkey<60""",
     ),
     "root_log": (
         ('events',),
-        """select cast(event_id%100+1 as bigint) as root_id, count(*) as cells_read, cast(sum(case when event_type='error' then 1 else 0 end) as bigint) as n_fail, max(ts) as last_ts from events where event_id%3=0 group by event_id%100""",
+        """select cast(event_id%100+1 as bigint) as root_id, count(*) as cells_read, cast(sum(case when event_type='error' then 1 else 0 end) as bigint) as n_fail, max(ts) as last_ts from events group by event_id%100""",
     ),
     "snapshot_jobs": (
         ('events',),
-        """select cast(event_id as bigint) as line_no, cast(event_id%40 as int) as numstep, event_type as source_tag, case when event_id%17=0 then concat('p',cast(user_id as varchar(20))) else '' end as line_prefix from events where event_id<200""",
+        """select cast(event_id as bigint) as line_no, cast(event_id%40 as int) as numstep, event_type as source_tag, case when event_id%17=0 then concat('p',cast(user_id as varchar(20))) else '' end as line_prefix from events""",
     ),
 }
 

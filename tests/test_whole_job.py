@@ -33,3 +33,11 @@ def test_potential_of_every_structure_of_a_table(spark, tmp_path):
     items.withColumn("l_suppkey", F.lit(1).cast(items.schema["l_suppkey"].dataType)).limit(1500).write.parquet(str(tmp_path / "lineitem.parquet"))
     rows = registry.queries()["d11_pair_potential"](spark, str(tmp_path)).collect()
     assert [r.halo_id for r in rows] == [2] and rows[0].ep < 0
+
+
+def test_log_and_jobs_hold_all_events(spark):
+    sf = "/root/testdata/sf0.01"
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    total = registry.queries()["d38_run_totals"](spark, sf).first()
+    assert n > 200 and total.n_roots == 100 and total.cells_read == n
+    assert registry.queries()["a11_output_names"](spark, sf).count() == n
