@@ -27,6 +27,12 @@ def catalog_read(h: DataFrame) -> DataFrame:
     return h.where("level <= 3").select("id", "hosthalo", "level", "box_id", "px", "py", "pz", "r", "rvir")
 
 
+@query("a14_whole_catalog", ("halos",), "select id, hosthalo, level, box_id, px, py, pz, r, rvir from halos")
+def whole_catalog(h: DataFrame) -> DataFrame:
+    """All levels; ``a14_catalog`` is the read under a predicate."""
+    return h.select("id", "hosthalo", "level", "box_id", "px", "py", "pz", "r", "rvir")
+
+
 _BOX = "(select id, 0.3e0 as lo_x, 0.3e0+r*4 as hi_x, 0.1e0 as lo_y, 0.5e0 as hi_y, 0.2e0 as lo_z, 0.2e0+r*8 as hi_z from halos where level=1)"
 
 

@@ -41,3 +41,8 @@ def test_log_and_jobs_hold_all_events(spark):
     total = registry.queries()["d38_run_totals"](spark, sf).first()
     assert n > 200 and total.n_roots == 100 and total.cells_read == n
     assert registry.queries()["a11_output_names"](spark, sf).count() == n
+
+
+def test_whole_catalog(spark):
+    sf = "/root/testdata/sf0.01"
+    assert registry.queries()["a14_whole_catalog"](spark, sf).count() == spark.read.parquet(f"{sf}/supplier.parquet").count()
