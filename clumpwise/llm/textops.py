@@ -10,7 +10,9 @@ import contextlib
 import ctypes
 import gc
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -18,12 +20,13 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Text bytes handled at once by the vectorised kernels (one longer document goes alone).
 SLICE_BYTES = 1 << 19
 
-#: Rows of an Arrow batch on the way to Python, so that long texts stay bounded.
+#: Rows that a function sees at once, so that long texts stay bounded (Spark's own batches are bounded in bytes).
 BATCH_ROWS = 512
 
 _U = np.uint64
@@ -52,9 +55,14 @@ def release() -> None:
 
 
 def _released(fn: Callable) -> Callable:
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, max(b.num_rows, 1), BATCH_ROWS):
+                yield b.slice(k, BATCH_ROWS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from fn(batches)
+            yield from fn(few(batches))
         finally:
             release()
 
@@ -63,17 +71,17 @@ def _released(fn: Callable) -> Callable:
 
 def map_arrow(df: DataFrame, fn: Callable, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with the package shipped and Arrow batches of bounded rows."""
-    spark = df.sparkSession
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    ship(df.sparkSession)
     return df.mapInArrow(_released(fn), schema)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one is set only where it is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode and an error on a cluster."""
     sc = spark.sparkContext
     place = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         place = getattr(sc, "_clumpwise_checkpoint", None) or tempfile.mkdtemp(prefix="clumpwise-")
         sc._clumpwise_checkpoint = place
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -87,6 +95,53 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again, where later reads want few of its columns.
+
+    ``drop_stored`` removes what a session has stored so.
+    """
+    spark = df.sparkSession
+    place = f"{checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    _STORED.append(place)
+    return spark.read.parquet(place)
+
+
+def drop_folder(spark: SparkSession, place: str) -> None:
+    """Delete a folder of the shared store."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete all tables of ``stored``; nothing that still reads them may be left."""
+    while _STORED:
+        drop_folder(spark, _STORED.pop())
+
+
+_STORED: list[str] = []
+
+
+def sampled_ids(labels: DataFrame, sample: int) -> DataFrame:
+    """The rows of ``labels`` (distinct doc_id) of at most ``sample`` doc_ids, those of least hash.
+
+    A bound on the hash is guessed from the count and then made exact from the
+    hashes below it, so about ``sample`` longs reach the driver however many tasks there are.
+    """
+    hashed = labels.withColumn("_h", F.xxhash64("doc_id"))
+    n = labels.count()
+    if n <= sample:
+        return labels
+    share = 1.2 * sample / n + 64 / n
+    while True:
+        bound = -(1 << 63) + min(int(share * 2.0**64), (1 << 64) - 1)
+        found = sorted(r[0] for r in hashed.where(F.col("_h") <= bound).select("_h").collect())
+        if len(found) > sample or bound == (1 << 63) - 1:
+            break
+        share *= 2
+    return hashed.where(F.col("_h") < (found[sample] if len(found) > sample else bound)).drop("_h")
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n + 1 offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
