@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clumpwise.llm.textops import cut
+from clumpwise.llm.textops import cut, sampled_ids
 
 #: Labelled rows that are fitted at most: those of least hash of doc_id.
 SAMPLE = 20_000
@@ -44,8 +44,8 @@ def statistics(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     n_lines (with a word), n_dup_lines (of those, equal to an earlier one),
     n_repeat_words (words in three-word windows that occur twice or more),
     n_distinct (words), n_stutter (words equal to the one before), n_upper (A-Z),
-    n_marks (``!?``); a null text has none of any. Windows are compared by 64-bit hashes whose low bits, as many as a
-    place in the text needs, make room for the place.
+    n_marks (``!?``); a null text has none of any. Windows that may repeat are found by 64-bit hashes whose low bits,
+    as many as a place in the text needs, make room for the place; those found are then compared by their words.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
     gone = lambda pattern: F.length(t) - F.length(F.regexp_replace(t, pattern, ""))
@@ -76,6 +76,7 @@ def statistics(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     three = two.select(
         *names,
         *counts,
+        "w",
         F.expr("shiftleft(1L, length(bin(n_words))) - 1").alias("low"),
         F.expr(
             """case when n_words < 3 then cast(array() as array<bigint>) else sort_array(transform(sequence(0, n_words - 3),
@@ -85,10 +86,15 @@ def statistics(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     four = three.select(
         *names,
         *counts,
-        F.expr("sort_array(transform(filter(s, (x, j) -> (get(s, j - 1) | low) <=> (x | low) or (get(s, j + 1) | low) <=> (x | low)), x -> x & low))").alias("at"),
+        F.expr(
+            """sort_array(transform(filter(s, (x, j) -> (get(s, j - 1) | low) <=> (x | low) or (get(s, j + 1) | low) <=> (x | low)),
+            x -> named_struct('a', w[cast(x & low as int)], 'b', w[cast(x & low as int) + 1], 'c', w[cast(x & low as int) + 2], 'p', x & low)))"""
+        ).alias("s"),
     )
+    same = lambda k: f"(get(s, j + {k}).a <=> x.a and get(s, j + {k}).b <=> x.b and get(s, j + {k}).c <=> x.c)"
+    five = four.select(*names, *counts, F.expr(f"sort_array(transform(filter(s, (x, j) -> {same(-1)} or {same(1)}), x -> x.p))").alias("at"))
     repeat = F.expr("aggregate(at, named_struct('n', 0L, 'e', 0L), (a, p) -> named_struct('n', a.n + p + 3 - greatest(p, a.e), 'e', p + 3), a -> a.n)")
-    return four.select(
+    return five.select(
         *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)],
         *[F.col(c).cast("long").alias(c) for c in counts],
         repeat.alias("n_repeat_words"),
@@ -188,9 +194,15 @@ def verdict(rules: Sequence[Rule]) -> Column:
 
 
 def labelled(stats: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most ``sample`` labelled rows (least hash of doc_id), collected."""
-    one = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null").dropDuplicates(["doc_id"])
-    rows = stats.join(one, "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", "y", *features()).orderBy("h", "doc_id", "y").limit(sample).collect()
+    """Features and labels of at most ``sample`` labelled doc_ids (least hash), collected by rising hash.
+
+    Of rows of one doc_id the one of least statistics counts, of labels the least.
+    """
+    one = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("y"))
+    few = sampled_ids(one, sample)
+    found = stats.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min(F.struct("y", *features())).alias("r"))
+    rows = found.select(F.xxhash64("doc_id"), "doc_id", "r.*").collect()
+    rows.sort(key=lambda r: (r[0], r[1]))
     x = np.asarray([r[3:] for r in rows], float).reshape(len(rows), len(FEATURES))
     return x, np.asarray([r[2] for r in rows], int)
 
