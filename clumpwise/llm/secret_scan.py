@@ -3,13 +3,16 @@ r"""Secret scans: fixed patterns and a battery of randomness tests.
 Runs of encoding characters that mix letters and digits are tested against
 uniform draws from the alphabet inferred for them (hexadecimal, base 32, 36, 62
 or 64): chi-squared uniformity of the characters, Wald-Wolfowitz runs about the
-alphabet's middle, and lag-1 serial correlation. The three p-values combine by
-Bonferroni's minimum. A run that is not rejected looks random.
+alphabet's middle, and lag-1 serial correlation. The battery's value is the most
+extreme of the three deviations; its p-value is its place among the values of
+simulated uniform draws of the same alphabet size and length, so that it is
+uniform for random runs although the tests depend on each other and on the
+length. A run that is not rejected looks random.
 
 False discoveries (composed names taken for secrets) are controlled for each
 encoding and length on its own, as short runs give weak tests: p-values of truly random
-runs are uniform, so Storey's count above 1/2 tells how many random runs a
-stratum holds, and the threshold is the least at which the share of other runs
+runs are uniform, those of composed runs fall off, so a uniform part and an exponential one fitted
+to the p-values tell how many random runs a stratum holds, and the threshold is the least at which the share of other runs
 among those above it is at most ``alpha``. The counts cover the distinct runs of
 all documents, as copies of a run are one draw, in a table of fixed size. The
 estimate needs some runs: a stratum of few is counted together with the nearest
@@ -21,9 +24,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +41,10 @@ KINDS = ("assign", "access", "hex", "random")
 STEPS, LENGTHS = 50, (20, 24, 28, 32, 40, 48, 64, 96, 128, 256)
 #: Distinct runs that the estimate needs (it loses some 4% of random runs at so many), and the threshold of encodings that have fewer.
 LEAST, FIXED = 200, 0.04
+#: Draws that are simulated for an alphabet size and length.
+DRAWS = 4096
+#: The step from which p-values are fitted, the falling part's scales that are tried, and the share of ``alpha`` that is aimed at.
+FROM, SCALES, MARGIN = 5, (0.03, 0.06, 0.1, 0.15, 0.2, 0.3), 0.9
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -81,34 +89,43 @@ def encoding_of(run: str) -> tuple[str, str] | None:
     return None
 
 
-def _two_sided(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2))
+def deviations(x: np.ndarray, k: int) -> np.ndarray:
+    """The battery's value of each row of characters 0 to k - 1: the largest deviation of the three tests, in standard units."""
+    m, n = x.shape
+    count = np.bincount((np.arange(m)[:, None] * k + x).ravel(), minlength=m * k).reshape(m, k)
+    chi = (count * count).sum(1) * k / n - n
+    # Wilson-Hilferty; both tails, as counting sequences are too even
+    z_chi = (np.cbrt(np.maximum(chi, 0.0) / (k - 1)) - 1 + 2 / (9 * (k - 1))) / math.sqrt(2 / (9 * (k - 1)))
+    high = 2 * x >= k
+    a = high.sum(1)
+    runs, mean = 1 + (high[:, 1:] != high[:, :-1]).sum(1), 1 + 2 * a * (n - a) / n
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    z_runs = np.where(var > 0, (runs - mean) / np.sqrt(np.where(var > 0, var, 1.0)), 0.0)
+    z_runs[(a == 0) | (a == n)] = math.sqrt(n)  # no run ends at all
+    d = x - x.mean(1, keepdims=True)
+    power = (d * d).sum(1)
+    r = np.where(power > 0, (d[:, 1:] * d[:, :-1]).sum(1) / np.where(power > 0, power, 1.0), 1.0)
+    return np.maximum(np.maximum(np.abs(z_chi), np.abs(z_runs)), np.abs((r + 1 / n) * math.sqrt(n)))
+
+
+@lru_cache(maxsize=1024)
+def null_values(k: int, n: int) -> np.ndarray:
+    """Rising values of ``DRAWS`` simulated uniform draws of n characters from k, the same in every worker."""
+    return np.sort(deviations(np.random.default_rng((k, n)).integers(0, k, (DRAWS, n)), k))
+
+
+def simulated_length(n: int) -> int:
+    """The length at which runs of n characters are simulated: each up to 64, then steps in which the values hardly change."""
+    return n if n <= 64 else n // 16 * 16 if n < 256 else 256 if n < 512 else 512
 
 
 def randomness(run: str, letters: str) -> float:
-    """Combined p-value of the battery against uniform draws from ``letters``; near 1 for the most even runs."""
-    n, k = len(run), len(letters)
+    """p-value of the battery against uniform draws from ``letters``; uniform for random runs."""
     index = {c: i for i, c in enumerate(letters)}
-    x = [index[c] for c in run]
-    chi = sum(v * v for v in Counter(x).values()) * k / n - n
-    # Wilson-Hilferty; both tails, as counting sequences are too even
-    z = ((max(chi, 0.0) / (k - 1)) ** (1 / 3) - 1 + 2 / (9 * (k - 1))) / math.sqrt(2 / (9 * (k - 1)))
-    p = [_two_sided(z)]
-    high = [v >= k / 2 for v in x]
-    a = sum(high)
-    b = n - a
-    if a and b:
-        runs = 1 + sum(p_ != q for p_, q in zip(high, high[1:], strict=False))
-        mean = 1 + 2 * a * b / n
-        var = (mean - 1) * (mean - 2) / (n - 1)
-        p.append(_two_sided((runs - mean) / math.sqrt(var)) if var > 0 else 1.0)
-    else:
-        p.append(2.0 ** (1 - n))
-    m = sum(x) / n
-    power = sum((v - m) ** 2 for v in x)
-    r = sum((u - m) * (v - m) for u, v in zip(x, x[1:], strict=False)) / power if power else 1.0
-    p.append(_two_sided((r + 1 / n) * math.sqrt(n)))
-    return min(1.0, 3 * min(p))
+    value = deviations(np.asarray([[index[c] for c in run]]), len(letters))[0]
+    null = null_values(len(letters), simulated_length(len(run)))
+    at_most, below = np.searchsorted(null, value, "right"), np.searchsorted(null, value, "left")
+    return float((DRAWS - (at_most + below) / 2 + 0.5) / (DRAWS + 1))
 
 
 def runs_of(text: str) -> list[tuple[str, int, int, float]]:
@@ -163,17 +180,57 @@ def pooled(table: dict[str, list[int]]) -> dict[str, list[int]]:
     return out
 
 
+def random_runs(counts: list[int]) -> float:
+    """How many runs are random: the uniform part of the likeliest mixture with an exponential part."""
+    steps, c = len(counts), np.asarray(counts[FROM:], float)
+    n = c.sum()
+    if not n:
+        return 0.0
+    flat, best, share = 1 / len(c), -math.inf, 1.0
+    for scale in SCALES:
+        falling = np.exp(-(np.arange(FROM, steps) + 0.5) / steps / scale)
+        falling /= falling.sum()
+        w = 0.9
+        for _ in range(60):
+            w = float((c * (w * flat / (w * flat + (1 - w) * falling))).sum() / n)
+        likelihood = float((c * np.log(w * flat + (1 - w) * falling)).sum())
+        if likelihood > best:
+            best, share = likelihood, w
+    return share * n * steps / len(c)
+
+
 def least_random(counts: list[int], alpha: float) -> float | None:
     """The least threshold (a step's lower edge) above which at most ``alpha`` of the runs are not random."""
-    steps = len(counts)
-    random = 2 * sum(counts[steps // 2 :])
-    for k in range(1, steps // 2 + 1):
+    steps, random = len(counts), random_runs(counts)
+    for k in range(1, steps):
         above = sum(counts[k:])
-        if above and 1 - random * (1 - k / steps) / above <= alpha:
+        if above and 1 - random * (1 - k / steps) / above <= MARGIN * alpha:
             return k / steps
     return None
 
 
+def all_spans(text: str, least: dict[str, float]) -> list[tuple[str, int, int]]:
+    """The spans of fixed patterns and the random runs outside of them, by start, kind and end."""
+    spans = base_spans(text)
+    new, at, reach = [], 0, 0  # reach: the farthest end of fixed spans that begin so early
+    for s, a, b, p in runs_of(text):
+        while at < len(spans) and spans[at][1] <= a:
+            reach, at = max(reach, spans[at][2]), at + 1
+        if reach < b and p >= least.get(s, 2.0):
+            new.append(("random", a, b))
+    return sorted(spans + new, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+
+
+def without_spans(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:
+    """``text`` with each stretch that spans (by start) cover replaced by ``mark``."""
+    out, at = [], 0
+    for _, a, b in spans:
+        if a >= at:
+            out += [text[at:a], mark]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
 def scan_secrets(docs: DataFrame, alpha: float = 0.1) -> DataFrame:
     """``docs`` with ``spans``, an array of (kind, start, end) in code points by start, kind and end.
 
@@ -186,36 +243,36 @@ def scan_secrets(docs: DataFrame, alpha: float = 0.1) -> DataFrame:
     at = docs.columns.index("text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = sent.value
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            rows = []
-            for t in batch.column(at):
-                spans: list[tuple[str, int, int]] = []
-                if t.is_valid:
-                    text = t.as_py()
-                    spans = base_spans(text)
-                    new = [("random", a, b) for s, a, b, p in runs_of(text) if p >= least.get(s, 2.0) and not any(x <= a and b <= y for _, x, y in spans)]
-                    spans = sorted(spans + new, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
-                rows.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
+            rows = [[{"kind": k, "start": a, "end": b} for k, a, b in (all_spans(t.as_py(), sent.value) if t.is_valid else ())] for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], [*batch.schema.names, "spans"])
 
     span = StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType())])
     return map_arrow(docs, scan, StructType([*docs.schema.fields, StructField("spans", ArrayType(span))]))
 
 
-def redacted(scanned: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """``scanned`` without ``spans``, each stretch that spans cover replaced by ``mark`` in ``text``; ``n_chars`` follows if there."""
-    merged = F.aggregate(
-        F.col("spans"),
-        F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
-        lambda a, s: F.struct(
-            F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mark))).otherwise(a["out"]).alias("out"),
-            F.greatest(a["at"], s["end"]).alias("at"),
-        ),
-        lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text"))),
-    )
-    out = scanned.withColumn("text", F.when(F.size("spans") > 0, merged).otherwise(F.col("text")))
-    if "n_chars" in out.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(scanned.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.drop("spans")
+def redacted(docs: DataFrame, alpha: float = 0.1, mark: str = "[secret]") -> DataFrame:
+    """``docs`` with each stretch that spans of ``scan_secrets`` cover replaced by ``mark`` in ``text``; ``n_chars`` follows if there.
+
+    Null texts stay null; all other columns pass through.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(thresholds(docs, alpha))
+    at = docs.columns.index("text")
+    size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, sizes = batch.column(at).to_pylist(), None if size is None else batch.column(size).to_pylist()
+            for k, t in enumerate(texts):
+                if t is not None and (spans := all_spans(t, sent.value)):
+                    texts[k] = without_spans(t, spans, mark)
+                    if sizes is not None:
+                        sizes[k] = len(texts[k])
+            columns = list(batch.columns)
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            if sizes is not None:
+                columns[size] = pa.array(sizes, batch.schema.field(size).type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return map_arrow(docs, scan, docs.schema)
