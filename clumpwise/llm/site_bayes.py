@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from clumpwise.llm.decision_lists import FEATURES, SAMPLE, labelled, statistics
 from clumpwise.llm.linear import fit_logistic
-from clumpwise.llm.textops import cut
+from clumpwise.llm.textops import cut, stored
 
 #: What the evidence of a site weighs against a document's own.
 SITE_WEIGHT = 0.5
@@ -67,33 +67,39 @@ def site_quality(
     """The columns ``keep`` of every row with p_own, p_host, p_path, p_good and kept.
 
     ``host`` and ``path`` are expressions over ``docs``; a path belongs to its host, null
-    sites are sites of their own. ``kept``: p_good of at least 1/2. Texts without
+    sites are sites of their own. p_host and p_path are of the other documents of
+    the row's host and path. ``kept``: p_good of at least 1/2. Texts without
     words have their own statistics (all nought), repeated rows stay, labels that
     fit no row are ignored and without labels every p_own is 1/2.
     """
     own = [f"_c{i}" for i in range(len(keep))]
     rows = docs.select(*[F.col(c).alias(x) for c, x in zip(keep, own, strict=True)], "doc_id", "text", host.cast("string").alias("_host"), path.cast("string").alias("_path"))
     rows = rows.withColumns({c: F.coalesce(c, F.lit("\u0000")) for c in ("_host", "_path")})
-    stats = cut(statistics(rows, ["doc_id", "_host", "_path"]))
+    # one pass over the texts; the table is read for its narrow columns twice and in full once
+    stats = stored(statistics(rows, ["doc_id", "_host", "_path", *own]))
     evidence = _own_evidence(*labelled(stats, labels, "quality", sample)).alias("p")
-    scored = stats.select("_host", "_path", evidence)
     sums = [F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q")]
-    paths = cut(scored.groupBy("_host", "_path").agg(*sums))
+    paths = cut(stats.select("_host", "_path", evidence).groupBy("_host", "_path").agg(*sums))
     hosts = paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     total = hosts.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     base = float((total["s"] or 0.0) + 0.5) / float((total["n"] or 0) + 1)
     k = _strength(hosts, F.lit(base))
-    hosts = cut(hosts.select("_host", ((F.col("s") + k * base) / (F.col("n") + k)).alias("p_host")))
-    under = paths.join(hosts, "_host")
+    hosts = hosts.select("_host", F.col("n").alias("hn"), F.col("s").alias("hs"), _posterior("s", "n", k, F.lit(base)).alias("p_host"))
+    under = cut(paths.join(cut(hosts), "_host"))
     j = _strength(under, F.col("p_host"))
-    sites = cut(under.select("_host", "_path", "p_host", ((F.col("s") + j * F.col("p_host")) / (F.col("n") + j)).alias("p_path")))
+    sites = under.select("_host", "_path", "n", "s", "hn", "hs")
     if sites.count() <= SENT:  # else the rows are dealt by site
         sites = F.broadcast(sites)
+    # a document's own evidence is taken out of its sites', so that it counts once
+    others = stats.select("_host", "_path", *own, evidence).join(sites, ["_host", "_path"])
+    others = others.withColumn("p_host", _posterior(F.col("hs") - F.col("p"), F.col("hn") - 1, k, F.lit(base)))
+    others = others.withColumn("p_path", _posterior(F.col("s") - F.col("p"), F.col("n") - 1, j, F.col("p_host")))
     z = _logit(F.col("p")) + SITE_WEIGHT * (_logit(F.col("p_path")) - _logit(F.lit(base)))
-    # narrow rows come from the kept statistics; whole documents are read again rather than stored
-    if set(keep) <= {"doc_id"}:
-        again = stats.withColumns({x: F.col("doc_id") for x in own})
-    else:
-        again = statistics(rows, ["_host", "_path", *own])
-    found = again.select("_host", "_path", *own, evidence).join(sites, ["_host", "_path"]).withColumn("p_good", 1 / (1 + F.exp(-z)))
+    found = others.withColumn("p_good", 1 / (1 + F.exp(-z)))
     return found.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)], F.col("p").alias("p_own"), "p_host", "p_path", "p_good", (F.col("p_good") >= 0.5).alias("kept"))
+
+
+def _posterior(s: Column | str, n: Column | str, weight: float, centre: Column) -> Column:
+    """The mean of a Beta posterior: n documents of total evidence s under a prior of ``weight`` documents."""
+    s, n = (F.col(c) if isinstance(c, str) else c for c in (s, n))
+    return (s + weight * centre) / (n + weight)
