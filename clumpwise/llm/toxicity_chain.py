@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clumpwise.llm.linear import fit_logistic, logistic
-from clumpwise.llm.textops import ALNUM, map_arrow, text_slices, word_hashes, word_spans
+from clumpwise.llm.textops import ALNUM, cut, map_arrow, sampled_ids, text_slices, word_hashes, word_spans
 
 #: Bits of a feature, features selected for each category, folds, and labelled rows that are fitted at most.
 BITS, SELECTED, FOLDS, SAMPLE = 18, 96, 5, 12_000
@@ -51,10 +51,17 @@ def _distinct(doc: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample: int) -> DataFrame:
-    """(doc_id, text, y...) of at most ``sample`` labelled rows, those of least hash of doc_id."""
-    flags = [F.coalesce(F.expr(c), F.lit(False)).cast("int").alias(f"y{k}") for k, c in enumerate(categories.values())]
-    few = labels.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", *flags).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    """(doc_id, text, y...) of at most ``sample`` labelled doc_ids, those of least hash.
+
+    A doc_id that is labelled twice has a category that either label gives it; of
+    rows of one doc_id the one of the longest text counts (on a tie that of the largest digest).
+    """
+    names = [f"y{k}" for k in range(len(categories))]
+    flags = [F.max(F.coalesce(F.expr(c), F.lit(False)).cast("int")).alias(y) for y, c in zip(names, categories.values(), strict=True)]
+    few = sampled_ids(labels.where("doc_id is not null").groupBy("doc_id").agg(*flags), sample)
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    longest = F.max_by("text", F.struct(F.length("text").alias("n"), F.md5(F.col("text").cast("binary")).alias("m")))
+    return rows.groupBy("doc_id", *names).agg(longest.alias("text")).select("doc_id", "text", *names)
 
 
 def select_features(sampled: DataFrame, categories: int) -> np.ndarray:
@@ -147,7 +154,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | No
     categories = categories or CATEGORIES
     many = len(categories)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sampled = _sampled(docs, labels, categories, sample)
+    sampled = cut(_sampled(docs, labels, categories, sample))
     chosen = select_features(sampled, many)
     place = np.full(1 << BITS, -1)
     place[chosen] = np.arange(len(chosen))
