@@ -7,10 +7,13 @@ runs over a border. A search sends the test phrases to every block: a phrase's
 lists are taken from its rarest term on, each shifted by the term's offset, and
 intersected by binary search. Phrases with a term that the block lacks drop out
 before any list is read. Exact matches need every term in its place; proximity
-matches need each within ``slop`` words of it.
+matches need each within ``slop`` words of it (in any order).
 
 Blocks never shuffle and postings never meet on one task, so a frequent word or
-a passage shared by many documents costs what its own postings cost.
+a passage shared by many documents costs what its own postings cost. The index
+is stored in the shared folder (``build_index`` also serves one that is kept and
+searched for benchmark after benchmark); test texts are broadcast in shares of
+bounded size, long items in pieces that overlap.
 """
 
 from __future__ import annotations
@@ -22,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clumpwise.llm.textops import ALNUM, cut, map_arrow, ramp, text_slices, word_hashes, word_spans
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+
+from clumpwise.llm.textops import ALNUM, map_arrow, ramp, stored, text_slices, word_hashes, word_spans
 
 #: Words in a benchmark window; an item of fewer (but some) words is one window.
 WIDTH = 10
@@ -30,53 +35,67 @@ WIDTH = 10
 SLOP = 2
 #: Positions left free between documents: more than WIDTH + 2 * SLOP.
 GAP = 64
-#: Bytes of test texts that are broadcast at once; more are searched in as many rounds as needed.
-TEST_BYTES = 32 << 20
+#: Bytes of test texts that are broadcast at once, and the bytes of an item's piece: windows take some 15 times as much.
+TEST_BYTES, PIECE_BYTES = 4 << 20, 1 << 20
 
-_INDEX = "doc_ids array<long>, starts array<int>, n_words array<int>, terms array<long>, at array<int>, positions array<int>, block long"
+_POSTINGS = "starts array<int>, n_words array<int>, terms array<long>, at array<int>, positions array<int>"
 _SPANS = "array<struct<item_id:string,start:long,end:long,exact:boolean>>"
 
 
-def _narrow(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-
-
-def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Index rows of documents."""
-    for batch in batches:
-        ids = batch.column(0).to_pylist()
-        for i, j, data, offs in text_slices(batch):
-            start, end, first = word_spans(data, offs, ALNUM)
-            h = word_hashes(data, start, end).view(np.int64)
-            count = np.diff(first)
-            place = np.arange(len(h), dtype=np.int32) + np.repeat(np.arange(j - i, dtype=np.int32) * GAP, count)
-            order = np.argsort(h, kind="stable")
-            h = h[order]
-            cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-            cells = [
-                pa.array([ids[i:j]], pa.list_(pa.int64())),
-                *(
-                    pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, t))
-                    for v, t in (
-                        ((first[:-1] + np.arange(j - i) * GAP).astype(np.int32), pa.int32()),
-                        (count.astype(np.int32), pa.int32()),
-                        (h[cuts], pa.int64()),
-                        (np.append(cuts, len(h)).astype(np.int32), pa.int32()),
-                        (place[order], pa.int32()),
-                    )
-                ),
-                pa.array([0], pa.int64()),
-            ]
-            yield pa.record_batch(cells, ["doc_ids", "starts", "n_words", "terms", "at", "positions", "block"])
-
-
-def build_index(docs: DataFrame) -> DataFrame:
-    """One row for each block of documents: their ids, first positions and word counts, and the postings.
+def build_index(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row for each block of documents: its number ``block`` (once written or cut), their columns ``keep`` as ``rows``, first positions, word counts, and the postings.
 
     ``positions[at[k] : at[k + 1]]`` are those of ``terms[k]``. A null text has no words.
     """
+    rows = docs.select(F.col("text").cast("string").alias("text"), *keep)
+    fields = [rows.schema[c] for c in keep]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = pa.StructArray.from_arrays([batch.column(1 + k) for k in range(len(keep))], [f"k{k}" for k in range(len(keep))])
+            for i, j, data, offs in text_slices(batch):
+                start, end, first = word_spans(data, offs, ALNUM)
+                h = word_hashes(data, start, end).view(np.int64)
+                count = np.diff(first)
+                place = np.arange(len(h), dtype=np.int32) + np.repeat(np.arange(j - i, dtype=np.int32) * GAP, count)
+                order = np.argsort(h, kind="stable")
+                h = h[order]
+                cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+                lists = (
+                    (kept.slice(i, j - i), None),
+                    ((first[:-1] + np.arange(j - i) * GAP).astype(np.int32), pa.int32()),
+                    (count.astype(np.int32), pa.int32()),
+                    (h[cuts], pa.int64()),
+                    (np.append(cuts, len(h)).astype(np.int32), pa.int32()),
+                    (place[order], pa.int32()),
+                )
+                cells = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v if t is None else pa.array(v, t)) for v, t in lists]
+                yield pa.record_batch(cells, ["rows", "starts", "n_words", "terms", "at", "positions"])
+
+    kind = StructType([StructField("rows", ArrayType(StructType([StructField(f"k{k}", f.dataType) for k, f in enumerate(fields)])))])
+    postings = StructType.fromDDL(_POSTINGS)
+    return map_arrow(rows, scan, StructType([*kind.fields, *postings.fields])).withColumn("block", F.monotonically_increasing_id())
 
-    return map_arrow(_narrow(docs), _indexed, _INDEX)
+
+def pieces_of(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(item_id string, text) of the items, long ones in pieces of about ``PIECE_BYTES`` that overlap by ``width`` - 1 words, so that they have the same windows."""
+    bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string").alias("text"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, t in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
+                blob, out = (t or "").encode(), []
+                data = np.frombuffer(blob, np.uint8)
+                start, end, _ = word_spans(data, np.asarray([0, len(data)]), ALNUM)
+                k = 0
+                while k < len(start):
+                    j = max(int(np.searchsorted(end, start[k] + PIECE_BYTES, "right")), k + 2 * width)
+                    j = len(start) if len(start) - j < width else j
+                    out.append(blob[start[k] : end[j - 1]].decode())
+                    k = j if j == len(start) else j - width + 1
+                yield pa.record_batch([pa.array([item] * len(out), pa.string()), pa.array(out, pa.string())], ["item_id", "text"])
+
+    return map_arrow(bench, scan, "item_id string, text string")
 
 
 def windows_of(items: list[tuple[str, str]], width: int = WIDTH) -> dict[str, np.ndarray]:
@@ -125,12 +144,15 @@ def matches(q: dict[str, np.ndarray], terms: np.ndarray, at: np.ndarray, positio
     rarest = order[:, 0]
     term = windows[live, rarest]
     first_key = np.concatenate([[0], np.cumsum(lens)])
-    win = np.repeat(live, lens[term])
     row = np.repeat(np.arange(len(live)), lens[term])
     start = keys[ramp(first_key[term], lens[term])] - np.repeat(term * span, lens[term]) - np.repeat(rarest, lens[term])
+    # the rarest term may be off its place as well
+    both = np.unique(np.stack([np.repeat(row, 2 * slop + 1), (start[:, None] + np.arange(-slop, slop + 1)).ravel()], 1), axis=0)
+    row, start = both[:, 0], both[:, 1]
+    win = live[row]
 
     def intersect(win: np.ndarray, row: np.ndarray, start: np.ndarray, off: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        for k in range(1, windows.shape[1]):
+        for k in range(windows.shape[1]):
             if not len(win):
                 break
             offset = order[row, k]
@@ -146,16 +168,14 @@ def matches(q: dict[str, np.ndarray], terms: np.ndarray, at: np.ndarray, positio
     exact = np.zeros(len(win), bool)
     if slop:
         w, _, s = intersect(win, row, start, 0)
-        exact = np.isin(win * span + start, w * span + s)
+        exact = np.isin(win * span + start + GAP, w * span + s + GAP)
     else:
         exact[:] = True
     return win, start, exact
 
 
-def search(index: DataFrame, items: list[tuple[str, str]], width: int = WIDTH, slop: int = SLOP, built: bool = True) -> DataFrame:
-    """Rows (block, row, doc_id, n_words, spans): matches of the items' windows in every indexed document.
-
-    With ``built`` false the rows are documents, whose index is built and searched block by block in the same task.
+def search(index: DataFrame, items: list[tuple[str, str]], width: int = WIDTH, slop: int = SLOP) -> DataFrame:
+    """Rows (block, row, keep, n_words, spans): matches of the items' windows in every indexed document, whose kept columns are the struct ``keep``.
 
     Spans are in words of the document, end exclusive; a proximity span may begin before the document's first word by up to ``slop``.
     """
@@ -166,9 +186,9 @@ def search(index: DataFrame, items: list[tuple[str, str]], width: int = WIDTH, s
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, names = sent.value
         size = (q["windows"] >= 0).sum(1)
-        for batch in batches if built else _indexed(batches):
+        for batch in batches:
             for b in range(batch.num_rows):
-                ids, starts, n_words, terms, at, positions = (batch.column(k)[b].values for k in range(6))
+                rows, starts, n_words, terms, at, positions = (batch.column(k)[b].values for k in range(6))
                 starts, n_words, terms, at, positions = (np.asarray(x).astype(np.int64) for x in (starts, n_words, terms, at, positions))
                 win, start, exact = matches(q, terms, at, positions, slop)
                 many = q["owners_at"][win + 1] - q["owners_at"][win]
@@ -184,36 +204,40 @@ def search(index: DataFrame, items: list[tuple[str, str]], width: int = WIDTH, s
                 )
                 cuts = np.searchsorted(doc, np.arange(len(starts) + 1)).astype(np.int32)
                 yield pa.record_batch(
-                    [pa.array(np.full(len(starts), batch.column(6)[b].as_py())), pa.array(np.arange(len(starts))), ids, pa.array(n_words), pa.ListArray.from_arrays(pa.array(cuts), span)],
-                    ["block", "row", "doc_id", "n_words", "spans"],
+                    [pa.array(np.full(len(starts), batch.column(6)[b].as_py())), pa.array(np.arange(len(starts))), rows, pa.array(n_words), pa.ListArray.from_arrays(pa.array(cuts), span)],
+                    ["block", "row", "keep", "n_words", "spans"],
                 )
 
-    return map_arrow(index if built else _narrow(index), scan, f"block long, row long, doc_id long, n_words long, spans {_SPANS}")
+    fields = StructType.fromDDL(f"n_words long, spans {_SPANS}").fields
+    kept = StructField("keep", index.schema["rows"].dataType.elementType)
+    return map_arrow(index.select("rows", "starts", "n_words", "terms", "at", "positions", "block"), scan, StructType([StructField("block", LongType()), StructField("row", LongType()), kept, *fields]))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int = SLOP) -> DataFrame:
-    """(doc_id, n_words, n_hit, items, near_items, spans) of every row of ``docs``.
+def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int = SLOP, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` with (n_words, n_hit, items, near_items, spans) of every row of ``docs``.
 
     ``n_hit`` counts words inside exact occurrences of windows; ``items`` and
     ``near_items`` are the ids (distinct, sorted as strings) with exact and with
     proximity matches. A null or wordless text or item has no words and matches
     nothing; a null item_id counts as the string "null"; repeated rows each keep
-    their row. Other columns are ignored.
+    their row. Other columns are ignored. The index is stored (``textops.stored``).
     """
-    bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string"))
+    return find_in(stored(build_index(docs, keep)), benchmark, width, slop, keep)
+
+
+def find_in(index: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int = SLOP, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``find_leaks`` over an index that ``build_index`` has built with the same ``keep`` and that is stored."""
+    bench = pieces_of(benchmark, width)
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rounds = -(-size // TEST_BYTES) or 1
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds))
-    if rounds == 1:
-        found = search(docs, [tuple(r) for r in bench.collect()], width, slop, built=False)
-    else:  # each round broadcasts its share; numbered blocks are kept, so that rounds meet again by row
-        kept = cut(build_index(docs).withColumn("block", F.monotonically_increasing_id()))
-        found = None
-        for k in range(rounds):
-            share = [tuple(r) for r in bench.where(part == k).collect()]
-            one = search(kept, share, width, slop)
-            found = one if found is None else found.union(one)
-        found = found.groupBy("block", "row", "doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    found = None
+    for k in range(rounds):  # each round broadcasts its share; blocks are numbered, so that rounds meet again by row
+        share = [tuple(r) for r in bench.where(part == k).collect()]
+        one = search(index, share, width, slop)
+        found = one if found is None else found.union(one)
+    if rounds > 1:
+        found = found.groupBy("block", "row").agg(F.first("keep").alias("keep"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"))
     exact = F.filter("spans", lambda x: x["exact"])
     in_order = F.array_sort(F.transform(exact, lambda x: F.struct(x["start"], x["end"])))
     covered = F.aggregate(
@@ -226,4 +250,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop:
         lambda a: a["n"],
     )
     names = lambda x: F.array_sort(F.array_distinct(F.transform(x, lambda s: s["item_id"])))
-    return found.select("doc_id", "n_words", covered.alias("n_hit"), names(exact).alias("items"), names(F.col("spans")).alias("near_items"), "spans")
+    kept = [F.col(f"keep.k{k}").alias(c) for k, c in enumerate(keep)]
+    return found.select(*kept, "n_words", covered.alias("n_hit"), names(exact).alias("items"), names(F.col("spans")).alias("near_items"), "spans")

@@ -59,7 +59,7 @@ def op5_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clumpwise.llm.phrase_index import find_leaks
 
-    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))  # near_items: with proximity matches
     return found.select(
         "doc_id",
         "n_words",
@@ -67,6 +67,7 @@ def op6_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.array_join("near_items", ",").alias("near_items"),
     )
 
 
@@ -126,16 +127,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Proximity: starts come from each window's rarest word (by corpus counts), 2 to either side, and every word must lie within 2 of its place.
 _OP6 = rf"""
 with d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
  b as (select item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
- q as (select distinct item_id, array_to_string(w[k + 1 : k + 10], ' ') as s, least(len(w), 10) as n from (select item_id, w, unnest(range(greatest(len(w) - 9, 1))) as k from b where len(w) > 0)),
+ q as (select distinct item_id, array_to_string(w[k + 1 : k + 10], ' ') as s, least(len(w), 10) as n, w[k + 1 : k + 10] as v from (select item_id, w, unnest(range(greatest(len(w) - 9, 1))) as k from b where len(w) > 0)),
  p as (select r, k, n, array_to_string(w[k + 1 : k + n], ' ') as s from (select r, w, n, unnest(range(len(w) - n + 1)) as k from d cross join (select distinct n from q) where len(w) >= n)),
  m as (select r, k, p.n, item_id from p join q on p.s = q.s and p.n = q.n),
  h as (select r, count(distinct pos) as n_hit from (select r, unnest(range(k, k + n)) as pos from m) group by r),
- i as (select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, cast(item_id as varchar) as item from m) group by r)
-select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from d left join h on d.r = h.r left join i on d.r = i.r"""
+ i as (select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, cast(item_id as varchar) as item from m) group by r),
+ x as (select distinct s, n, v from q),
+ o as (select r, unnest(w) as t, unnest(range(len(w))) as pos from d),
+ c as (select t, count(*) as c from o group by t),
+ e as (select s, n, v, t, k, row_number() over (partition by s order by c, k) as place from (select s, n, v, unnest(v) as t, unnest(range(n)) as k from x) a join c using (t)),
+ z as (select s, any_value(n) as n, any_value(v) as v, min(case when place = 1 then t end) as t1, min(case when place = 1 then k end) as k1, min(case when place = 2 then t end) as t2, min(case when place = 3 then t end) as t3 from e group by s having count(*) = any_value(n)),
+ st as (select distinct z.s, n, v, t2, t3, r, pos - k1 + off as start from z join o on o.t = z.t1 cross join range(-2, 3) f(off)),
+ l as (select st.s, n, v, r, w[greatest(start - 1, 1) : start + n + 2] as a, start, greatest(start - 1, 1) as base from st join d using (r) where start + n + 2 >= 1 and (t2 is null or list_contains(w[greatest(start - 1, 1) : start + n + 2], t2)) and (t3 is null or list_contains(w[greatest(start - 1, 1) : start + n + 2], t3))),
+ y as (select r, s, start, count(*) as k, any_value(n) as n from (select r, s, n, start, base, a, unnest(v) as t, unnest(range(n)) as k from l) u where start + k + 3 >= base and list_contains(a[greatest(start + k - 1 - base + 1, 1) : start + k + 3 - base + 1], t) group by r, s, start),
+ g as (select r, string_agg(item, ',' order by item) as near_items from (select distinct r, cast(item_id as varchar) as item from y join q using (s) where k = y.n) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(near_items, '') as near_items
+from d left join h on d.r = h.r left join i on d.r = i.r left join g on d.r = g.r"""
 
 _OP8 = rf"""
 with recursive d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from documents),
