@@ -7,15 +7,17 @@ tokens: the encoding of a longer prefix is that of some shorter one plus one
 token, the one that may stand next to that prefix's last token. So a state is
 the longest suffix that may still grow into a token, with the last tokens and
 relative counts of the prefixes inside it; a transition carries the change of
-the token count. States are made when first reached, and all are dropped and
+the token count. States are made when first reached, and all but the present one are dropped and
 made anew when there are too many.
 
-A text is cut into chunks; each chunk is a map of the states of the word
-splitter, kept in factored form: what it adds to an open word, the count of the words
-inside, and the word it leaves open. Maps compose associatively, so a
-parallel prefix scan over a long text's maps gives the counts of all its prefixes. Words
-inside chunks repeat a lot, so a bounded memory keeps the counts of words that
-have run through the transducer.
+The word splitter is a transducer over characters around it (``Reader``): its state is the
+kind of the open word, the byte-pair state inside it, and what is not yet fed. A
+text is cut into chunks. Each chunk is a map of reader states, state in to
+(state out, tokens): white space closes every word, so from a chunk's first white
+space on the map is constant, and before it the map is the chunk's head, which is
+stepped from the state that comes in. Maps compose associatively, and a parallel prefix scan over a
+long text's maps gives the counts of all its prefixes. Whole words that stand inside chunks lead from
+the start state to the start state; these long transitions are kept in a bounded memory.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -35,7 +39,7 @@ from clumpwise.llm.textops import map_arrow
 #: Characters of a chunk.
 CHUNK = 1 << 16
 #: Most states, and most words remembered, in one worker.
-STATES, WORDS = 150_000, 400_000
+STATES, WORDS = 50_000, 400_000
 
 
 def byte_symbols() -> list[str]:
@@ -137,14 +141,136 @@ class Transducer:
 
     def count(self, symbols: str) -> int:
         """Tokens of one word, its last symbol marked as its end."""
-        if len(self.keys) > STATES:
-            self.clear()
         state = total = 0
         for x in symbols:
             state, delta = self.step(state, x)
             total += delta
+            if len(self.keys) > STATES:
+                state = self.fresh(state)
         return total
 
+    def fresh(self, state: int) -> int:
+        """The number of a state after all others are dropped."""
+        key = self.keys[state]
+        self.clear()
+        if key not in self.numbers:
+            self.numbers[key] = len(self.keys)
+            self.keys.append(key)
+        return self.numbers[key]
+
+
+#: A reader's state: the open word's kind, the byte-pair state key inside it, its last byte that is not yet fed (-1: none), and held characters.
+State = tuple[str, tuple, int, str]
+BYTE_START = ("", ((None, 0),))
+START: State = ("", BYTE_START, -1, "")
+
+
+class Reader:
+    """The word splitter over single characters: letters run, others run, each number stands alone, white space parts words,
+    and literals (such as 's after a word) that begin where a word begins go before all."""
+
+    def __init__(self, transducer: Transducer, literals: Iterable[str], symbols: list[str]) -> None:
+        self.transducer, self.literals, self.symbols = transducer, frozenset(literals), symbols
+        self.stems = {x[:k] for x in self.literals for k in range(1, len(x))}
+
+    def _byte(self, state: tuple, symbol: str) -> tuple[tuple, int]:
+        t = self.transducer
+        if len(t.keys) > STATES:
+            t.clear()
+        if state not in t.numbers:
+            t.numbers[state] = len(t.keys)
+            t.keys.append(state)
+        number, delta = t.step(t.numbers[state], symbol)
+        return t.keys[number], delta
+
+    def close(self, state: State) -> int:
+        """Tokens that end with the open word."""
+        kind, inside, last, held = state
+        if held:  # no literal after all
+            state, n = self._plain(START, held)
+            return n + self.close(state)
+        return self._byte(inside, chr(ord(self.symbols[last]) + 2048))[1] if kind else 0
+
+    def _plain(self, state: State, text: str) -> tuple[State, int]:
+        """Read held characters; the first begins no literal."""
+        state, n = self._open(state, text[0], kind_of(text[0]))
+        for c in text[1:]:
+            state, k = self.read(state, c)
+            n += k
+        return state, n
+
+    def _open(self, state: State, c: str, kind: str) -> tuple[State, int]:
+        """Add a character to the open word (or open one)."""
+        _, inside, last, _ = state
+        n = 0
+        for b in c.encode("utf-8", "surrogatepass"):
+            if last >= 0:
+                inside, k = self._byte(inside, self.symbols[last])
+                n += k
+            last = b
+        if kind == "N":  # a number is a word by itself
+            return START, n + self._byte(inside, chr(ord(self.symbols[last]) + 2048))[1]
+        return (kind, inside, last, ""), n
+
+    def read(self, state: State, c: str) -> tuple[State, int]:
+        """(next state, tokens) of one character."""
+        kind, inside, last, held = state
+        if held:
+            both = held + c
+            if both in self.literals:
+                word, n = START, 0
+                for x in both:
+                    word, k = self._open(word, x, "P")
+                    n += k
+                return START, n + self.close(word)
+            if both in self.stems:
+                return (kind, inside, last, both), 0
+            return self._plain(START, both)
+        now = kind_of(c)
+        if now == "S":
+            return START, self.close(state)
+        if kind and kind == now:
+            return self._open(state, c, kind)
+        n = self.close(state)
+        if c in self.literals or c in self.stems:
+            return ("", BYTE_START, -1, c), n
+        state, k = self._open(START, c, now)
+        return state, n + k
+
+    def run(self, state: State, text: str) -> tuple[State, int]:
+        total = 0
+        for c in text:
+            state, n = self.read(state, c)
+            total += n
+        return state, total
+
+
+@lru_cache(maxsize=65536)
+def kind_of(c: str) -> str:
+    """L: letter, N: number, S: white space, P: anything else."""
+    return "L" if _LETTER.match(c) else "N" if _NUMBER.match(c) else "S" if _SPACE.match(c) else "P"
+
+
+@dataclass(frozen=True)
+class ChunkMap:
+    """State in -> (state out, tokens). ``heads`` are read from the state that comes in. If ``closed``, a white space follows them, then
+    ``tokens`` more, and the state out is ``out`` whatever came in."""
+
+    heads: tuple
+    closed: bool = False
+    tokens: int = 0
+    out: State = START
+
+    def texts(self) -> Iterator[str]:
+        """The head's parts in order."""
+        todo: list = [self.heads]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                yield x
+            else:
+                todo.extend(reversed(x))
+
 
 class WordCounter:
     """Token counts of texts for a tokenizer file of the ``word end`` kind (see ``compiled``)."""
@@ -162,8 +288,13 @@ class WordCounter:
         self.special = re.compile("|".join(re.escape(t["content"]) for t in j["added_tokens"]) or r"(?!)")
         self.bytes = byte_symbols()
         self.known: dict[str, int] = {}
+        *literals, letters, number, other = split[0]["pattern"]["Regex"].split("|")
+        if [letters, number, other] != [r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"] or any(re.escape(x) != x for x in literals):
+            raise ValueError("not a word splitter of the kind compiled here")
+        self.reader = Reader(self.transducer, literals, self.bytes)
 
     def tokens_of(self, word: str) -> int:
+        """The long transition of a whole word: its tokens, from the start state to the start state."""
         n = self.known.get(word)
         if n is None:
             b = word.encode("utf-8", "surrogatepass")
@@ -175,36 +306,39 @@ class WordCounter:
                 self.known[word] = n
         return n
 
-    def chunk_map(self, text: str) -> tuple[str, int | None, str]:
-        """(head, count, tail): what a chunk adds to an open word, tokens of its closed words, what it leaves open.
-
-        Heads and tails end at white space, the only place where no rule looks
-        across; a chunk without white space is all head, and its count is None.
-        """
+    def chunk_map(self, text: str) -> ChunkMap:
+        """The map of one chunk."""
         first = _SPACE.search(text)
         if first is None:
-            return text, None, ""
+            return ChunkMap((text,))
         a = first.start()
         b = max(text.rfind(x) for x in set(_SPACE.findall(text[max(a, len(text) - 4096) :]) or _SPACE.findall(text)))
-        return text[:a], self.inside(text[a:b]) if b > a else 0, text[b:]
+        out, n = self.reader.run(START, text[b:])
+        return ChunkMap((text[:a],), True, n + (self.inside(text[a:b]) if b > a else 0), out)
+
+    def apply(self, x: ChunkMap, state: State) -> tuple[State, int]:
+        """(state out, tokens) of a map from one state."""
+        n = 0
+        for text in x.texts():
+            state, k = self.reader.run(state, text)
+            n += k
+        return (x.out, n + self.reader.close(state) + x.tokens) if x.closed else (state, n)
+
+    def join(self, x: ChunkMap, y: ChunkMap) -> ChunkMap:
+        """The map of two neighbouring chunks; associative."""
+        if not x.closed:
+            return ChunkMap((x.heads, y.heads), y.closed, y.tokens, y.out)
+        out, n = self.apply(y, x.out)
+        return ChunkMap(x.heads, True, x.tokens + n, out)
 
     def inside(self, text: str) -> int:
+        """Tokens of a text that begins and ends at word borders."""
         known, count = self.known, 0
         for w in self.word.findall(text):
             n = known.get(w)
             count += self.tokens_of(w) if n is None else n
         return count
 
-    def join(self, x: tuple[str, int | None, str], y: tuple[str, int | None, str]) -> tuple[str, int | None, str]:
-        """The map of two neighbouring chunks; associative."""
-        if x[1] is None and y[1] is None:
-            return x[0] + y[0], None, ""
-        if x[1] is None:
-            return x[0] + y[0], y[1], y[2]
-        if y[1] is None:
-            return x[0], x[1], x[2] + y[0]
-        return x[0], x[1] + self.inside(x[2] + y[0]) + y[1], y[2]
-
     def plain(self, text: str) -> int:
         """Tokens of a text without special strings."""
         if not unicodedata.is_normalized("NFC", text):
@@ -212,7 +346,14 @@ class WordCounter:
         text = text.replace("Σ", "σ").lower()
         if len(text) <= CHUNK:
             return self.inside(text)
-        return self.prefix_counts([text[k : k + CHUNK] for k in range(0, len(text), CHUNK)])[-1]
+        maps = [self.chunk_map(text[k : k + CHUNK]) for k in range(0, len(text), CHUNK)]
+        while len(maps) > 1:  # the whole is the root of the scan's tree
+            maps = [self.join(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
+        return self.total(maps[0])
+
+    def total(self, x: ChunkMap) -> int:
+        state, n = self.apply(x, START)
+        return n + self.reader.close(state)
 
     def prefix_counts(self, chunks: list[str]) -> list[int]:
         """Tokens of every prefix of chunks (of normalised text): a parallel prefix scan over their maps.
@@ -224,7 +365,7 @@ class WordCounter:
         while d < len(maps):
             maps = [self.join(maps[k - d], m) if k >= d else m for k, m in enumerate(maps)]
             d *= 2
-        return [self.inside(head) + (count or 0) + self.inside(tail) for head, count, tail in maps]
+        return [self.total(m) for m in maps]
 
     def text(self, text: str) -> int:
         """Tokens of a text; special strings inside are one token each, as the library has it by default."""
@@ -234,7 +375,7 @@ class WordCounter:
         return sum(map(self.plain, parts)) + len(parts) - 1
 
 
-_SPACE = re.compile(r"\s")
+_SPACE, _LETTER, _NUMBER = (regex.compile(x) for x in (r"\s", r"\p{L}", r"\p{N}"))
 _COMPILED: dict[int, WordCounter] = {}
 
 
