@@ -4,35 +4,42 @@ Two texts link when their shingle sets have Jaccard similarity of at least
 3/4, so a partner of a set of ``a`` shingles holds at least ``ceil(3a/4)`` of
 them, and any two linked sets of sizes a and b share ``T = ceil(3(a+b)/7)``.
 As in DivideSkip, each document's lists are divided: the
-``k = a - ceil(3a/4) + 1`` shortest are merged, the long ones are never read as
-lists. A pair that meets in c of the merged lists can reach T only if
-``c >= T - L``, L being the long lists of the document whose merged part ends
-first (at most the larger of a - k and b - k); such pairs are probed by binary
-search in each other's sorted set and kept if they reach T occurrences.
+``k = a - ceil(3a/4) + 1`` shortest are merged with a heap, which counts how
+often each partner occurs in them; the long ones are never read. A pair that
+meets in c of the merged lists can reach T only if ``c >= T - L``, L being the
+long lists of the document whose merged part ends first (at most the larger of
+a - k and b - k). Whether such a partner stands in the list of a long shingle is
+asked the other way round, by binary search for the shingle in the partner's
+sorted set; pairs that reach T occurrences are kept.
 
 Lists are told apart by their length: two rounds count those that can be merged, and lists of ``HEAVY`` or more (the ``KNOWN`` longest
 of them, a bounded table) come last in the order of every document. The order
 is only a matter of cost; the search is exact under any order.
 
-* Documents with equal sets are one class; each task posts a class once.
-* Lists are merged by bucket in tasks of bounded size; the very long ones are
+* Documents with equal sets are one class; each task posts a class once. A
+  class has a 64-bit key; keys that two classes of 128-bit fingerprints would
+  share are told apart.
+* Lists are gathered by bucket in tasks of bounded size; the very long ones are
   split into chunks by class.
-* All pairs are counted in lists of up to ``SHORT`` members. In longer ones
+* Lists of up to ``SHORT`` members go to the heaps of their members. In longer ones
   every member is first probed against two leaders only: the least class, and
   the one whose lists are longest, which stands closest to what a group of near
   copies has in common; then only members outside their list's main component
-  are paired with the members of other components. So no list of near copies is expanded into all its pairs, and no
+  are paired with the members of other components of a fitting size, in parts of
+  bounded size. So no list of near copies is expanded into all its pairs, and no
   link between different components is missed.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from clumpwise.llm.components import connected
 from clumpwise.llm.textops import SPACED, cut, map_arrow, mix, text_slices, window_hashes, word_hashes, word_spans
@@ -54,6 +61,10 @@ SPLIT = 1 << 15
 FLUSH = 2_000_000
 #: Bits of the filter of candidate classes: 4 MB, at any size of input.
 FILTER_BITS = 25
+#: Members of one long list and size band that are paired in one part, and the parts in which a list's members learn its main component.
+PART, DEALT = 4096, 16
+#: Most keys that may be shared by classes (some 300 are expected among 10^11 classes).
+SHARED = 1 << 20
 
 _U = np.uint64
 
@@ -88,8 +99,8 @@ def needed(a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | int:
     return (3 * (a + b) + 6) // 7
 
 
-def classes_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, cls, fb): size and fingerprint of each row's set."""
+def classes_of(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` with (n, fa, fb): size and fingerprint of each row's set."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,20 +109,50 @@ def classes_of(docs: DataFrame) -> DataFrame:
                 n[row] = len(s)
                 if len(s):
                     a[row], b[row] = fingerprint(s)
-            yield pa.record_batch([batch.column(0), pa.array(n), pa.array(a), pa.array(b)], ["doc_id", "n", "cls", "fb"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n), pa.array(a), pa.array(b)], [*batch.schema.names[1:], "n", "fa", "fb"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), scan, "doc_id long, n long, cls long, fb long")
+    rows = docs.select(F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
+    fields = [StructField(f"_k{i}", rows.schema[f"_k{i}"].dataType) for i in range(len(keep))]
+    out = map_arrow(rows, scan, StructType([*fields, *(StructField(c, LongType()) for c in ("n", "fa", "fb"))]))
+    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "n", "fa", "fb")
 
 
-def _new_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, int]]:
-    """(fingerprint, set, doc_id) of classes that this task has not seen."""
+class Keys:
+    """The key of a class: the first half of its fingerprint, or, where two classes share that, the second half and a salt."""
+
+    def __init__(self, shared: frozenset[int] = frozenset(), salt: int = 0) -> None:
+        self.shared, self.salt = shared, salt
+
+    def __call__(self, a: int, b: int) -> int:
+        return b ^ self.salt if a in self.shared else a
+
+    def column(self) -> Column:
+        if not self.shared:
+            return F.col("fa")
+        return F.when(F.col("fa").isin(list(self.shared)), F.col("fb").bitwiseXOR(F.lit(self.salt))).otherwise(F.col("fa"))
+
+
+def class_keys(classes: DataFrame) -> Keys:
+    """Keys that no two of the ``classes`` (distinct fa, fb) share."""
+    twice = classes.groupBy("fa").count().where("count > 1").limit(SHARED + 1).collect()
+    if len(twice) > SHARED:
+        raise ValueError("too many classes share a key")
+    shared = frozenset(r[0] for r in twice)
+    for k in range(64):
+        keys = Keys(shared, k * 0x1E3779B97F4A7C15 & (1 << 63) - 1)
+        if not shared or classes.groupBy(keys.column().alias("k")).count().where("count > 1").isEmpty():
+            return keys
+    raise RuntimeError("class keys did not come apart")
+
+
+def _new_sets(batches: Iterator[pa.RecordBatch], keys: Keys) -> Iterator[tuple[int, np.ndarray]]:
+    """(key, set) of classes that this task has not seen."""
     seen: set[tuple[int, int]] = set()
     for batch in batches:
-        ids = batch.column(0)
-        for row, s in shingle_sets(batch):
-            if len(s) and (key := fingerprint(s)) not in seen:
-                seen.add(key)
-                yield key, s, ids[row].as_py()
+        for _, s in shingle_sets(batch):
+            if len(s) and (both := fingerprint(s)) not in seen:
+                seen.add(both)
+                yield keys(*both), s
 
 
 def _dealt(bucket: np.ndarray, columns: list[np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
@@ -142,7 +183,7 @@ def _lengths(s: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return np.where(h[at] == s, n[at], 0)
 
 
-def heavy_lists(docs: DataFrame, buckets: int, before: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def heavy_lists(docs: DataFrame, keys: Keys, buckets: int, before: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The longest lists: shingles in rising order and their lengths. At most ``KNOWN`` are sent to the driver.
 
     The first round counts the lists of every set's lowest hashes. Sets of which
@@ -158,7 +199,7 @@ def heavy_lists(docs: DataFrame, buckets: int, before: tuple[np.ndarray, np.ndar
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
-        for _, s, _ in _new_sets(batches):
+        for _, s in _new_sets(batches, keys):
             k = prefix_length(len(s))
             if known.value is None:
                 parts.append(s[:k])
@@ -182,7 +223,7 @@ def heavy_lists(docs: DataFrame, buckets: int, before: tuple[np.ndarray, np.ndar
         h, n = h[cuts][n >= HEAVY], n[n >= HEAVY]
         return pa.table({"n": (lengths := np.unique(n)), "h": pa.array([h[n == x].tobytes() for x in lengths], pa.binary())})
 
-    dealt = map_arrow(docs.select("doc_id", "text"), scan, "bucket long, h binary, c binary")
+    dealt = map_arrow(docs.select("text"), scan, "bucket long, h binary, c binary")
     found = cut(dealt.groupBy("bucket").applyInArrow(total, "n long, h binary"))
     least, held = 1 << 62, 0
     for n, k in found.groupBy("n").agg(F.sum(F.length("h") / 8)).orderBy(F.desc("n")).limit(KNOWN).collect():
@@ -200,10 +241,13 @@ def heavy_lists(docs: DataFrame, buckets: int, before: tuple[np.ndarray, np.ndar
     return h[order], n[order]
 
 
-def merged_lists(docs: DataFrame, buckets: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """The merged short lists: rows of kind 0 are pairs (a, b) of sizes (n, m) that meet ``times`` in short
-    lists of this bucket (pos 1: early enough in one of them), or 0 times: a leader and a member of a long
-    one; of kind 1 members (t, a, n, pos) of long lists, of kind 2 leaders (t, a, n) of chunks."""
+_LISTS = "kind long, t long, a long, b long, n long, pos long, ids binary, sizes binary, ends binary, early binary"
+
+
+def merged_lists(docs: DataFrame, keys: Keys, buckets: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """The lists by bucket. Rows of kind 0 hold what is merged for a class a of size n: its short lists (later members
+    ``ids`` of ``sizes``, lists ending at ``ends``; ``early``: both stand early enough there to be linked). Kind 1
+    are members (t, a, n, pos) of long lists, kind 2 leaders (t, a) of chunks, kind 3 pairs (a, b) of a leader and a member of a long list."""
     schema = pa.schema([("bucket", pa.int64()), *((x, pa.binary()) for x in ("h", "cls", "n", "w", "pos"))])
     known = docs.sparkSession.sparkContext.broadcast(heavy)
 
@@ -231,7 +275,7 @@ def merged_lists(docs: DataFrame, buckets: int, heavy: tuple[np.ndarray, np.ndar
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, parts = 0, ([], [], [], [], [])
-        for (cls, _), s, _ in _new_sets(batches):
+        for cls, s in _new_sets(batches, keys):
             h, many, w = ordered(s)
             for part, x in zip(parts, (h, cls, len(s), many, w), strict=True):
                 part.append(x)
@@ -253,57 +297,127 @@ def merged_lists(docs: DataFrame, buckets: int, heavy: tuple[np.ndarray, np.ndar
         keep = (sizes > 1) | chunk
         h, cls, n, w, pos = (x[np.repeat(keep, sizes)] for x in (h, cls, n, w, pos))
         sizes, chunk = sizes[keep], chunk[keep]
-        if not len(h):
-            return pa.table({k: pa.array([], pa.int64()) for k in ("kind", "t", "a", "b", "n", "m", "times", "pos")})
         cuts = np.cumsum(sizes) - sizes
         few = (sizes <= SHORT) & ~chunk
-        met, first = [np.zeros((0, 2), np.int64)], [np.zeros(0, bool)]
+        firsts, seconds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in range(2, SHORT + 1):
             x, y = np.triu_indices(k, 1)
             at = cuts[few & (sizes == k)][:, None]
-            x, y = (at + x).ravel(), (at + y).ravel()
-            good = 4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])
-            x, y = x[good], y[good]
-            met.append(np.stack([cls[x], cls[y]], 1))
-            first.append(np.minimum(n[x] - pos[x], n[y] - pos[y]) >= needed(n[x], n[y]))
-        met, which, times = np.unique(np.concatenate(met), axis=0, return_inverse=True, return_counts=True)
-        early = np.bincount(which.reshape(-1), weights=np.concatenate(first), minlength=len(met)) > 0
-        size = dict(zip(cls.tolist(), n.tolist(), strict=True))
+            firsts.append((at + x).ravel())
+            seconds.append((at + y).ravel())
+        x, y = (np.concatenate(v).astype(np.int64) for v in (firsts, seconds))
+        good = 4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])
+        x, y = x[good], y[good]
+        order = np.lexsort((y, x, cls[x]))  # by class, list, member
+        x, y = x[order], y[order]
+        own = np.flatnonzero(np.concatenate([[True], cls[x][1:] != cls[x][:-1]])) if len(x) else x
+        ends = np.flatnonzero(np.append(x[1:] != x[:-1], True)) + 1 if len(x) else x
+        early = np.minimum(n[x] - pos[x], n[y] - pos[y]) >= needed(n[x], n[y])
+        to = np.append(own[1:], len(x))[: len(own)]
+        list_to = np.searchsorted(ends, to, side="right")
+        blobs: dict[str, list[bytes]] = {"ids": [], "sizes": [], "ends": [], "early": []}
+        list_from = 0
+        for i, j, k in zip(own.tolist(), to.tolist(), list_to.tolist(), strict=True):
+            blobs["ids"].append(cls[y[i:j]].tobytes())
+            blobs["sizes"].append(n[y[i:j]].astype(np.uint32).tobytes())
+            blobs["ends"].append((ends[list_from:k] - i).astype(np.uint32).tobytes())
+            blobs["early"].append(early[i:j].astype(np.uint8).tobytes())
+            list_from = k
         many = np.repeat(~few, sizes)
         long_cuts, long_sizes = cuts[~few], sizes[~few]
-        by_weight = np.flatnonzero(many)[np.lexsort((cls[many], -w[many], np.repeat(np.arange(len(long_sizes)), long_sizes)))]
-        star = []
-        for leader in (long_cuts, by_weight[np.cumsum(long_sizes) - long_sizes]):
-            lead = np.repeat(leader, long_sizes)
-            x = np.flatnonzero(many)
-            t = needed(n[x], n[lead])
-            good = (cls[x] != cls[lead]) & (4 * np.minimum(n[x], n[lead]) >= 3 * np.maximum(n[x], n[lead])) & (n[x] - pos[x] >= t) & (n[lead] - pos[lead] >= t)
-            star.append(np.stack([cls[lead][good], cls[x][good]], 1))
+        star = [np.zeros((0, 2), np.int64)]
+        if len(long_cuts):
+            by_weight = np.flatnonzero(many)[np.lexsort((cls[many], -w[many], np.repeat(np.arange(len(long_sizes)), long_sizes)))]
+            for leader in (long_cuts, by_weight[np.cumsum(long_sizes) - long_sizes]):
+                lead = np.repeat(leader, long_sizes)
+                u = np.flatnonzero(many)
+                t = needed(n[u], n[lead])
+                fit = (cls[u] != cls[lead]) & (4 * np.minimum(n[u], n[lead]) >= 3 * np.maximum(n[u], n[lead])) & (n[u] - pos[u] >= t) & (n[lead] - pos[lead] >= t)
+                star.append(np.stack([cls[lead][fit], cls[u][fit]], 1))
         star = np.unique(np.sort(np.concatenate(star), 1), axis=0)
-        pairs = np.concatenate([met, star])
-        times = np.concatenate([times, np.zeros(len(star), np.int64)])
-        early = np.concatenate([early, np.ones(len(star), bool)]).astype(np.int64)
         split = cuts[chunk]
-        none = lambda x: np.zeros(len(x), np.int64)
+        zeros = lambda *counts: [np.zeros(c, np.int64) for c in counts]
+        lens = (len(own), int(many.sum()), len(split), len(star))
+        none = pa.nulls(sum(lens[1:]), pa.binary())
         return pa.table(
             {
-                "kind": np.concatenate([none(pairs), none(cls[many]) + 1, none(split) + 2]),
-                "t": np.concatenate([none(pairs), h[many], h[split]]),
-                "a": np.concatenate([pairs[:, 0], cls[many], cls[split]]),
-                "b": np.concatenate([pairs[:, 1], none(cls[many]), none(split)]),
-                "n": np.concatenate([np.asarray([size[c] for c in pairs[:, 0].tolist()], np.int64), n[many], n[split]]),
-                "m": np.concatenate([np.asarray([size[c] for c in pairs[:, 1].tolist()], np.int64), none(cls[many]), none(split)]),
-                "times": np.concatenate([times, none(cls[many]), none(split)]),
-                "pos": np.concatenate([early, pos[many], none(split)]),
+                "kind": np.repeat(np.arange(4), lens),
+                "t": np.concatenate([*zeros(lens[0]), h[many], h[split], *zeros(lens[3])]),
+                "a": np.concatenate([cls[x[own]], cls[many], cls[split], star[:, 0]]),
+                "b": np.concatenate([*zeros(sum(lens[:3])), star[:, 1]]),
+                "n": np.concatenate([n[x[own]], n[many], *zeros(sum(lens[2:]))]),
+                "pos": np.concatenate([*zeros(lens[0]), pos[many], *zeros(sum(lens[2:]))]),
+                **{k: pa.concat_arrays([pa.array(v, pa.binary()), none]) for k, v in blobs.items()},
             }
         )
 
-    dealt = map_arrow(docs.select("doc_id", "text"), scan, "bucket long, h binary, cls binary, n binary, w binary, pos binary")
-    return dealt.groupBy("bucket").applyInArrow(merge, "kind long, t long, a long, b long, n long, m long, times long, pos long")
+    dealt = map_arrow(docs.select("text"), scan, "bucket long, h binary, cls binary, n binary, w binary, pos binary")
+    return dealt.groupBy("bucket").applyInArrow(merge, _LISTS)
+
+
+def heap_merged(ids: list[int], sizes: list[int], ends: list[int], early: list[int]) -> list[tuple[int, int, int, int]]:
+    """(member, size, occurrences, early somewhere) of rising lists, merged with a heap."""
+    starts = [0, *ends[:-1]]
+    heap = [(ids[at], at, end) for at, end in zip(starts, ends, strict=True)]
+    heapq.heapify(heap)
+    out = []
+    while heap:
+        b, at, _ = heap[0]
+        m, times, soon = sizes[at], 0, 0
+        while heap and heap[0][0] == b:
+            _, at, end = heap[0]
+            times, soon = times + 1, soon | early[at]
+            if at + 1 < end:
+                heapq.heapreplace(heap, (ids[at + 1], at + 1, end))
+            else:
+                heapq.heappop(heap)
+        out.append((b, m, times, soon))
+    return out
+
+
+def occurrences(lists: DataFrame) -> DataFrame:
+    """(a, b, n, m, times, early): how often partners b occur in the short lists of each class a.
+
+    The lists of a class, at most its own merged part, meet in one place and are merged there.
+    """
+    kinds = {"ids": np.int64, "sizes": np.uint32, "ends": np.uint32, "early": np.uint8}
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, ...]] = []
+        now: tuple[int, int] | None = None
+        held: tuple[list[int], ...] = ([], [], [], [])
 
+        def done() -> None:
+            if now is not None:
+                out.extend((now[0], b, now[1], m, times, soon) for b, m, times, soon in heap_merged(*held))
 
-def candidate_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls, rep, s): the sets of ``wanted`` classes, packed to 48 bits a shingle.
+        def packed() -> pa.RecordBatch:
+            columns = np.asarray(out, np.int64).reshape(-1, 6)
+            out.clear()
+            return pa.record_batch([pa.array(columns[:, k]) for k in range(6)], ["a", "b", "n", "m", "times", "early"])
+
+        for batch in batches:
+            a, n = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            parts = [batch.column(2 + k) for k in range(4)]
+            for k in range(batch.num_rows):
+                if now != (a[k], n[k]):
+                    done()
+                    now, held = (a[k], n[k]), ([], [], [], [])
+                base = len(held[0])
+                for to, part, kind, shift in zip(held, parts, kinds.values(), (0, 0, base, 0), strict=True):
+                    x = np.frombuffer(part[k].as_buffer(), kind).tolist()
+                    to.extend([v + shift for v in x] if shift else x)
+            if len(out) >= 100_000:
+                yield packed()
+        done()
+        yield packed()
+
+    rows = lists.where("kind = 0").select("a", "n", *kinds).repartition("a").sortWithinPartitions("a")
+    return map_arrow(rows, merge, "a long, b long, n long, m long, times long, early long")
+
+
+def candidate_sets(docs: DataFrame, keys: Keys, wanted: DataFrame) -> DataFrame:
+    """(cls, s): the sets of ``wanted`` classes, packed.
 
     A filter of fixed size keeps most other classes out of the shuffle.
     """
@@ -324,13 +438,13 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> Da
         out, held = [], 0
 
         def packed() -> pa.RecordBatch:
-            a, b, s = zip(*out, strict=True)
-            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.binary())], ["cls", "fb", "s"])
+            a, s = zip(*out, strict=True)
+            return pa.record_batch([pa.array(a, pa.int64()), pa.array(s, pa.binary())], ["cls", "s"])
 
-        for (a, b), s, _ in _new_sets(batches):
-            at = a % bits
+        for key, s in _new_sets(batches, keys):
+            at = key % bits
             if known.value[at >> 3] >> (at & 7) & 1:
-                out.append((a, b, (s >> _U(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()))
+                out.append((key, s.tobytes()))
                 held += len(s)
                 if held > 500_000:
                     yield packed()
@@ -338,27 +452,19 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> Da
         if out:
             yield packed()
 
-    found = map_arrow(docs.select("doc_id", "text"), scan, "cls long, fb long, s binary")
-    reps = classes.join(wanted, "cls", "left_semi").select("cls", "fb", "rep")
-    return found.groupBy("cls", "fb").agg(F.first("s").alias("s")).join(reps, ["cls", "fb"]).select("cls", "rep", "s")
-
-
-def _unpacked(s: pa.Scalar) -> np.ndarray:
-    b = np.frombuffer(s.as_buffer(), np.uint8).reshape(-1, 6)
-    out = np.zeros((len(b), 8), np.uint8)
-    out[:, :6] = b
-    return out.reshape(-1).view(_U)
+    found = map_arrow(docs.select("text"), scan, "cls long, s binary")
+    return found.groupBy("cls").agg(F.first("s").alias("s")).join(wanted, "cls", "left_semi")
 
 
 def probed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (u, v) between class representatives: pairs (a, b) whose sets reach T common shingles."""
+    """Links (u, v) between classes: pairs (a, b) whose sets reach T common shingles, by binary search of one set's in the other."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v, sa, sb = (batch.column(k) for k in range(4))
             keep = []
             for k in range(batch.num_rows):
-                x, y = _unpacked(sa[k]), _unpacked(sb[k])
+                x, y = (np.frombuffer(s[k].as_buffer(), _U) for s in (sa, sb))
                 if len(x) > len(y):
                     x, y = y, x
                 hit = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
@@ -366,9 +472,9 @@ def probed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = pa.array(keep, pa.bool_())
             yield pa.record_batch([u.filter(keep), v.filter(keep)], ["u", "v"])
 
-    a = sets.select(F.col("cls").alias("a"), F.col("rep").alias("u"), F.col("s").alias("sa"))
-    b = sets.select(F.col("cls").alias("b"), F.col("rep").alias("v"), F.col("s").alias("sb"))
-    return map_arrow(pairs.join(b, "b").join(a, "a").select("u", "v", "sa", "sb"), probe, "u long, v long")
+    a = sets.select(F.col("cls").alias("a"), F.col("s").alias("sa"))
+    b = sets.select(F.col("cls").alias("b"), F.col("s").alias("sb"))
+    return map_arrow(pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb"), probe, "u long, v long")
 
 
 def reaching(met: DataFrame, members: DataFrame) -> DataFrame:
@@ -381,7 +487,7 @@ def reaching(met: DataFrame, members: DataFrame) -> DataFrame:
     n, m, none = F.col("n"), F.col("m"), F.lit(0)
     c = F.col("times") + F.least(F.coalesce("ka", none), F.coalesce("kb", none))
     enough = c >= F.floor((3 * (n + m) + 6) / 7) - F.greatest(n - prefix_length_column(n), m - prefix_length_column(m))
-    return p.where((F.col("least") == 0) | (F.col("early") > 0) & enough).select("a", "b")
+    return p.where((F.col("early") > 0) & enough).select("a", "b")
 
 
 def remaining_pairs(members: DataFrame, label: DataFrame) -> DataFrame:
@@ -392,10 +498,16 @@ def remaining_pairs(members: DataFrame, label: DataFrame) -> DataFrame:
     the members outside the main component and all members.
     """
     m = members.join(label, "a", "left").withColumn("c", F.coalesce("component", "a"))
+    m = m.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(DEALT)))
     each = m.groupBy("t", "c").agg(F.count("*").alias("k"))
     main = each.groupBy("t").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("many")).where("many > 1")
-    m = cut(m.join(main, "t").select("t", "a", "n", "pos", "c", "main"))
-    few = m.where("c <> main").select("t", F.col("a").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("c").alias("d"))
+    main = main.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALT - 1).cast("long"))))
+    band = F.floor(F.log("n") / F.log(F.lit(4 / 3)))  # sizes of linked sets lie in the same or in neighbouring bands
+    m = cut(m.join(main, ["t", "part"]).select("t", "a", "n", "pos", "c", "main", band.alias("band")))
+    parts = cut(m.groupBy("t", "band").agg(F.ceil(F.count("*") / PART).alias("parts")))
+    few = m.where("c <> main").select("t", F.col("a").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("c").alias("d"), F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"))
+    few = few.join(parts, ["t", "band"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    m = m.join(parts, ["t", "band"]).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts"))).drop("parts")
     t = F.floor((3 * (F.col("n") + F.col("m")) + 6) / 7)
     good = (
         (F.col("c") != F.col("d"))
@@ -404,45 +516,54 @@ def remaining_pairs(members: DataFrame, label: DataFrame) -> DataFrame:
         & (F.col("n") - F.col("pos") >= t)
         & (F.col("m") - F.col("at") >= t)
     )
-    same = m.join(few, "t").where(good)
+    same = m.join(few, ["t", "band", "part"]).where(good)
     return same.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs``.
+def grouped(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` of every row with (n, grp): the size of its set and its group of linked texts (null without words).
 
     Shingles are runs of five words; a text of fewer is one shingle, a null,
-    empty or wordless text has none and links with nothing (its component is its
-    own doc_id). ``component_id`` is the smallest doc_id reachable by links.
-    Repeated rows come out as often as they came in; a null doc_id never names
-    a component of others. Needs columns ``doc_id`` and ``text``; others are ignored.
+    empty or wordless text has none and links with nothing. Groups are of texts:
+    rows with one doc_id and different texts stand for themselves.
     """
-    docs = docs.select("doc_id", "text")
-    rows = cut(classes_of(docs))
-    classes = cut(rows.where("n > 0").groupBy("cls", "fb").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
+    rows = cut(classes_of(docs, keep))
+    classes = cut(rows.where("n > 0").groupBy("fa", "fb").agg(F.max("n").alias("n")))
+    keys = class_keys(classes)
     posted = classes.agg(F.sum(prefix_length_column("n"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-posted // BUCKET))
-    heavy = heavy_lists(docs, buckets)
-    lists = cut(merged_lists(docs, buckets, heavy_lists(docs, buckets, heavy)))
+    heavy = heavy_lists(docs, keys, buckets)
+    lists = cut(merged_lists(docs, keys, buckets, heavy_lists(docs, keys, buckets, heavy)))
     members = lists.where("kind = 1").select("t", "a", "n", "pos")
-    met = lists.where("kind = 0").groupBy("a", "b").agg(
-        F.max("n").alias("n"), F.max("m").alias("m"), F.sum("times").alias("times"), F.min("times").alias("least"), F.max("pos").alias("early")
-    )
-    pairs = cut(reaching(met, members).union(_between_chunks(lists)).distinct())
-    links = cut(probed(pairs, _sets_of(docs, pairs, classes)))
+    stars = lists.where("kind = 3").select("a", "b")
+    pairs = cut(reaching(occurrences(lists), members).union(stars).union(_between_chunks(lists)).distinct())
+    links = cut(probed(pairs, _sets_of(docs, keys, pairs)))
     found = connected(links)
-    label = classes.join(found, F.col("rep") == F.col("node")).select(F.col("cls").alias("a"), "component")
-    more = cut(remaining_pairs(members, label).join(pairs, ["a", "b"], "left_anti"))
+    more = cut(remaining_pairs(members, found.select(F.col("node").alias("a"), "component")).join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        found = connected(links.union(probed(more, _sets_of(docs, more, classes))))
-    named = classes.join(found, F.col("rep") == F.col("node"), "left").select("cls", "fb", F.coalesce("component", "rep").alias("component_id"))
-    linked = rows.where("n > 0").join(named, ["cls", "fb"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.union(rows.where("n = 0").select("doc_id", "n", "doc_id"))
+        found = connected(links.union(probed(more, _sets_of(docs, keys, more))))
+    named = rows.where("n > 0").withColumn("_node", keys.column()).join(found.withColumnRenamed("node", "_node"), "_node", "left")
+    none = rows.where("n = 0").select(*keep, "n", F.lit(None).cast("long").alias("grp"))
+    return named.select(*keep, "n", F.coalesce("component", "_node").alias("grp")).union(none)
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs``.
+
+    ``component_id`` is the smallest doc_id among the rows of its group (see
+    ``grouped``), null where no row of the group has one; a row without words has its own doc_id.
+    Repeated rows come out as often as they came in. Needs columns ``doc_id``
+    (that reads as a long) and ``text``; others are ignored.
+    """
+    rows = cut(grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
+    least = rows.where("grp is not null").groupBy("grp").agg(F.min("doc_id").alias("component_id"))
+    linked = rows.where("grp is not null").join(least, "grp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return linked.union(rows.where("grp is null").select("doc_id", "n", "doc_id"))
 
 
-def _sets_of(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, keys: Keys, pairs: DataFrame) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    return cut(candidate_sets(docs, cut(wanted), classes))
+    return cut(candidate_sets(docs, keys, cut(wanted)))
 
 
 def _between_chunks(lists: DataFrame) -> DataFrame:
