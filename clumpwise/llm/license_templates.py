@@ -27,7 +27,7 @@ from clumpwise.llm.textops import ALNUM, map_arrow, text_slices, window_hashes,
 #: Phrases (as consecutive words) and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Opening words by which a template is found; these must be plain.
+#: Opening words by which a template is found; these must be plain, which is checked.
 OPENING = 3
 
 # Public license wordings.
@@ -62,6 +62,17 @@ TEMPLATES: dict[str, str] = {
     "gpl": """This program is free software[[:]] you can redistribute it and/or modify it under the terms of the GNU General Public
         License as published by the Free Software Foundation[[; either]] version {version:1-2} of the License[[, or (at your option) any
         later version]]""",
+    "mpl-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+        distributed with this file, You can obtain one at {address:1-12}""",
+    "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+        compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+        commercial or non-commercial, and by any means.""",
+    "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will {holder:1-12} be held liable
+        for any damages arising from the use of this software.""",
+    "bsl-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+        accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute,
+        and transmit the Software, and to prepare derivative works of the Software""",
+    "cc-by": "This work is licensed under {a:0-1} Creative Commons Attribution [[NonCommercial]] [[ShareAlike]] [[NoDerivatives]] {version:1-2} [[International]] License",
 }
 
 _MARK = re.compile(r"\[\[(.*?)\]\]|\{\w+:(\d+)-(\d+)\}", re.DOTALL)
@@ -98,7 +109,10 @@ class Automaton:
             at = m.end()
         self._words(markup[at:], True)
         self.end = len(self.on) - 1
-        self.opening = _hashes(markup)[:OPENING]
+        plain = _MARK.search(markup)
+        self.opening = _hashes(markup[: plain.start()] if plain else markup)[:OPENING]
+        if len(self.opening) < OPENING:
+            raise ValueError(f"a template must begin with {OPENING} plain words")
         self.closed = [self._closure({k}) for k in range(len(self.on))]
 
     def _place(self) -> int:
@@ -190,7 +204,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
                 if len(h) >= OPENING:
                     w, _ = window_hashes(h, np.asarray([0, len(h)]), OPENING)
                     for name, automaton, key in zip(names, automata, opening, strict=True):
-                        for at in np.flatnonzero(w == key):
+                        for at in np.flatnonzero((w == key) & (doc[: len(w)] == doc[OPENING - 1 :])):  # within one document
                             d = doc[at]
                             taken, share = automaton.accept(h[at : min(first[d + 1], at + 4 * len(automaton.on))].tolist())
                             score[d] = max(score[d], share)
