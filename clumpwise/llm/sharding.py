@@ -1,13 +1,15 @@
 """Sharding by Karmarkar-Karp differencing.
 
 Indivisible groups (equal texts) are dealt to shards so that the shards' bytes
-come out nearly equal. The heaviest groups, those above ``total / grains``
-bytes, of which there are fewer than ``grains``, are items of their own; all
-lighter groups fall into ``grains`` grains by a hash of their key. So the differencing sees at most
+come out nearly equal. Up to ``2 * grains`` groups are differenced one by one. Of
+more, the heaviest ``grains`` (found from a histogram of their sizes) are still
+items of their own, and all lighter ones fall into ``grains`` grains by a hash of
+their key, each a union of whole groups. So the differencing sees at most
 ``2 * grains`` items however large the input is, and runs in one small task:
 it keeps a heap of partial partitions (one sum for each shard) and repeatedly
 combines the two of largest spread in opposite order, so that the heaviest side
-of one meets the lightest of the other.
+of one meets the lightest of the other. Every item of a light grain is far smaller than
+a shard, so grains cost little balance (the README has figures).
 
 Rows never shuffle to learn their shard: item and shard tables are bounded by
 ``2 * grains`` rows and are broadcast. One narrow shuffle numbers the slots.
@@ -25,9 +27,12 @@ from pyspark.sql.window import Window
 
 from clumpwise.llm.textops import cut, ship
 
-#: Most grains of light groups, and the share of all bytes (1 / GRAINS) from which a group stands alone.
+#: Most grains of light groups, and most groups that stand alone beside them.
 GRAINS = 1 << 14
 
+#: Classes of sizes in a doubling, in the histogram that tells heavy groups.
+FINE = 16
+
 #: Rows of one item that are numbered in one window.
 SLOT_ROWS = 50_000
 
@@ -82,12 +87,16 @@ def shard_groups(
     ship(spark)
     rows = rows.withColumns({"_kk_key": F.md5(F.coalesce(group.cast("binary"), F.lit("null group").cast("binary"))), "_kk_size": size.cast("long")})
     groups = cut(rows.groupBy("_kk_key").agg(F.sum("_kk_size").alias("bytes"), F.count("*").alias("n")))
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    size_class = F.floor(F.log2("bytes") * FINE)
+    classes = groups.groupBy(size_class.alias("c")).count().orderBy(F.desc("c")).collect()  # some 64 * FINE rows
+    alone, least = 0, None
+    for c, n in classes:
+        if (alone := alone + n) <= (2 * grains if sum(x[1] for x in classes) <= 2 * grains else grains):
+            least = c
+    is_heavy = F.lit(False) if least is None else size_class >= least
     grain = F.pmod(F.xxhash64("_kk_key"), F.lit(grains)).cast("string")
-    heavy = groups.where(F.col("bytes") * grains > total)
-    items = groups.groupBy(
-        F.when(F.col("bytes") * grains > total, F.col("_kk_key")).otherwise(grain).alias("_kk_item")
-    ).agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
+    heavy = groups.where(is_heavy)
+    items = groups.groupBy(F.when(is_heavy, F.col("_kk_key")).otherwise(grain).alias("_kk_item")).agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
 
     def deal(table: pa.Table) -> pa.Table:
         table = table.sort_by([("bytes", "descending"), ("_kk_item", "ascending")])
