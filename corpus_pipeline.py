@@ -13,17 +13,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clumpwise.llm.jaccard_join import near_copies
+from clumpwise.llm.jaccard_join import grouped
 from clumpwise.llm.phrase_index import find_leaks
-from clumpwise.llm.secret_scan import redacted, scan_secrets
+from clumpwise.llm.secret_scan import redacted
 from clumpwise.llm.site_bayes import site_quality
-from clumpwise.llm.textops import checkpoint_dir, cut
+from clumpwise.llm.textops import checkpoint_dir, cut, drop_folder, drop_stored
 from clumpwise.llm.trie_pieces import coded
 
 #: The model of the last stage, by its public name.
 PIECES = "piece_bpe_32k.model"
 
 
+#: A row's key: two hashes of all its columns, so that only rows that are equal in all columns share one.
+KEY = ("_row_a", "_row_b")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the columns of ``KEY``; nulls count by column."""
+    cells = [x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]
+    return docs.withColumns({KEY[0]: F.xxhash64(*cells), KEY[1]: F.xxhash64(F.lit(17), *cells[::-1])})
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps; sites are sources, paths are their languages."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -32,31 +42,31 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where("kept").select(*columns)
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` but for the doc_ids of ``gone``; rows without doc_id stay."""
-    return docs.join(gone.where("doc_id is not null").distinct(), "doc_id", "left_anti").select(*docs.columns)
-
-
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest doc_id; of rows with one doc_id, one."""
-    found = cut(near_copies(docs))
-    out = without(docs, found.where("component_id <> doc_id").select("doc_id"))
-    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if not twice.isEmpty():
-        known = out.where("doc_id is not null").dropDuplicates(["doc_id"])
-        out = known.union(out.where("doc_id is null"))
-    return out
+    """One document of each group of near copies, that of the smallest doc_id (then of the smallest key; ids before nulls).
+
+    Rows are told apart by all their columns: documents that share a doc_id but no
+    group stay, as does each document without words; of rows equal in all columns one stays.
+    """
+    rows = keyed(docs)
+    found = cut(grouped(rows, ("doc_id", *KEY)))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *KEY)).alias("m")
+    chosen = found.where("grp is not null").groupBy("grp").agg(first).select(*[f"m.{c}" for c in KEY])
+    chosen = chosen.union(found.where("grp is null").select(*KEY).distinct())
+    return rows.join(cut(chosen), list(KEY), "left_semi").dropDuplicates(list(KEY)).select(*docs.columns)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark window occurs."""
-    found = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, cut(found.where("n_hit > 0").select("doc_id")))
+    """Documents in which no benchmark window occurs; a document that shares its doc_id with one that leaks stays."""
+    rows = keyed(docs)
+    found = find_leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=KEY)
+    gone = cut(found.where("n_hit > 0").select(*KEY).distinct())
+    return rows.join(gone, list(KEY), "left_anti").select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mark."""
-    return redacted(scan_secrets(docs))
+    return redacted(docs)
 
 
 def in_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,10 +90,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``; each stage's rows are removed when the next one's are written."""
     place = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}-{name}")
-        docs = spark.read.parquet(f"{place}/{k}-{name}")
+        now = f"{place}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(now)
+        docs = spark.read.parquet(now)
+        drop_stored(spark)
+        if before:
+            drop_folder(spark, before)
+        before = now
     return docs
