@@ -556,7 +556,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     (that reads as a long) and ``text``; others are ignored.
     """
     rows = cut(grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
-    least = rows.where("grp is not null").groupBy("grp").agg(F.min("doc_id").alias("component_id"))
+    least = cut(rows.where("grp is not null").groupBy("grp").agg(F.min("doc_id").alias("component_id")))
     linked = rows.where("grp is not null").join(least, "grp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.union(rows.where("grp is null").select("doc_id", "n", "doc_id"))
 
