@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,16 @@ from pyspark.sql import functions as F
 
 
 def reliable(df: DataFrame) -> DataFrame:
-    """Cut lineage by a checkpoint in the shared folder of ``spark.checkpoint.dir`` (a temporary one only where unset)."""
+    """Cut lineage by a checkpoint in the shared folder of ``spark.checkpoint.dir``; where it is unset, in a temporary one in local mode, and an error on a cluster."""
     spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="clumpwise-"))
+        place = sc.getConf().get("spark.checkpoint.dir")
+        if not place:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            place = tempfile.mkdtemp(prefix="clumpwise-")
+        sc.setCheckpointDir(place)
     return df.checkpoint()
 
 

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,12 +63,9 @@ def light_radii(rel: DataFrame, red: str) -> DataFrame:
 
 
 def interpolated(df: DataFrame, value: str, knots: DataFrame, x: str, y: str, name: str) -> DataFrame:
-    """``df`` with ``name``: y at ``value`` by straight lines between the knots, clamped at the ends (at most some thousand knots)."""
-    rows = knots.select(x, y).orderBy(x).collect()
-    xs, ys = (np.asarray([r[k] for r in rows], float) for k in (0, 1))
-
-    @F.pandas_udf("double")
-    def lookup(v: pd.Series) -> pd.Series:
-        return pd.Series(np.where(v.isna(), np.nan, np.interp(v.fillna(xs[0]), xs, ys)))
-
-    return df.withColumn(name, F.nanvl(lookup(F.col(value).cast("double")), F.lit(None).cast("double")))
+    """``df`` with ``name``: y at ``value`` by straight lines between the knots, clamped at the ends (at most some thousand knots); null where the value is."""
+    rows = knots.select(F.col(x).cast("double"), F.col(y).cast("double")).orderBy(x).collect()
+    upper, weight = bracket(F.col(value).cast("double"), [r[0] for r in rows])
+    ys = F.array(*[F.lit(r[1]) for r in rows])
+    low, high = F.get(ys, upper - 1), F.get(ys, upper)
+    return df.withColumn(name, F.when(F.col(value).isNotNull(), low + weight * (high - low)))

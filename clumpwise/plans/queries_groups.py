@@ -14,6 +14,7 @@ from clumpwise.operators import hierarchy as H
 from clumpwise.operators import neighbours as N
 from clumpwise.operators import tree as T
 from clumpwise.operators.graph import follow, reliable
+from clumpwise.operators.tables import with_unique
 from clumpwise.plans.queries_members import rounded
 from clumpwise.plans.registry import query
 
@@ -23,14 +24,14 @@ K, HOPS, LEAST = 16, 12, 1e8
 
 def found(p: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Particles with unique ids, their neighbours and densities."""
-    points = reliable(p.dropDuplicates(["pid"]).select("pid", "x", "y", "z", "mass"))
+    points = reliable(with_unique(p, "pid").select("pid", "x", "y", "z", "mass"))
     knn = reliable(N.nearest(points, K))
     return points, knn, reliable(N.kernel_density(points, knn, K))
 
 
 @query("j1_knn", ("particles",))
 def knn(p: DataFrame) -> DataFrame:
-    points = p.dropDuplicates(["pid"])
+    points = with_unique(p, "pid")
     return N.nearest(points, K).select("pid", "nid", F.col("rank").cast("long").alias("rank"), F.round(F.sqrt("d2"), 9).alias("d"))
 
 

@@ -41,9 +41,22 @@ def shell_potential(p: DataFrame, h: DataFrame) -> DataFrame:
     return R.shell_potential(shells(p, h)).select("halo_id", "shell", F.round(F.log(1 - F.col("w_in")), 7).alias("log_w"))
 
 
-@query("d14_virial", PH)
+@query(
+    "d14_virial",
+    PH,
+    f"""{SHELLS}, u as (select *, 2e7*4/3*pi()*(amax*bmax*cmax)/pow(999e0,3) as unit, coalesce(lead(shell) over (partition by halo_id order by shell),1000)-1 as upto, max(shell) over (partition by halo_id) as final,
+ case when k_in+w_in<0 then abs(2*k_in+w_in)/abs(k_in+w_in) end as ratio from p),
+ q as (select *, floor(cbrt(m_in/unit)) as reach from u),
+ y as (select *, least(upto, reach + case when unit*pow(reach+1,3)<=m_in then 1 else 0 end, final) as dense from q),
+ b as (select halo_id, any_value(unit) as unit, any_value(cbrt(amax*bmax*cmax)) as size, max(case when ratio<=0.2 then upto end) as settled, max_by(m_in, shell) filter (where ratio<=0.2) as m_settled, max_by(ratio, shell) filter (where ratio<=0.2) as best,
+  least(1e0, min(ratio)) as lowest, greatest(max(shell),1) as top, max(case when dense>=greatest(shell,1) then dense end) as reached, max_by(m_in, dense) filter (where dense>=greatest(shell,1)) as m_reached, max(case when shell<=1 then m_in end) as m1 from y group by halo_id),
+ z as (select *, coalesce(m_settled >= unit*pow(least(settled,top),3), false) as kept from b),
+ o as (select halo_id, case when kept then least(settled,top) else coalesce(reached,1) end/999e0*size as r, case when kept then m_settled else coalesce(m_reached,m1,0e0) end as m, coalesce(best,lowest,1e0) as virth from z)
+ select halo_id, round(case when m>0 and r>0 then r end,6) as rvir, round(case when m>0 and r>0 then m end,6) as mvir, round(virth,6) as virth,
+ round(case when m>0 and r>0 then sqrt(430.1e0*m/r) end,6) as cvel, round(case when m>0 and r>0 then 35.9e0*(430.1e0*m/r) end,2) as tvir from o""",
+)
 def virial(p: DataFrame, h: DataFrame) -> DataFrame:
-    return rounded(R.virial_scalars(R.virial(R.shell_potential(shells(p, h)), 2e7)), 6, "rvir", "mvir", "virth", "cvel", "tvir")
+    return rounded(R.virial_scalars(R.virial(R.shell_potential(shells(p, h)), 2e7)), 6, "rvir", "mvir", "virth", "cvel").withColumn("tvir", F.round("tvir", 2))
 
 
 @query(
@@ -188,11 +201,13 @@ def names(jobs: DataFrame) -> DataFrame:
 @query(
     "a13_repeated_outputs",
     ("snapshot_jobs",),
-    """select name, count(*) as n from (select concat(case when line_prefix<>'' then line_prefix when count(*) over (partition by numstep)=1 then 'step' when count(*) over (partition by numstep, source_tag)=1 then source_tag
+    """select name, count(*) as n from (select concat(case when line_prefix<>'' then concat('p',cast(line_no%5 as varchar)) when count(*) over (partition by numstep)=1 then 'step' when count(*) over (partition by numstep, source_tag)=1 then source_tag
  else concat(source_tag,'_L',cast(line_no as varchar)) end, '_', lpad(cast(numstep as varchar),5,'0')) as name from snapshot_jobs) a group by name having count(*)>1""",
 )
 def repeated(jobs: DataFrame) -> DataFrame:
-    return H.repeated_outputs(jobs)
+    """Prefixes are made to repeat."""
+    prefix = F.concat(F.lit("p"), (F.col("line_no") % 5).cast("string"))
+    return H.repeated_outputs(jobs.withColumn("line_prefix", F.when(F.col("line_prefix") != "", prefix).otherwise("")))
 
 
 @query(

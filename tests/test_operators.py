@@ -370,3 +370,88 @@ def test_gas_end_to_end(spark, tmp_path):
     assert summarise_gas(sink, reader, tree, most=1) == {"processed": [1], "skipped": [], "remaining": [3]}
     assert summarise_gas(sink, reader, tree)["processed"] == [3]
     assert {r.id: r.m_star for r in sink.rows().collect()}[3] == 3.0
+
+
+def plain_virial(shell, m_in, k_in, w_in, outer, overdensity, shells=1000):
+    """The scan by definition, shell by shell from the outside."""
+    m, k, w = np.zeros(shells), np.zeros(shells), np.zeros(shells)
+    for j, at in enumerate(shell):
+        m[at:], k[at:], w[at:] = m_in[j], k_in[j], w_in[j]
+    found, least = None, 1.0
+    for i in reversed(range(shells)):
+        if k[i] + w[i] < 0:
+            ratio = abs(2 * k[i] + w[i]) / abs(k[i] + w[i])
+            least = min(least, ratio)
+            if ratio <= 0.2:
+                found = i
+                break
+    volume = lambda i: 4 / 3 * math.pi * np.prod(np.asarray(outer) * i / (shells - 1))
+    if found is not None:
+        at = min(found, max(shell[-1], 1))
+        if m[found] >= overdensity * volume(at):
+            return at, m[found], least
+    fits = [i for i in range(1, shells) if m[i] >= overdensity * volume(i) and m[i - 1] < m[-1]]
+    at = max(fits, default=1)
+    return at, m[at], least
+
+
+def test_virial_is_that_of_the_scan(spark):
+    r = np.random.default_rng(17)
+    rows, want = [], {}
+    for h in range(120):
+        n = int(r.integers(1, 40))
+        shell = np.sort(r.choice(1000, n, replace=False))
+        m = np.cumsum(r.random(n) + 0.1)
+        w = -np.cumsum(r.random(n) * 5)
+        k = np.cumsum(r.random(n) * (0.3, 1.0, 2.5, 9.0)[h % 4])
+        outer, dense = r.random(3) * 0.3 + 0.05, float(10 ** r.uniform(0, 5))
+        rows += [(h, int(s), float(a), float(b), float(c), *map(float, outer), dense) for s, a, b, c in zip(shell, m, k, w, strict=True)]
+        want[h] = plain_virial(shell, m, k, w, outer, dense), outer
+    df = spark.createDataFrame(rows, "halo_id long, shell long, m_in double, k_in double, w_in double, amax double, bmax double, cmax double, dense double")
+    kinds = set()
+    by = {x[0]: x[-1] for x in rows}
+    for chunk in range(0, 120, 40):  # one overdensity a call: scale the masses instead
+        part = df.where(f"halo_id >= {chunk} and halo_id < {chunk + 40}")
+        scaled = part.withColumn("m_in", F.col("m_in") / F.col("dense"))
+        for x in profiles.virial(scaled, 1.0).collect():
+            (at, m, least), outer = want[x.halo_id]
+            radius = at / 999 * float(np.prod(outer)) ** (1 / 3)
+            assert x.virth == pytest.approx(least)
+            if m > 0:
+                assert x.rvir == pytest.approx(radius) and x.mvir * by[x.halo_id] == pytest.approx(m)
+            else:
+                assert x.rvir is None and x.mvir is None
+            kinds.add((least <= 0.2, m > 0, at == 1))
+    assert len(kinds) >= 3
+
+
+def test_neighbours_of_a_dense_core(spark):
+    """20,000 points in one cell of a grid of 2 ** 10 a side, some ties among them."""
+    r = np.random.default_rng(5)
+    core = 0.5 + r.normal(0, 1, (20_000, 3)) * 2.0 ** -13
+    core = np.clip(core, 0.5, 0.5 + 2.0**-10 - 1e-9)
+    core[100:110] = core[0]
+    p = np.concatenate([core, r.random((50, 3))])
+    df = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(p)], "pid long, x double, y double, z double")
+    got = {}
+    for x in N.nearest(df, 6).where("pid % 97 = 0 or pid < 12 or (pid >= 100 and pid < 112) or pid >= 20000").collect():
+        got.setdefault(x.pid, []).append((x["rank"], x.nid, x.d2))
+    assert len(got) >= 250
+    for k, found in got.items():
+        d = p - p[k]
+        d -= np.rint(d)
+        d2 = (d * d).sum(1)
+        d2[k] = np.inf
+        order = np.lexsort((np.arange(len(p)), d2))[:6]
+        found.sort()
+        assert np.allclose([f[2] for f in found], d2[order], rtol=1e-9, atol=1e-20)
+        ties = len(set(d2[order].tolist())) == len({float(f"{v:.12e}") for v in d2[np.lexsort((np.arange(len(p)), d2))[:7]]}) - 1
+        if ties or k in range(100, 110) or k == 0:
+            assert [f[1] for f in found] == order.tolist()
+
+
+def test_clashing_ids_are_an_error(spark):
+    rows = spark.createDataFrame([(1,), (2,), (2,)], "pid long")
+    with pytest.raises(ValueError, match="pid 2"):
+        tables.with_unique(rows, "pid")
+    assert tables.with_unique(rows.limit(2).distinct(), "pid") is not None
