@@ -259,15 +259,19 @@ def star_formation(members: DataFrame, centres: DataFrame) -> DataFrame:
     return rel.groupBy("halo_id").agg(*out)
 
 
-def cylindrical(rows: DataFrame, inside: Column) -> DataFrame:
-    """Rotation and dispersions of ``inside`` rows about the axis of their angular momentum.
+def cylindrical(rows: DataFrame, inside: Column, frame: DataFrame | None = None) -> DataFrame:
+    """Rotation and dispersions of ``inside`` rows about the axis of their angular momentum, or that (and the bulk velocity) of the rows ``frame``.
 
     Rows carry halo_id, dx..dz, vx..vz and mass. Two rows at least are needed:
     vrot (mean azimuthal velocity), sig3d (about the bulk velocity) and sigcyl (about the means in r, phi, z).
     """
-    r = rows.where(inside)
-    r = with_bulk(r.select("halo_id", "mass", "dx", "dy", "dz", "vx", "vy", "vz"))
-    total = r.groupBy("halo_id").agg(*[F.sum(F.col("mass") * l).alias(f"l{a}") for a, l in _cross("d", "w").items()], F.count("*").alias("_n"))
+    columns = ("halo_id", "mass", "dx", "dy", "dz", "vx", "vy", "vz")
+    r = rows.where(inside).select(*columns)
+    source = (r if frame is None else frame).select(*columns)
+    r = r.join(bulk_velocity(source), "halo_id").withColumns({f"w{a}": F.col(f"v{a}") - F.col(f"u{a}") for a in "xyz"})
+    enough = r.groupBy("halo_id").agg(F.count("*").alias("_k")).where("_k >= 2").select("halo_id")
+    r = r.join(enough, "halo_id", "left_semi")
+    total = with_bulk(source).groupBy("halo_id").agg(*[F.sum(F.col("mass") * l).alias(f"l{a}") for a, l in _cross("d", "w").items()], F.count("*").alias("_n"))
     total = total.withColumn("_l", F.sqrt(X.norm2("lx", "ly", "lz"))).where("_n >= 2 and _l > 0")
     r = r.join(total.select("halo_id", *[(F.col(f"l{a}") / F.col("_l")).alias(f"n{a}") for a in "xyz"]), "halo_id")
     r = r.withColumn("_h", sum((F.col(f"d{a}") * F.col(f"n{a}") for a in "xyz"), F.lit(0.0)))

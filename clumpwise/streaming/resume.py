@@ -49,7 +49,7 @@ class RootSink:
 
     def write(self, root: int, rows: DataFrame, cells_read: int = 0, crash: bool = False) -> bool:
         """Write a root's rows, then its record; False if it has one already."""
-        if root in self.done():
+        if self._exists(f"{self.path}/log/root={root}"):
             return False
         rows.write.mode("overwrite").parquet(f"{self.path}/rows/root_id={root}")
         if crash:
@@ -64,7 +64,7 @@ class RootSink:
         if not self._exists(f"{self.path}/rows"):
             return self.spark.createDataFrame([], self.schema).withColumn("root_id", F.lit(None).cast("long"))
         found = self.spark.read.parquet(f"{self.path}/rows").withColumn("root_id", F.col("root_id").cast("long"))
-        return found.join(F.broadcast(self.log().select("root_id")), "root_id", "left_semi")
+        return found.join(self.log().select("root_id"), "root_id", "left_semi")
 
     def totals(self) -> DataFrame:
         return self.log().agg(F.count("*").alias("n_roots"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("cells_read"), F.lit(0)).alias("cells_read"))

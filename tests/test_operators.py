@@ -351,6 +351,13 @@ def test_finder_end_to_end(spark):
         assert h.ep < 0 <= h.ek and h.sha <= h.shb <= h.shc and (h.rvir is None or h.rvir <= h.r + 1e-12)
     n = {m.halo_id: m["count"] for m in found.members.groupBy("halo_id").count().collect()}
     assert n == {h.id: h.n_members for h in halos.values()}
+    for h in halos.values():
+        assert 0 < h.r50 <= h.r90 <= h.r_star and h.px_star is not None and h.sig3d > 0 and h.Lx_star is not None
+    few = found.members.where("halo_id = 1")
+    from clumpwise.plans.programs import refined
+
+    c = refined(few, RunConfig(mesh_centres=True, sphere_centres=True, least_cell=0.01)).first()
+    assert c.id == 1 and abs(c.px - halos[1].px) < 0.03
 
 
 def test_gas_end_to_end(spark, tmp_path):
@@ -365,6 +372,15 @@ def test_gas_end_to_end(spark, tmp_path):
     rows = {r.id: r for r in summarise_root(reader, tree, 1, depth=5).collect()}
     assert set(rows) == {1, 2} and rows[1].m_dark == 2.0
     assert rows[1].m_gas == pytest.approx(4 / 3 * math.pi * 0.2**3, rel=0.03) and rows[1].metal == pytest.approx(0.02)
+    assert reader.half_diagonal() == pytest.approx(math.sqrt(3) / 32) and "rho" in reader.fields()
+    with_stars = tree.withColumns({"px_star": F.col("px"), "py_star": F.col("py"), "pz_star": F.col("pz"), "r_star": F.when(F.col("id") == 1, 0.15), "r50": F.lit(0.1), "r90": F.lit(None).cast("double")})
+    full = {x.id: x for x in summarise_root(reader, with_stars, 1, depth=5, densities={"200": 1.5, "500": 900.0}).collect()}
+    ball = lambda r: pytest.approx(4 / 3 * math.pi * r**3, rel=0.05)
+    assert full[1].m_gas_r_star == ball(0.15) and full[1].m_gas_r50 == ball(0.1) and full[1].m_gas_r90 == 0 and full[2].m_gas_r_star is None
+    assert full[1].metal_r_star == pytest.approx(0.02) and full[1].vx_gas == 0
+    assert full[1].sig3d_r_star is None  # gas at rest has no axis
+    # the dark particle and the gas stay above 1.5 as far as is looked; 900 lies between the cells next to the centre and those beyond
+    assert full[1].r200 is None and 0.05 < full[1].r500 < 0.11 and full[1].m_dark_r500 == 2.0 and full[1].m_gas_r500 == pytest.approx(8 / 4096)
     schema = summarise_root(reader, tree, 1).schema
     sink = RootSink(spark, str(tmp_path / "gas"), schema)
     assert summarise_gas(sink, reader, tree, most=1) == {"processed": [1], "skipped": [], "remaining": [3]}
