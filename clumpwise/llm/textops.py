@@ -14,7 +14,7 @@ import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -113,10 +113,17 @@ def drop_folder(spark: SparkSession, place: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def drop_stored(spark: SparkSession) -> None:
-    """Delete all tables of ``stored``; nothing that still reads them may be left."""
-    while _STORED:
-        drop_folder(spark, _STORED.pop())
+def stored_places() -> tuple[str, ...]:
+    """The folders of ``stored`` tables, in the order they were written."""
+    return tuple(_STORED)
+
+
+def drop_stored(spark: SparkSession, places: Iterable[str] | None = None) -> None:
+    """Delete the given (else all) tables of ``stored``; nothing that still reads them may be left."""
+    for place in tuple(_STORED) if places is None else places:
+        if place in _STORED:
+            _STORED.remove(place)
+            drop_folder(spark, place)
 
 
 _STORED: list[str] = []
