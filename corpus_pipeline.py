@@ -9,6 +9,8 @@ executor be replaced.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from clumpwise.llm.jaccard_join import grouped
 from clumpwise.llm.phrase_index import find_leaks
 from clumpwise.llm.secret_scan import redacted
 from clumpwise.llm.site_bayes import site_quality
-from clumpwise.llm.textops import checkpoint_dir, cut, drop_folder, drop_stored
+from clumpwise.llm.textops import checkpoint_dir, cut, drop_folder, drop_stored, stored_places
 from clumpwise.llm.trie_pieces import coded
 
 #: The model of the last stage, by its public name.
@@ -34,6 +36,31 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({KEY[0]: F.xxhash64(*cells), KEY[1]: F.xxhash64(F.lit(17), *cells[::-1])})
 
 
+#: Tables that the last stage stored for itself.
+_HELD: list[str] = []
+
+
+def dropped(spark: SparkSession) -> None:
+    """Delete what the last stage stored; its rows must have been written."""
+    drop_stored(spark, _HELD)
+    _HELD.clear()
+
+
+def stage(fn: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage, which begins by deleting what the one before stored: stages follow each other with their rows written between."""
+
+    @wraps(fn)
+    def one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        dropped(spark)
+        before = set(stored_places())
+        out = fn(spark, docs, sf_dir)
+        _HELD.extend(p for p in stored_places() if p not in before)
+        return out
+
+    return one
+
+
+@stage
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps; sites are sources, paths are their languages."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -42,6 +69,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where("kept").select(*columns)
 
 
+@stage
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the smallest doc_id (then of the smallest key; ids before nulls).
 
@@ -56,6 +84,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(cut(chosen), list(KEY), "left_semi").dropDuplicates(list(KEY)).select(*docs.columns)
 
 
+@stage
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs; a document that shares its doc_id with one that leaks stays."""
     rows = keyed(docs)
@@ -64,11 +93,13 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rows.join(gone, list(KEY), "left_anti").select(*docs.columns)
 
 
+@stage
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mark."""
     return redacted(docs)
 
 
+@stage
 def in_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_pieces, ids, exact) of all documents: their pieces, and whether these give the text back."""
     import public_tokenizers
@@ -93,11 +124,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; each stage's rows are removed when the next one's are written."""
     place = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (name, fn) in enumerate(STAGES):
         now = f"{place}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(now)
+        fn(spark, docs, sf_dir).write.parquet(now)
         docs = spark.read.parquet(now)
-        drop_stored(spark)
+        dropped(spark)
         if before:
             drop_folder(spark, before)
         before = now
