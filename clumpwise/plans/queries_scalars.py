@@ -195,3 +195,27 @@ def offsets(p: DataFrame) -> DataFrame:
     return n.withColumn("at", F.sum("n").over(Window.orderBy("halo_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
 
 
+@query(
+    "p4_box_scalars",
+    ("nation",),
+    """select n_nationkey, round(side,9) as box, round(2.78782e0*pow(side,3)*pow(hubble/100,2)*omega_m,6) as box_mass from (select n_nationkey, 60e0+n_nationkey as hubble, 0.25e0+n_nationkey/100e0 as omega_m,
+ (1e0+n_nationkey)*3e24/3.08e24/(0.1e0+n_nationkey/50e0) as side from nation) a""",
+)
+def box_scalars(n: DataFrame) -> DataFrame:
+    k = F.col("n_nationkey")
+    header = n.select("n_nationkey", (k + 1.0).alias("boxlen"), F.lit(3e24).alias("scale_l"), (0.1 + k / 50.0).alias("aexp"), (0.25 + k / 100.0).alias("omega_m"), (60.0 + k).alias("hubble"))
+    return rounded(rounded(S.box_scalars(header).select("n_nationkey", "box", "box_mass"), 9, "box"), 6, "box_mass")
+
+
+@query(
+    "a3_hubble_precedence",
+    ("nation",),
+    """select n_nationkey, case when h0 is null then 'config_fallback' when abs(h0-70e0)<=1e-6*abs(h0) then 'config_equivalent_info' else 'info_H0' end as source,
+ case when h0 is null or abs(h0-70e0)<=1e-6*abs(h0) then 70e0 else h0 end as hubble from (select n_nationkey, case when n_nationkey%5<>0 then 70e0+(n_nationkey%3)*0.00003e0*(n_nationkey%4) end as h0 from nation) a""",
+)
+def hubble_precedence(n: DataFrame) -> DataFrame:
+    from clumpwise.sources.text import with_hubble
+
+    k = F.col("n_nationkey")
+    info = n.select("n_nationkey", F.when(k % 5 != 0, 70.0 + (k % 3) * 0.00003 * (k % 4)).alias("h0"))
+    return with_hubble(info, 70.0).select("n_nationkey", "source", "hubble")
