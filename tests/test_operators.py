@@ -129,6 +129,64 @@ def test_tree_of_two_levels(spark):
     assert one.count() == 0  # a single peak never branches
 
 
+def plain_tree(group, edges, rules, groups, rho, path=()):
+    """(path, saddle, groups, n) of all nodes: the rule in plain loops; ``group`` holds (density, mass, place) of each group's points."""
+    out = []
+    while True:
+        left, kept = {g for g in groups if max(x[0] for x in group[g]) > rho}, []
+        while left:
+            part = {min(left)}
+            while more := {b for a, b, r in edges if r > rho and a in part and b in left - part}:
+                part |= more
+            left -= part
+            cut = {g: [x for x in group[g] if x[0] > rho] for g in part}
+            rows = [x for g in part for x in cut[g]]
+            mean = sum(x[0] for x in rows) / len(rows)
+            contrast = max(sum(x[0] for x in c) / len(c) / (1 + rules.fudge / math.sqrt(len(c))) for c in cut.values())
+            if len(rows) >= rules.members and (mean > rho * (1 + rules.fudge / math.sqrt(len(rows))) or contrast > rho) and max(x[0] for x in rows) >= rules.alpha * mean:
+                kept.append((sorted(part), len(rows), rho * (1 + rules.fudge / math.sqrt(max(map(len, cut.values()))))))
+        if len(kept) >= 2:
+            for part, n, higher in kept:
+                out += [((*path, part[0]), rho, part, n), *plain_tree(group, edges, rules, part, higher, (*path, part[0]))]
+            return out
+        groups = [g for g in groups if max(x[0] for x in group[g]) > rho]
+        if not kept or len(groups) < 2:
+            return out
+        rho = kept[0][2]
+
+
+@pytest.mark.parametrize("task_points", [400, 200_000])
+def test_tree_by_searches_of_any_size(spark, task_points):
+    """Grouped sums for large searches and one task for everything give the tree of plain loops."""
+    r = np.random.default_rng(7)
+    rows, group = [], {}
+    for g in range(9):
+        name, centre, peak = 10 + g * 1000, r.random(3), 30.0 + 40 * r.random()
+        at = (centre + r.normal(0, 0.01, (80, 3))) % 1
+        rho = peak * (1 - np.arange(80) / 85)
+        rows += [(name + k, name, *map(float, at[k]), 1.0 + k % 3, float(rho[k])) for k in range(80)]
+        group[name] = [(float(rho[k]), 1.0 + k % 3, at[k]) for k in range(80)]
+    names = sorted(group)
+    links = [(names[a], names[b], float(v)) for a, b, v in [(0, 1, 22), (1, 2, 14), (2, 3, 19), (3, 4, 7), (4, 5, 12), (5, 6, 25), (0, 7, 5), (7, 8, 16)]]
+    links += [(b, a, v) for a, b, v in links]
+    all_rows = spark.createDataFrame(rows, "pid long, group_id long, x double, y double, z double, mass double, density double")
+    rules = tree.TreeRules(4.0, members=8, fudge=0.5)
+    nodes = tree.threshold_tree(all_rows.select("pid", "x", "y", "z", "mass"), all_rows.select("pid", "group_id"), all_rows.select("pid", "density"), spark.createDataFrame(links, "g1 long, g2 long, rho double"), rules, task_points)
+    got = nodes.orderBy("component", "node").collect()
+    want = sorted(plain_tree(group, links, rules, names, 4.0))
+    assert len(want) > 8 and max(len(w[0]) for w in want) >= 3
+    assert [(x.groups, x.n, x.level) for x in got] == [(w[2], w[3], len(w[0])) for w in want]
+    assert [x.rho_saddle for x in got] == pytest.approx([w[1] for w in want])
+    number = {(w[0][0], w[0]): k for w, k in ((w, x.node) for w, x in zip(want, got, strict=True))}
+    assert [x.mother for x in got] == [number.get((w[0][0], w[0][:-1]), 0) for w in want]
+    for x in got:
+        inside = [q for g in x.groups for q in group[g] if q[0] > x.rho_saddle]
+        top = max(inside, key=lambda q: q[0])[2]
+        mass = sum(q[1] for q in inside)
+        shift = sum(q[1] * ((q[2] - top) - np.rint(q[2] - top)) for q in inside) / mass
+        assert x.mass == pytest.approx(mass) and (x.px, x.py, x.pz) == pytest.approx(tuple((top + shift) % 1))
+
+
 def test_pair_energy_and_edges(spark):
     p = particles(spark, [(1, 1, 1, (0.99, 0.5, 0.5), (0, 0, 0), 1), (1, 2, 1, (0.01, 0.5, 0.5), (0, 0, 0), 1), (2, 3, 1, (0.1, 0.1, 0.1), (0, 0, 0), 1), (3, 4, 1, (0.1, 0.1, 0.1), (0, 0, 0), 1), (3, 5, 1, (0.1, 0.1, 0.1), (0, 0, 0), 1)])
     e = {r.halo_id: r.ep for r in M.pair_potential(p).collect()}
