@@ -319,6 +319,14 @@ def test_snapshot_files(spark, tmp_path):
     df = snapshot.read_particles(spark, f"{tmp_path}/part_*")
     assert sorted((r.domain, r.pid, r.family, r.mass) for r in df.collect()) == [(1, 10, 1, 1.0), (1, 11, 2, 2.0), (2, 20, 1, 1.0), (2, 21, 2, 2.0)]
     assert snapshot.read_particles(spark, f"{tmp_path}/part_*", family="star").count() == 2
+    (tmp_path / "descriptor.txt").write_text("# n, name, type\n" + "".join(f"{k}, {x}, d\n" for k, x in enumerate(("mass", "family", "tag", "birth_time", "other", "metallicity", "initial_mass", "chem_O"))))
+    extra = [_record(reals(0, 0.1, 0)), _record(reals(9, 9, 9)), _record(reals(0, 0.2, 0)), _record(reals(0, 0.3, 0)), _record(reals(0, 0.4, 0))]
+    (tmp_path / "full_00001.out00003").write_bytes(b"".join(body[:-2] + extra))
+    row = snapshot.read_particles(spark, f"{tmp_path}/full_*", family="star", descriptor=str(tmp_path / "descriptor.txt")).collect()
+    assert [(x.birth, x.metal, x.m0, x.chem_O, x.level, x.tag, x.domain) for x in row] == [(0.1, 0.2, 0.3, 0.4, 1, 0, 3)]
+    (tmp_path / "descriptor.txt").write_text("0, tag, b\n1, initial_mass, d\n2, metallicity, d\n")
+    with pytest.raises(ValueError, match="metallicity"):
+        snapshot.read_layout(str(tmp_path / "descriptor.txt"))
     with pytest.raises(ValueError, match="cut off"):
         list(snapshot.records(b"\x08\x00\x00\x00abc"))
 
@@ -341,8 +349,31 @@ def test_text_files(spark, tmp_path):
     assert sorted((r.iz, r.ia, r.log_age, r.u) for r in grid.collect()) == [(0, 0, 6.0, 1.5), (0, 1, 7.0, 2.25), (1, 0, 6.0, 1.5), (1, 1, 7.0, 2.25)]
     c = text.run_config({"npart": "50", "rhot": "1D2", "mode": "light", "photometry": ".true."}, {"alpha": 2.0})
     assert (c.members, c.threshold, c.photometry, c.alpha) == (50, 100.0, False, 2.0)
+    with pytest.warns(UserWarning, match="nonsense"):
+        assert text.run_config({"nonsense": "1"}) == text.RunConfig()
+    assert text.run_config({"zoomin": "1"}) == text.RunConfig()
     with pytest.raises(ValueError):
-        text.run_config({"nonsense": "1"})
+        text.run_config({"family": "gas"})
+
+
+def test_gas_parameter_files(spark, tmp_path):
+    path = tmp_path / "gas.dat"
+    path.write_text("# note\n! note\noverlap_depth = 5 ! levels\nradius_field = 'rvir'\noverwrite = .true.\nroot_ids = 3, 5\nmax_roots = 7\nnthread = 4\npadding = 1.5\n")
+    got = text.gas_config(str(path), {"padding": 2.0})
+    assert got == text.GasConfig(overlap_depth=5, radius_field="rvir", overwrite=True, root_ids=(3, 5), max_roots=7, padding=2.0)
+    for bad in ("nothing here", "roots = some", "root_ids = ,", "overwrite = maybe"):
+        path.write_text(bad + "\n")
+        with pytest.raises(ValueError):
+            text.gas_config(str(path))
+    path.write_text("# jobs\n'a.h5' /sim 12\nb.h5 /sim 13 out\n")
+    jobs = text.checked_outputs(text.gas_jobs(spark, str(path)))
+    assert [tuple(j) for j in jobs.orderBy("line_no").collect()] == [(2, "a.h5", "/sim", 12, "gas_bricks00012"), (3, "b.h5", "/sim", 13, "out")]
+    path.write_text("a /sim 1 x\nb /sim 2 x\n")
+    with pytest.raises(ValueError, match="share"):
+        text.checked_outputs(text.gas_jobs(spark, str(path)))
+    path.write_text("\n")
+    with pytest.raises(ValueError, match="no job"):
+        text.gas_jobs(spark, str(path))
 
 
 def test_resume_after_a_crash(spark, tmp_path):
