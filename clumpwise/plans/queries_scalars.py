@@ -12,6 +12,7 @@ from clumpwise.operators import members as M
 from clumpwise.operators import scaling as S
 from clumpwise.plans.queries_members import PH, REL, rounded
 from clumpwise.plans.registry import query
+from clumpwise.sources import text as T
 from clumpwise.sources.snapshot import domains_of
 
 
@@ -214,8 +215,71 @@ def box_scalars(n: DataFrame) -> DataFrame:
  case when h0 is null or abs(h0-70e0)<=1e-6*abs(h0) then 70e0 else h0 end as hubble from (select n_nationkey, case when n_nationkey%5<>0 then 70e0+(n_nationkey%3)*0.00003e0*(n_nationkey%4) end as h0 from nation) a""",
 )
 def hubble_precedence(n: DataFrame) -> DataFrame:
-    from clumpwise.sources.text import with_hubble
-
     k = F.col("n_nationkey")
     info = n.select("n_nationkey", F.when(k % 5 != 0, 70.0 + (k % 3) * 0.00003 * (k % 4)).alias("h0"))
-    return with_hubble(info, 70.0).select("n_nationkey", "source", "hubble")
+    return T.with_hubble(info, 70.0).select("n_nationkey", "source", "hubble")
+
+
+@query(
+    "a2_snapshot_info",
+    ("nation",),
+    """select n_nationkey, (n_nationkey+1)*3e23 as scale_l, (n_nationkey+2)*1e-27 as scale_d, case when n_nationkey%3=0 then n_nationkey*5e15 end as scale_t, case when n_nationkey%2=1 then 60e0+n_nationkey/4e0 end as h0 from nation""",
+)
+def info(n: DataFrame) -> DataFrame:
+    """Unit files of one snapshot a nation: either spelling of the exponent, comments, other keys and missing ones."""
+    k = F.col("n_nationkey")
+    lines = F.array(
+        F.lit("# units"), F.lit("ordering type=hilbert"), F.lit(""),
+        F.concat(F.lit("unit_l      =  "), ((k + 1) * 3).cast("string"), F.lit("D+23 ! cm")),
+        F.concat(F.lit(" scale_d="), (k + 2).cast("string"), F.lit("E-27")),
+        F.when(k % 3 == 0, F.concat(F.lit("unit_t = "), (k * 5).cast("string"), F.lit("d15"))).otherwise("#unit_t = 1"),
+        F.when(k % 2 == 1, F.concat(F.lit("H0 = "), (60 + k / 4).cast("string"))).otherwise("H0 ! none"),
+    )
+    out = T.info_of(T.pairs_of(n.select("n_nationkey", F.explode(lines).alias("value")), "n_nationkey"), "n_nationkey")
+    # the written decimals and the products of the SQL differ in their last bits
+    return out.select("n_nationkey", *[F.expr(e).alias(c) for c, e in (("scale_l", "round(scale_l/3e23)*3e23"), ("scale_d", "round(scale_d/1e-27)*1e-27"), ("scale_t", "round(scale_t/5e15)*5e15"), ("h0", "h0"))])
+
+
+@query(
+    "a10_job_lines",
+    ("orders",),
+    """select cast(o_orderkey as bigint) as line_no, concat('/runs/', o_orderpriority) as source, case when o_custkey%2=0 then 'Ra3' else 'Ra4' end as simtype, cast(o_custkey%64 as int) as workers, cast(o_orderkey%500 as int) as numstep,
+ case when o_custkey%5=0 then concat('p', cast(o_custkey as varchar)) else '' end as line_prefix, regexp_replace(o_orderpriority, '[^A-Za-z0-9._-]', '_', 'g') as source_tag from (select o_orderkey, o_custkey, replace(o_orderpriority, ' ', '+') as o_orderpriority from orders) a where o_orderkey%4<>0""",
+)
+def job_lines(o: DataFrame) -> DataFrame:
+    """A job line an order, quoted or not, with four fields or five; every fourth is a comment or blank."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    quote = F.when(c % 3 == 0, "'").when(c % 3 == 1, '"').otherwise("")
+    source = F.concat(quote, F.lit("/runs/"), F.replace("o_orderpriority", F.lit(" "), F.lit("+")), quote)
+    fields = [source, F.when(c % 2 == 0, "Ra3").otherwise("Ra4"), (c % 64).cast("string"), (k % 500).cast("string"), F.when(c % 5 == 0, F.concat(F.lit("p"), c.cast("string")))]
+    line = F.when(k % 8 == 0, "! none").when(k % 4 == 0, "  ").otherwise(F.concat_ws("  ", *fields))
+    return T.jobs_of(o.select(k.cast("long").alias("line_no"), line.alias("line")))
+
+
+_BACKGROUND = "(select n_nationkey, 0.2e0+n_nationkey/100e0 as om, 0.7e0-n_nationkey/80e0 as ol, 60e0+n_nationkey as h, 1e0/(1e0+n_nationkey/4e0) as a from nation)"
+
+
+def _background(n: DataFrame) -> DataFrame:
+    k = F.col("n_nationkey")
+    return S.background(n.select("n_nationkey", (0.2 + k / 100.0).alias("omega_m"), (0.7 - k / 80.0).alias("omega_l"), (60.0 + k).alias("hubble"), (1.0 / (1.0 + k / 4.0)).alias("aexp")))
+
+
+@query("c1_expansion_rate", ("nation",), f"select n_nationkey, round(h*sqrt(om/(a*a*a)+(1-om-ol)/(a*a)+ol),7) as rate from {_BACKGROUND} b")
+def expansion(n: DataFrame) -> DataFrame:
+    return rounded(_background(n).select("n_nationkey", "rate"), 7, "rate")
+
+
+@query(
+    "c2_age",
+    ("nation",),
+    f"""select n_nationkey, round(any_value(977.78e0/h)*sum(x/sqrt(om*pow(x,5)+(1-om-ol)*pow(x,4)+ol*x*x)*step),5) as age from
+ (select n_nationkey, om, ol, h, ln(10001e0*a)/20000e0 as step, exp(ln(1e0/a)+(i+0.5e0)*ln(10001e0*a)/20000e0) as x from {_BACKGROUND} b, range(20000) r(i)) c group by n_nationkey""",
+)
+def age(n: DataFrame) -> DataFrame:
+    """Ages by quadrature; the SQL sums 20,000 midpoints."""
+    return rounded(_background(n).select("n_nationkey", "age"), 5, "age")
+
+
+@query("c7_critical_density", ("nation",), f"select n_nationkey, round(3e0*h*h/(8e0*pi()*430.1e0)*1e2/(a*a*a),6) as rho_crit from {_BACKGROUND} b")
+def critical(n: DataFrame) -> DataFrame:
+    return rounded(_background(n).select("n_nationkey", "rho_crit"), 6, "rho_crit")
