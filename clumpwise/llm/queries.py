@@ -112,6 +112,12 @@ def op10_template_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clumpwise.llm.scaled_sketch import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_karmarkar_karp": op1_karmarkar_karp,
     "op2_decision_list": op2_decision_list,
@@ -123,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_shared_prefix_viterbi": op9_shared_prefix_viterbi,
     "op10_template_automata": op10_template_automata,
+    "op12_scaled_sketch": op12_scaled_sketch,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -159,4 +166,20 @@ with recursive d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0
 select d.doc_id, coalesce(n.n, 0) as n_shingles, x.component_id from d left join n on d.doc_id = n.doc_id
 join (select doc_id, min(seen) as component_id from r group by doc_id) x on d.doc_id = x.doc_id"""
 
-ORACLE_SQL: dict[str, str] = {"op6_positional_index": _OP6, "op8_jaccard_join": _OP8}
+#: Sketches: distinct MD5 hashes (16 digits) of five-word shingles that begin with 0 or 1, else the least; likeness: what the smaller one shares.
+_OP12 = rf"""
+with d as (select row_number() over (order by doc_id desc nulls last) as r, doc_id, coalesce(text, '') as t from documents),
+ n as (select d.*, coalesce(lead(t) over (order by r), first_value(t) over (order by r)) as u, coalesce(lead(r) over (order by r), 1) as nr from d),
+ e as (select r, nr, doc_id, t, left(t, length(t) - length(t) // 2) || left(u, length(t) // 2) as e from n),
+ a as (select r, 0 as k, t from e union all select r, 1, e from e),
+ w as (select r, k, regexp_extract_all({_LOWER.replace("coalesce(text, '')", "t")}, '[^\x20\x09-\x0D]+') as w from a),
+ h as (select r, k, left(md5(array_to_string(w[i + 1 : i + 5], ' ')), 16) as h from (select r, k, w, unnest(range(greatest(len(w) - 4, 1))) as i from w where len(w) > 0)),
+ m as (select r, k, min(h) as least from h group by r, k),
+ s as (select r, k, list_sort(list(distinct h)) as s from h join m using (r, k) where h < '2' or h = least group by r, k),
+ f as (select e.*, coalesce(a.s, []) as a, coalesce(b.s, []) as b, coalesce(c.s, []) as c from e left join s a on a.r = e.r and a.k = 0 left join s b on b.r = e.r and b.k = 1 left join s c on c.r = e.nr and c.k = 0)
+select doc_id, cast(length(t) as bigint) as n_chars, sha256(e) as edited_sha256, array_to_string(a, '') as fingerprint, array_to_string(b, '') as edited_fingerprint,
+ case when least(len(a), len(b)) = 0 then case when len(a) = len(b) then 1e0 else 0e0 end else len(list_intersect(a, b)) / cast(least(len(a), len(b)) as double) end as near_edited,
+ case when least(len(a), len(c)) = 0 then case when len(a) = len(c) then 1e0 else 0e0 end else len(list_intersect(a, c)) / cast(least(len(a), len(c)) as double) end as near_next
+from f"""
+
+ORACLE_SQL: dict[str, str] = {"op6_positional_index": _OP6, "op8_jaccard_join": _OP8, "op12_scaled_sketch": _OP12}
