@@ -118,6 +118,12 @@ def op12_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"))
 
 
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clumpwise.llm.source_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_karmarkar_karp": op1_karmarkar_karp,
     "op2_decision_list": op2_decision_list,
@@ -130,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_shared_prefix_viterbi": op9_shared_prefix_viterbi,
     "op10_template_automata": op10_template_automata,
     "op12_scaled_sketch": op12_scaled_sketch,
+    "op13_source_audit": op13_source_audit,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -182,4 +189,20 @@ select doc_id, cast(length(t) as bigint) as n_chars, sha256(e) as edited_sha256,
  case when least(len(a), len(c)) = 0 then case when len(a) = len(c) then 1e0 else 0e0 end else len(list_intersect(a, c)) / cast(least(len(a), len(c)) as double) end as near_next
 from f"""
 
-ORACLE_SQL: dict[str, str] = {"op6_positional_index": _OP6, "op8_jaccard_join": _OP8, "op12_scaled_sketch": _OP12}
+_OP13 = rf"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+ o as (select r, lang, source, unnest(w) as t from d),
+ k as (select lang, t, count(*) as n from o group by lang, t having count(distinct r) >= 10),
+ g as (select distinct lang, source from d),
+ v as (select lang, count(*) as v, sum(n) as nl from k group by lang),
+ c as (select lang, source, t, count(*) as c from o semi join k using (lang, t) group by lang, source, t),
+ s as (select g.lang, g.source, coalesce(sum(c.c), 0) as n from g left join c on c.lang = g.lang and c.source = g.source group by g.lang, g.source),
+ p as (select s.lang, s.source, k.t, coalesce(c.c, 0) as c, 1 + (1000000000::hugeint * (coalesce(c.c, 0) + 2)) // (s.n + 2 * v.v) as p, 1 + (1000000000::hugeint * (k.n + 2)) // (v.nl + 2 * v.v) as q
+  from s join k on k.lang = s.lang join v on v.lang = s.lang left join c on c.lang = s.lang and c.source = s.source and c.t = k.t),
+ x as (select a.lang, a.source, b.source as item, coalesce(sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)), 0) as value from p a join p b on a.lang = b.lang and a.t = b.t and a.source <> b.source group by all),
+ y as (select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(x.value, 0) as bigint) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join x on x.lang = a.lang and x.source = a.source and x.item = b.source),
+ z as (select lang, source, 'term' as part, t as item, cast(((p - q) * (p - q)) // (p + q) as bigint) as value from p where c > 0 and p > q),
+ r as (select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank from (select * from y union all select * from z) u)
+select * from r where part = 'pair' or rank <= 10"""
+
+ORACLE_SQL: dict[str, str] = {"op6_positional_index": _OP6, "op8_jaccard_join": _OP8, "op12_scaled_sketch": _OP12, "op13_source_audit": _OP13}
