@@ -112,6 +112,12 @@ def op10_template_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_yinyang_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clumpwise.llm.vector_codes import compressed
+
+    return compressed(table(spark, sf_dir, "embeddings"))
+
+
 def op12_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clumpwise.llm.scaled_sketch import audit
 
@@ -135,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_shared_prefix_viterbi": op9_shared_prefix_viterbi,
     "op10_template_automata": op10_template_automata,
+    "op11_yinyang_codes": op11_yinyang_codes,
     "op12_scaled_sketch": op12_scaled_sketch,
     "op13_source_audit": op13_source_audit,
 }
