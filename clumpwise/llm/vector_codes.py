@@ -42,10 +42,11 @@ def integers(vectors: DataFrame, vector: str = "embedding", parts: int = PARTS,
     """
     v = F.col("_v")
     rows = vectors.select("vec_id", "label", F.col(vector).cast("array<double>").alias("_v"))
-    rows = rows.where(v.isNotNull() & ~F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))))
+    kept = v.isNotNull() & ~F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    rows = rows.where(kept)
     far = F.raise_error(F.lit(f"a component times {scale} leaves +-{LIMIT}"))
     x = F.transform(v, lambda c: F.when(F.abs(c) < LIMIT / scale, F.floor(c * scale)).otherwise(far.cast("long")))
-    rows = rows.select("vec_id", "label", x.alias("x"))
+    rows = rows.select("vec_id", "label", F.when(kept, x).alias("x"))  # conditions on x may be tested before ``kept``
     fits = (F.size("x") > 0) & (F.size("x") % parts == 0)
     first = rows.where(fits).agg(F.min_by(F.size("x"), F.struct(F.col("vec_id").isNull(), "vec_id", "x"))).scalar()
     return rows.withColumn("x", F.when(fits & (F.size("x") == first), F.col("x")))
