@@ -66,6 +66,16 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(least == 0, (F.size(a) == F.size(b)).cast("double")).otherwise(F.size(F.array_intersect(a, b)) / least)
 
 
+def packed(sketch: Column) -> Column:
+    """A sketch as bytes, eight a hash."""
+    return F.unhex(F.array_join(sketch, ""))
+
+
+def unpacked(sketch: Column) -> Column:
+    """The sketch of ``packed`` bytes."""
+    return F.regexp_extract_all(F.lower(F.hex(sketch)), F.lit(f".{{{DIGITS}}}"), F.lit(0))
+
+
 def in_ranges(docs: DataFrame, rows: int = RANGE_ROWS, most: int = RANGES) -> tuple[DataFrame, DataFrame]:
     """(``docs`` with ``_tie`` and ``_range``, heads of the ranges): ranges of falling doc_id, then falling hash of the text, numbered in order.
 
@@ -138,10 +148,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     repeated rows each get a row. No documents give no rows; other columns are not read.
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = with_next(with_sketch(rows, "text", "sketch"), ("sketch",))
+    rows = with_next(with_sketch(rows, "text", "_s").withColumn("sketch", packed(F.col("_s"))).drop("_s"), ("sketch",))
     half = F.floor(F.length("text") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.left("text", F.length("text") - half), F.left("next.text", half)))
     rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "edited", "sketch", F.col("next.sketch").alias("next_sketch"))
+    rows = rows.withColumns({c: unpacked(F.col(c)) for c in ("sketch", "next_sketch")})
     return with_sketch(rows, "edited", "edited_sketch")
 
 
