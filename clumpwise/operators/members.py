@@ -8,11 +8,14 @@ velocity join one narrow row a structure, which Spark broadcasts while it is sma
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clumpwise.functions import exprs as X
+from clumpwise.operators import bands as B
 
 
 def is_star() -> Column:
@@ -220,18 +223,21 @@ def isothermal(props: DataFrame) -> DataFrame:
     return props.withColumns({"rho_0": F.when(ok, F.col("mvir") / (4 * math.pi * F.pow("rvir", F.lit(3.0)))), "r_c": F.when(ok, F.col("rvir"))})
 
 
-def running(rel: DataFrame, value: Column, name: str, by: tuple[str, ...] = ("r2", "pid")) -> DataFrame:
-    """A running sum by distance within each structure."""
-    w = Window.partitionBy("halo_id").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
-    return rel.withColumn(name, F.sum(value).over(w))
+def fraction_radii(rel: DataFrame, weight: Column, fractions: dict[str, float], most: int = B.MOST) -> DataFrame:
+    """For each name the least distance that holds its fraction of the total weight (not negative).
+
+    Of structures of more than ``most`` rows only the bands of distance are sorted in which a fraction is reached.
+    """
+    sums = {"w": F.col("_w")}
 
+    def near(bands: DataFrame) -> DataFrame:
+        # a little more than the band itself, as sums depend on their order in the last digits
+        hits = [(F.col("before_w") <= f * F.col("all_w") * (1 + 1e-9)) & (F.col("before_w") + F.col("in_w") >= f * F.col("all_w") * (1 - 1e-9)) for f in fractions.values()]
+        return bands.where(reduce(lambda a, b: a | b, hits))
 
-def fraction_radii(rel: DataFrame, weight: Column, fractions: dict[str, float]) -> DataFrame:
-    """For each name the least distance that holds its fraction of the total weight."""
-    w = rel.withColumn("_w", weight)
-    total = w.groupBy("halo_id").agg(F.sum("_w").alias("_total"))
-    cum = running(w, F.col("_w"), "_cum").join(total, "halo_id")
-    return cum.groupBy("halo_id").agg(*[F.min(F.when(F.col("_cum") >= f * F.col("_total"), F.col("d"))).alias(n) for n, f in fractions.items()])
+    rows = B.banded(rel.select("halo_id", "r2", "d", "pid", weight.alias("_w")), ["halo_id"], "d", sums, near, most=most)
+    rows = B.running(rows, ["halo_id"], ["r2", "pid"], sums)
+    return rows.groupBy("halo_id").agg(*[F.min(F.when(F.col("in_w") >= f * F.col("all_w"), F.col("d"))).alias(n) for n, f in fractions.items()])
 
 
 def half_mass_radii(members: DataFrame, centres: DataFrame) -> DataFrame:
@@ -291,8 +297,20 @@ def cylindrical(rows: DataFrame, inside: Column, frame: DataFrame | None = None)
     )
 
 
-def peak_circular_velocity(members: DataFrame, centres: DataFrame) -> DataFrame:
-    """Largest sqrt(G m(<r) / r) over members off the centre, and the least radius where it is reached."""
-    rel = running(relative(members, centres).where("d > 0"), F.col("mass"), "inside")
-    v = rel.withColumn("v", F.sqrt(X.G * F.col("inside") / F.col("d")))
+def peak_circular_velocity(members: DataFrame, centres: DataFrame, most: int = B.MOST) -> DataFrame:
+    """Largest sqrt(G m(<r) / r) over members off the centre, and the least radius where it is reached.
+
+    Of structures of more than ``most`` members only the bands of distance are sorted that can hold the peak: the mass up to a
+    band's end over its least distance bounds it from above, over its largest distance it is reached.
+    """
+    sums = {"m": F.col("mass")}
+
+    def high(bands: DataFrame) -> DataFrame:
+        inside = F.col("before_m") + F.col("in_m")
+        reached = F.max(inside / F.col("hi")).over(Window.partitionBy("halo_id", "_part"))
+        return bands.withColumn("_reached", reached).where(inside / F.col("lo") >= F.col("_reached") * (1 - 1e-9)).drop("_reached")
+
+    rel = relative(members, centres).where("d > 0").select("halo_id", "r2", "d", "pid", "mass")
+    rows = B.running(B.banded(rel, ["halo_id"], "d", sums, high, most=most), ["halo_id"], ["r2", "pid"], sums)
+    v = rows.withColumn("v", F.sqrt(X.G * F.col("in_m") / F.col("d")))
     return v.groupBy("halo_id").agg(F.max("v").alias("vmaxcir"), F.max_by("d", F.struct("v", -F.col("d"))).alias("rmaxcir"))

@@ -87,11 +87,13 @@ def centre_in_gas(c: DataFrame, h: DataFrame) -> DataFrame:
     return rounded(G.phase_masses(G.cells_near(c, h, "r", touching=False), F.col("cmass")), 9, "m_gas", "m_cold", "m_dense")
 
 
-FIXED = """k as (select i from range(4) t(i)), f as (select n.id, n.cell_id, sum(case when pow(dx+side*((a.i+0.5e0)/4-0.5e0),2)+pow(dy+side*((b.i+0.5e0)/4-0.5e0),2)+pow(dz+side*((c.i+0.5e0)/4-0.5e0),2)<=reach*reach then 1 else 0 end)/64e0 as f
- from near n cross join k a cross join k b cross join k c group by n.id, n.cell_id)"""
+#: Squared offsets of the 64 parts of a cell, four on an axis, counted one by one.
+_AXES = ", ".join(f"pow(d{a}+side*({i + 0.5}e0/4-0.5e0),2) as {a}{i}" for a in "xyz" for i in range(4))
+_HITS = "+".join(f"(case when x{i}+y{j}+z{k}<=reach*reach then 1 else 0 end)" for i in range(4) for j in range(4) for k in range(4))
+FIXED = f"""f as (select id, cell_id, cmass, temp, rho, metal, ({_HITS})/64e0 as f from (select *, {_AXES} from near) a)"""
 
 
-@query("g5_overlap_fixed_depth", CH, f"with {near('rvir', 'half')}, {FIXED} select n.id, n.cell_id, f, round(f*cmass,12) as mass from near n join f on n.id=f.id and n.cell_id=f.cell_id")
+@query("g5_overlap_fixed_depth", CH, f"with {near('rvir', 'half')}, {FIXED} select id, cell_id, f, round(f*cmass,12) as mass from f")
 def fixed_overlap(c: DataFrame, h: DataFrame) -> DataFrame:
     rows = G.cells_near(c, h, "rvir").select("id", "cell_id", "dx", "dy", "dz", "side", "cmass", "rvir")
     return G.with_fixed_overlap(rows, "rvir", 2).select("id", "cell_id", "f", F.round(F.col("f") * F.col("cmass"), 12).alias("mass"))
@@ -106,8 +108,8 @@ def adaptive(c: DataFrame, h: DataFrame) -> DataFrame:
 @query(
     "d31_gas_overlap_mass",
     CH,
-    f"""with {near('rvir', 'half')}, {FIXED} select n.id, round(sum(f*cmass),9) as m_gas, round(sum(case when temp<1e4 then f*cmass else 0 end),9) as m_cold,
- round(sum(case when temp<1e4 and rho>5 then f*cmass else 0 end),9) as m_dense, count(*) as n_cells from near n join f on n.id=f.id and n.cell_id=f.cell_id group by n.id""",
+    f"""with {near('rvir', 'half')}, {FIXED} select id, round(sum(f*cmass),9) as m_gas, round(sum(case when temp<1e4 then f*cmass else 0 end),9) as m_cold,
+ round(sum(case when temp<1e4 and rho>5 then f*cmass else 0 end),9) as m_dense, count(*) as n_cells from f group by id""",
 )
 def overlap_mass(c: DataFrame, h: DataFrame) -> DataFrame:
     rows = G.cells_near(c, h, "rvir").select("id", "cell_id", "dx", "dy", "dz", "side", "cmass", "rvir", "p", "rho")

@@ -10,6 +10,7 @@ from clumpwise.functions import exprs as X
 from clumpwise.operators import catalog as C
 from clumpwise.operators import members as M
 from clumpwise.operators import scaling as S
+from clumpwise.operators import tables as O
 from clumpwise.plans.queries_members import PH, REL, rounded
 from clumpwise.plans.registry import query
 from clumpwise.sources import text as T
@@ -192,8 +193,7 @@ def distinct_buckets(p: DataFrame) -> DataFrame:
 @query("w6_members_by_sort", ("particles",), "select halo_id, cast(sum(count(*)) over (order by halo_id rows unbounded preceding) - count(*) as bigint) as at, count(*) as n from particles group by halo_id")
 def offsets(p: DataFrame) -> DataFrame:
     """Offsets of members in a list sorted by structure: a running sum over one row a structure."""
-    n = p.groupBy("halo_id").agg(F.count("*").alias("n"))
-    return n.withColumn("at", F.sum("n").over(Window.orderBy("halo_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    return O.member_offsets(p)
 
 
 @query(
