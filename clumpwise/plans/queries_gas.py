@@ -191,3 +191,60 @@ def overdensity(p: DataFrame, c: DataFrame, h: DataFrame) -> DataFrame:
     return rounded(rounded(out, 9, "r_so"), 5, "m_so")
 
 
+
+
+def _parts(name: str, square: str, less: str) -> str:
+    """The share of the 64 parts of a cell whose squared offsets on the axes add up to less than the radius allows."""
+    hits = "+".join(f"(case when {square.format('x', i)}+{square.format('y', j)}+{square.format('z', k)}{less}reach*reach then 1 else 0 end)" for i in range(4) for j in range(4) for k in range(4))
+    return f"({hits})/64e0 as {name}"
+
+
+_OFFSETS = ", ".join(f"d{a}+side*({i + 0.5}e0/4-0.5e0) as o{a}{i}" for a in "xyz" for i in range(4))
+_ENDS = ", ".join(f"abs(o{a}{i})+side/8e0 as u{a}{i}, greatest(abs(o{a}{i})-side/8e0,0e0) as v{a}{i}" for a in "xyz" for i in range(4))
+BOUNDS = f"""f as (select id, cell_id, level, rho, temp, metal, cmass, reach, side, vx, vy, vz, dx, dy, dz, sqrt(dx*dx+dy*dy+dz*dz) as d, {_parts("f", "o{0}{1}*o{0}{1}", "<=")}, {_parts("f_lo", "u{0}{1}*u{0}{1}", "<=")}, {_parts("f_hi", "v{0}{1}*v{0}{1}", "<")}
+ from (select *, {_ENDS} from (select *, {_OFFSETS} from near) a) b)"""
+
+GAS_SUMS = """select id, round(sum(f*cmass),9) as m_gas, round(sum(case when temp<1e4 then f*cmass else 0 end),9) as m_cold, round(sum(case when temp<1e4 and rho>5 then f*cmass else 0 end),9) as m_dense,
+ round(case when sum(f*cmass)<>0 then sum(f*cmass*metal)/sum(f*cmass) end,9) as metal, count(*) as n_cells, count(case when d<=reach then 1 end) as n_centre_in, count(case when f>0 then 1 end) as n_overlap, round(any_value(reach)/min(side),9) as r_over_cell,
+ round(case when sum(f*cmass)<>0 then sum(cmass*(f_hi-f_lo))/sum(f*cmass) end,9) as spread, case when sum(f*cmass)<>0 then sum(cmass*(f_hi-f_lo))/sum(f*cmass)<=0.05e0 end as resolved from f group by id"""
+
+SUMS = ("m_gas", "m_cold", "m_dense", "metal", "r_over_cell", "spread")
+
+
+def _weighed(c: DataFrame, h: DataFrame) -> DataFrame:
+    return G.with_fixed_overlap(G.cells_near(c, h.select("id", "px", "py", "pz", "rvir"), "rvir"), "rvir", 2)
+
+
+@query("d32_overlap_summary", CH, f"with {near('rvir', 'half')}, {BOUNDS} {GAS_SUMS}")
+def overlap_summary(c: DataFrame, h: DataFrame) -> DataFrame:
+    """Masses, metallicity and diagnostics weighted by overlap (D31, D32, D34), by the library's own summary."""
+    return rounded(G.gas_summary(_weighed(c, h), "rvir"), 9, *SUMS)
+
+
+@query(
+    "d33_overlap_kinematics",
+    CH,
+    f"with {near('rvir', 'half')}, {BOUNDS}, rows_in as (select id as halo_id, f*cmass as mass, dx, dy, dz, vx, vy, vz from f where f*cmass>0), {CYLINDER}",
+)
+def overlap_kinematics(c: DataFrame, h: DataFrame) -> DataFrame:
+    out = G.gas_kinematics(_weighed(c, h), F.col("cmass") * F.col("f"))
+    return rounded(out.where("vrot is not null").select("halo_id", "vrot", "sig3d", "sigcyl"), 5, "vrot", "sig3d", "sigcyl")
+
+
+@query(
+    "gas_catalog",
+    ("cells", "particles", "halo_tree"),
+    f"""with {near('rvir', 'half')}, {BOUNDS}, g as ({GAS_SUMS}),
+ a as (select id, family, mass, x-px-round_even(x-px,0) as dx, y-py-round_even(y-py,0) as dy, z-pz-round_even(z-pz,0) as dz, rvir from particles cross join (select id, px, py, pz, rvir from halos) h),
+ e as (select id, coalesce(sum(case when family=1 then mass end),0e0) as m_dark, coalesce(sum(case when family=2 then mass end),0e0) as m_star from a where sqrt(dx*dx+dy*dy+dz*dz)<rvir group by id)
+ select t.id, t.hosthalo as root_id, g.* exclude (id, n_cells, n_centre_in, n_overlap), coalesce(n_cells,0) as n_cells, coalesce(n_centre_in,0) as n_centre_in, coalesce(n_overlap,0) as n_overlap, m_dark, m_star from halo_tree t left join g on g.id=t.id left join e on e.id=t.id""",
+)
+def gas_catalog(c: DataFrame, p: DataFrame, t: DataFrame) -> DataFrame:
+    """The gas run of all roots in one plan: envelopes, boxes, reads, and every structure's spheres."""
+    from clumpwise.plans.programs import summarise_roots
+    from clumpwise.sources.reader import TableReader
+    from clumpwise.sources.text import GasConfig
+
+    roots = t.where("level = 1").select(F.col("id").alias("root_id"))
+    out, _ = summarise_roots(TableReader(c, p), t, roots, GasConfig(radius_field="rvir"), parts_depth=2)
+    return rounded(out, 9, *SUMS)

@@ -188,6 +188,19 @@ def progress(t: DataFrame, log: DataFrame) -> DataFrame:
     return H.progress(t, log)
 
 
+@query(
+    "d39_remaining_time",
+    ("halo_tree", "root_log"),
+    """select count(root_id) as done, count(case when root_id is null then 1 end) as to_do, coalesce(sum(s),0e0) as seconds, round(avg(s)*count(case when root_id is null then 1 end),6) as eta, arg_max(root_id, struct_pack(c:=s, k:=-root_id)) as slowest
+ from (select id from halo_tree where level<=2) t left join (select root_id, cells_read/4e0 as s from root_log where root_id%3<>0) l on id=root_id""",
+)
+def remaining(t: DataFrame, log: DataFrame) -> DataFrame:
+    """Time left at the rate so far; a log in which a third of the hosts is missing, and seconds by cells."""
+    hosts = t.where("level <= 2").withColumn("level", F.lit(1))
+    timed = log.where("root_id % 3 <> 0").select("root_id", (F.col("cells_read") / 4).alias("seconds"))
+    return rounded(H.remaining_time(hosts, timed), 6, "eta")
+
+
 @query(
     "a11_output_names",
     ("snapshot_jobs",),
