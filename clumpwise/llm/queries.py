@@ -39,6 +39,7 @@ def op3_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
         number("hex").alias("n_hex"),
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
+        F.array_join("random_by", ",").alias("random_by"),
     )
 
 

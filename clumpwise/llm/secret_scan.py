@@ -10,13 +10,15 @@ uniform for random runs although the tests depend on each other and on the
 length. A run that is not rejected looks random.
 
 False discoveries (composed names taken for secrets) are controlled for each
-encoding and length on its own, as short runs give weak tests: p-values of truly random
-runs are uniform, those of composed runs fall off, so a uniform part and an exponential one fitted
-to the p-values tell how many random runs a stratum holds, and the threshold is the least at which the share of other runs
-among those above it is at most ``alpha``. The counts cover the distinct runs of
-all documents, as copies of a run are one draw, in a table of fixed size. The
-estimate needs some runs: a stratum of few is counted together with the nearest
-lengths of its encoding, and an encoding of few has a fixed threshold.
+encoding and length on its own, as short runs give weak tests. p-values of truly random
+runs are uniform; those of composed runs fall off, as any mixture of exponentials may. How many random runs a
+stratum holds at least is the lower confidence limit of the uniform part (by profile likelihood, the mixture fitted anew for each
+share), which also holds where random runs are rare: composed runs that could explain the top of the histogram count against it.
+The threshold is the least at which, with so few random runs, the share of others among those above is at most ``alpha``. Where there is none,
+no run of the stratum is taken for random: no threshold could keep the share. The counts cover the distinct runs of
+all documents, as copies of a run are one draw, in a table of fixed size. A stratum of few runs is
+counted together with the nearest lengths of its encoding; an encoding of fewer than ``LEAST`` has a fixed
+threshold, whose share of false discoveries is not known. ``controls`` tells the rule, threshold and share of each stratum.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -43,8 +46,10 @@ STEPS, LENGTHS = 50, (20, 24, 28, 32, 40, 48, 64, 96, 128, 256)
 LEAST, FIXED = 200, 0.04
 #: Draws that are simulated for an alphabet size and length.
 DRAWS = 4096
-#: The step from which p-values are fitted, the falling part's scales that are tried, and the share of ``alpha`` that is aimed at.
-FROM, SCALES, MARGIN = 5, (0.03, 0.06, 0.1, 0.15, 0.2, 0.3), 0.9
+#: The step from which p-values are fitted, the scales that the falling part mixes, the one-sided confidence in standard units, and the rounds of the fit.
+FROM, SCALES, SURE, ROUNDS = 5, (0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4), 1.28, 150
+#: Shares of random runs that are tried.
+SHARES = np.concatenate([[1e-6], np.geomspace(0.002, 1 - 1e-9, 60)])
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -143,8 +148,24 @@ def stratum(encoding: str, length: int) -> str:
     return f"{encoding}:{max(x for x in LENGTHS if x <= length)}"
 
 
+@dataclass(frozen=True)
+class Control:
+    """How a stratum's random runs are told: ``estimated`` with a threshold and the largest share of false ones to expect, ``none`` (no run
+    counts as random; the share is the least that any threshold would have), or ``fixed`` (a threshold, the share unknown)."""
+
+    rule: str
+    threshold: float | None
+    share: float | None
+    runs: int
+
+
 def thresholds(docs: DataFrame, alpha: float = 0.1) -> dict[str, float]:
-    """The least p-value that counts as random, by stratum, from the runs of all documents."""
+    """The least p-value that counts as random, by stratum, for those that have one."""
+    return {s: c.threshold for s, c in controls(docs, alpha).items() if c.threshold is not None}
+
+
+def controls(docs: DataFrame, alpha: float = 0.1) -> dict[str, Control]:
+    """The ``Control`` of each stratum, from the runs of all documents: at most encodings times lengths."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,8 +182,7 @@ def thresholds(docs: DataFrame, alpha: float = 0.1) -> dict[str, float]:
     table: dict[str, list[int]] = {}
     for s, step, n in runs.groupBy("s", "step").agg(F.count("*")).collect():  # encodings x lengths x steps at most
         table.setdefault(s, [0] * STEPS)[step] = n
-    found = {s: least_random(n, alpha) if sum(n) >= LEAST else FIXED for s, n in pooled(table).items()}
-    return {s: t for s, t in found.items() if t is not None}
+    return {s: control(n, alpha) for s, n in pooled(table).items()}
 
 
 def pooled(table: dict[str, list[int]]) -> dict[str, list[int]]:
@@ -180,37 +200,46 @@ def pooled(table: dict[str, list[int]]) -> dict[str, list[int]]:
     return out
 
 
-def random_runs(counts: list[int]) -> float:
-    """How many runs are random: the uniform part of the likeliest mixture with an exponential part."""
+def random_runs(counts: list[int], sure: float = SURE) -> float:
+    """The lower confidence limit of how many runs are random: the least share of a uniform part with which mixtures of exponentials explain the counts."""
     steps, c = len(counts), np.asarray(counts[FROM:], float)
     n = c.sum()
     if not n:
         return 0.0
-    flat, best, share = 1 / len(c), -math.inf, 1.0
-    for scale in SCALES:
-        falling = np.exp(-(np.arange(FROM, steps) + 0.5) / steps / scale)
-        falling /= falling.sum()
-        w = 0.9
-        for _ in range(60):
-            w = float((c * (w * flat / (w * flat + (1 - w) * falling))).sum() / n)
-        likelihood = float((c * np.log(w * flat + (1 - w) * falling)).sum())
-        if likelihood > best:
-            best, share = likelihood, w
-    return share * n * steps / len(c)
+    at = (np.arange(FROM, steps) + 0.5) / steps
+    falling = np.stack([np.exp(-at / scale) / np.exp(-at / scale).sum() for scale in SCALES])
+    share, weights = SHARES[:, None], np.full((len(SHARES), len(SCALES)), 1 / len(SCALES))
+    for _ in range(ROUNDS):
+        weights = weights * ((c / (share / len(c) + (1 - share) * (weights @ falling))) @ falling.T)
+        weights /= weights.sum(1, keepdims=True)
+    likelihood = (c * np.log(share / len(c) + (1 - share) * (weights @ falling))).sum(1)
+    least = int(np.flatnonzero(2 * (likelihood.max() - likelihood) <= sure * sure)[0])
+    return float(SHARES[least] * n * steps / len(c))
+
+
+def control(counts: list[int], alpha: float) -> Control:
+    """The rule of a stratum with so many runs at each step of p."""
+    steps, runs = len(counts), sum(counts)
+    if runs < LEAST:
+        return Control("fixed", FIXED, None, runs)
+    random, best = random_runs(counts), 1.0
+    for k in range(1, steps):
+        above = sum(counts[k:])
+        if above:
+            share = max(0.0, 1 - random * (1 - k / steps) / above)
+            if share <= alpha:
+                return Control("estimated", k / steps, share, runs)
+            best = min(best, share)
+    return Control("none", None, best, runs)
 
 
 def least_random(counts: list[int], alpha: float) -> float | None:
-    """The least threshold (a step's lower edge) above which at most ``alpha`` of the runs are not random."""
-    steps, random = len(counts), random_runs(counts)
-    for k in range(1, steps):
-        above = sum(counts[k:])
-        if above and 1 - random * (1 - k / steps) / above <= MARGIN * alpha:
-            return k / steps
-    return None
+    """The least threshold (a step's lower edge) above which at most ``alpha`` of the runs are not random; of few runs the fixed one."""
+    return control(counts, alpha).threshold
 
 
-def all_spans(text: str, least: dict[str, float]) -> list[tuple[str, int, int]]:
-    """The spans of fixed patterns and the random runs outside of them, by start, kind and end."""
+def all_spans(text: str, least: dict[str, float], strata: set[str] | None = None) -> list[tuple[str, int, int]]:
+    """The spans of fixed patterns and the random runs outside of them, by start, kind and end; ``strata`` gets the random runs' strata."""
     spans = base_spans(text)
     new, at, reach = [], 0, 0  # reach: the farthest end of fixed spans that begin so early
     for s, a, b, p in runs_of(text):
@@ -218,6 +247,8 @@ def all_spans(text: str, least: dict[str, float]) -> list[tuple[str, int, int]]:
             reach, at = max(reach, spans[at][2]), at + 1
         if reach < b and p >= least.get(s, 2.0):
             new.append(("random", a, b))
+            if strata is not None:
+                strata.add(s)
     return sorted(spans + new, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
@@ -232,24 +263,34 @@ def without_spans(text: str, spans: list[tuple[str, int, int]], mark: str) -> st
 
 
 def scan_secrets(docs: DataFrame, alpha: float = 0.1) -> DataFrame:
-    """``docs`` with ``spans``, an array of (kind, start, end) in code points by start, kind and end.
+    """``docs`` with ``spans``, an array of (kind, start, end) in code points by start, kind and end, and ``random_by``.
 
     Spans of the fixed patterns always stay; a random run is added unless it
-    lies inside one of them. A null or empty text has none. Repeated rows get
-    equal spans. All columns pass through; one that is called ``spans`` is replaced.
+    lies inside one of them. ``random_by`` has for each distinct stratum of the text's random runs ``stratum:rule:threshold:share``
+    (share: the largest to expect of false ones, empty if unknown). A null or empty text has none. Repeated rows get
+    equal spans. All columns pass through; those called ``spans`` and ``random_by`` are replaced.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(thresholds(docs, alpha))
-    docs = docs.drop("spans")
+    found = controls(docs, alpha)  # at most encodings times lengths
+    least = {s: c.threshold for s, c in found.items() if c.threshold is not None}
+    said = {s: f"{s}:{c.rule}:{c.threshold}:{'' if c.share is None else round(c.share, 4)}" for s, c in found.items()}
+    sent = docs.sparkSession.sparkContext.broadcast((least, said))
+    docs = docs.drop("spans", "random_by")
     at = docs.columns.index("text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+        least, said = sent.value
         for batch in batches:
-            rows = [[{"kind": k, "start": a, "end": b} for k, a, b in (all_spans(t.as_py(), sent.value) if t.is_valid else ())] for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], [*batch.schema.names, "spans"])
+            rows, by = [], []
+            for t in batch.column(at):
+                strata: set[str] = set()
+                spans = all_spans(t.as_py(), least, strata) if t.is_valid else ()
+                rows.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
+                by.append(sorted(said[s] for s in strata))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind), pa.array(by, pa.list_(pa.string()))], [*batch.schema.names, "spans", "random_by"])
 
     span = StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType())])
-    return map_arrow(docs, scan, StructType([*docs.schema.fields, StructField("spans", ArrayType(span))]))
+    return map_arrow(docs, scan, StructType([*docs.schema.fields, StructField("spans", ArrayType(span)), StructField("random_by", ArrayType(StringType()))]))
 
 
 def redacted(docs: DataFrame, alpha: float = 0.1, mark: str = "[secret]") -> DataFrame:

@@ -434,3 +434,32 @@ def test_op10_query(spark, sf):
         at = [i for p in ("mit license", "apache license", "general public license") for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
         assert (got[k].n_words, got[k].n_base, got[k].first_word, got[k].last_word) == (len(w), len(at), min(at, default=None), max(at, default=None))
         assert got[k].base_labels == ("mit" if at else "") and got[k].labels == ("mit,mit-notice" if at else "") and got[k].score == (1.0 if at else 0.0)
+
+
+@pytest.mark.parametrize("mean", [0.1, 0.15, 0.25])
+@pytest.mark.parametrize("rare", [3000, 900, 300, 90, 30])
+def test_false_discoveries_stay_few_where_random_runs_are_rare(mean, rare):
+    """Realised share over draws; a draw without a threshold makes no discovery."""
+    import numpy as np
+
+    from clumpwise.llm.secret_scan import STEPS, control
+
+    r = np.random.default_rng(int(1000 * mean) + rare)
+    shares = []
+    for _ in range(20):
+        x = r.exponential(mean, 20_000)
+        composed, random_ = x[x < 1][:3000], r.random(rare)
+        found = control(np.histogram(np.concatenate([random_, composed]), STEPS, (0, 1))[0].tolist(), 0.1)
+        assert found.rule in ("estimated", "none") and (found.threshold is None) == (found.rule == "none")
+        t = 2.0 if found.threshold is None else found.threshold
+        shares.append((composed >= t).sum() / max(1, (composed >= t).sum() + (random_ >= t).sum()))
+    assert np.mean(shares) <= 0.1
+
+
+def test_controls_tell_their_rule():
+    from clumpwise.llm.secret_scan import FIXED, STEPS, Control, control
+
+    assert control([3] * STEPS, 0.1) == Control("fixed", FIXED, None, 150)
+    assert control([5000] + [100] * 49, 0.1).rule == "estimated"
+    none = control([4000 - 80 * k for k in range(STEPS)], 0.1)
+    assert none.rule == "none" and none.threshold is None and none.share > 0.1
