@@ -19,6 +19,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -237,15 +238,27 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple
     return start, end, np.searchsorted(start, offsets)
 
 
+#: Bytes from which words are hashed one by one.
+LONG_WORD = 32
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = True) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, A-Z lower-cased if ``fold``."""
+    """A 64-bit hash of each word's bytes, A-Z lower-cased if ``fold``.
+
+    Words of fewer than ``LONG_WORD`` bytes are hashed together by a polynomial. Modulo 2 ** 64 that loses some bits for
+    every doubling of a pattern that swaps two letters, and all from a thousand letters on, so longer words have XXH64.
+    """
     if not len(start):
         return np.zeros(0, _U)
     powers, inverse = _powers(len(data) + 1)
     total = np.empty(len(data) + 1, _U)
     total[0] = 0
     np.cumsum((_FOLDED if fold else _BYTE)[data] * powers[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
+    out = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
+    for k in np.flatnonzero(end - start >= LONG_WORD):
+        word = data[start[k] : end[k]]
+        out[k] = xxhash.xxh64_intdigest((_LOWER[word] if fold else word).tobytes())
+    return out
 
 
 def window_hashes(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -463,3 +463,30 @@ def test_controls_tell_their_rule():
     assert control([5000] + [100] * 49, 0.1).rule == "estimated"
     none = control([4000 - 80 * k for k in range(STEPS)], 0.1)
     assert none.rule == "none" and none.threshold is None and none.share > 0.1
+
+
+@pytest.mark.parametrize("letters", [64, 1024, 2048, 4096])
+def test_words_of_swapped_letters_differ(spark, letters):
+    """Thue-Morse words and their complements, which polynomials modulo 2 ** 64 can't tell apart."""
+    import numpy as np
+
+    from clumpwise.llm import textops
+    from clumpwise.llm.jaccard_join import near_copies
+    from clumpwise.llm.license_templates import scan_licenses
+    from clumpwise.llm.phrase_index import find_leaks
+
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(letters))
+    two = one.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer(f"{one} {two}".encode(), np.uint8)
+    h = textops.word_hashes(data, np.array([0, letters + 1]), np.array([letters, 2 * letters + 1]))
+    assert h[0] != h[1]
+    assert textops.word_hashes(data, np.array([0]), np.array([letters]))[0] == h[0]
+    upper = np.frombuffer(one.upper().encode(), np.uint8)
+    assert textops.word_hashes(upper, np.array([0]), np.array([letters]))[0] == h[0]
+    assert textops.word_hashes(upper, np.array([0]), np.array([letters]), fold=False)[0] != h[0]
+    rest = " w1 w2 w3 w4"
+    docs = spark.createDataFrame([(1, one + rest), (2, two + rest), (3, one + rest)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_copies(docs).collect()} == {1: 1, 2: 2, 3: 1}
+    benchmark = spark.createDataFrame([("x", one + rest)], "item_id string, text string")
+    assert {r.doc_id: r.n_hit for r in find_leaks(docs, benchmark).collect()} == {1: 5, 2: 0, 3: 5}
+    assert scan_licenses(docs).count() == 3
