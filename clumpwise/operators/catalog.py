@@ -45,6 +45,11 @@ def with_gas(catalog: DataFrame, gas: DataFrame, missing: dict[str, object]) ->
     return catalog.join(gas, "id", "left").fillna(missing)
 
 
+def with_photometry(catalog: DataFrame, photometry: DataFrame, *bands: str) -> DataFrame:
+    """Structures with the bands of their photometry; those without a row are left out."""
+    return catalog.join(photometry.select("id", *bands), "id")
+
+
 def member_dump(members: DataFrame, particles: DataFrame, mass_unit: float = X.MASS_UNIT) -> DataFrame:
     """(halo_id, pid, x, y, z, vx, vy, vz, mass) of all members (halo_id, pid): code-unit places, masses in solar masses."""
     columns = [c for c in ("x", "y", "z", "vx", "vy", "vz", "mass") if c in particles.columns]

@@ -10,13 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table in the shared folder of ``spark.checkpoint.dir``; where it is unset, in a temporary one in local mode, and an error on a cluster.
-
-    A checkpoint would hand on the size that was estimated for its plan, the product of a join's sides,
-    which grows without bound from round to round; a table's size is that of its files.
-    """
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A folder in that of ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode, and an error on a cluster."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         place = sc.getConf().get("spark.checkpoint.dir")
@@ -25,7 +20,17 @@ def reliable(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             place = tempfile.mkdtemp(prefix="clumpwise-")
         sc.setCheckpointDir(place)
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """Cut lineage by a table in ``shared_folder``.
+
+    A checkpoint would hand on the size that was estimated for its plan, the product of a join's sides,
+    which grows without bound from round to round; a table's size is that of its files.
+    """
+    spark: SparkSession = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -22,6 +22,22 @@ def is_star() -> Column:
     return F.col("family") == 2
 
 
+#: Families of particles that a run may be confined to.
+FAMILIES = {"all": None, "dm": 1, "star": 2}
+
+
+def of_family(particles: DataFrame, family: str) -> DataFrame:
+    """Particles of ``all`` families, ``dm`` or ``star``."""
+    number = FAMILIES[family]
+    return particles if number is None else particles.where(F.col("family") == number)
+
+
+def gathered(halos: DataFrame, members: DataFrame) -> DataFrame:
+    """``halos`` (id) with ``n`` and ``mass`` of their members; one without members has 0 and null."""
+    per = members.groupBy(F.col("halo_id").alias("id")).agg(F.count("*").alias("n"), F.sum("mass").alias("mass"))
+    return halos.join(per, "id", "left").fillna({"n": 0})
+
+
 def masses(members: DataFrame) -> DataFrame:
     """Total, dark and stellar mass and counts, and the mass above the least dark mass."""
     least = members.where("family = 1").agg(F.min("mass")).scalar()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,24 @@ def axis(grid: DataFrame, column: str) -> list[float]:
     return [r[0] for r in grid.select(column).distinct().orderBy(column).collect()]
 
 
+def checked_grid(grid: DataFrame, bands: Sequence[str]) -> DataFrame:
+    """``grid``, or an error where bands are missing, or a cell of its axes is missing, double or without a number."""
+    missing = [b for b in bands if b not in grid.columns]
+    if missing:
+        raise ValueError(f"the grid has no {', '.join(missing)}")
+    whole = F.countDistinct("log_z") * F.countDistinct("log_age")
+    number = [F.col(b).isNotNull() & ~F.isnan(b) for b in bands]
+    n, cells, full, numbers = grid.agg(F.count("*"), F.countDistinct("log_z", "log_age"), whole, F.count(F.when(reduce(lambda a, b: a & b, number, F.lit(True)), 1))).first()
+    if not n == cells == full == numbers:
+        raise ValueError(f"the grid has {n} rows, {cells} cells of {full}, and {numbers} rows with numbers")
+    return grid
+
+
+def grid_axes(grid: DataFrame) -> DataFrame:
+    """(n, n_z, n_age, lo, hi): cells of a grid, points of its axes, and the ends of its ages."""
+    return grid.agg(F.count("*").alias("n"), F.countDistinct("log_z").alias("n_z"), F.countDistinct("log_age").alias("n_age"), F.min("log_age").alias("lo"), F.max("log_age").alias("hi"))
+
+
 def bracket(value: Column, points: Sequence[float]) -> tuple[Column, Column]:
     """(upper place, weight of the upper point): values are clipped to the axis, places to 1 .. n - 1."""
     n = len(points)
@@ -32,6 +51,7 @@ def with_magnitudes(stars: DataFrame, grid: DataFrame, bands: Sequence[str], age
 
     The grid (iz, ia, log_z, log_age, bands) is folded into one row a cell with its four corners and broadcast.
     """
+    checked_grid(grid, bands)
     ages, metals = axis(grid, "log_age"), axis(grid, "log_z")
     ia, wa = bracket(F.when(F.col(age) > 0, F.log10(F.col(age) * 1e9)).otherwise(float(ages[0])), ages)
     iz, wz = bracket(F.when(F.col(metal) > 0, F.log10(metal)).otherwise(float(metals[0])), metals)

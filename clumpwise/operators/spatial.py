@@ -47,6 +47,18 @@ def periodic_boxes(spheres: DataFrame, radius: str) -> DataFrame:
     return out.select("id", box.cast("int").alias("box"), *[F.col(f"b{a}.{e}").alias(f"{e}_{a}") for a in "xyz" for e in ("lo", "hi")])
 
 
+def bucket_index(points: DataFrame, side: int) -> DataFrame:
+    """(gx, gy, gz, n): the occupied places of a grid of ``side`` places a side, and how many points (x, y, z in [0, 1)) they hold."""
+    return points.groupBy(*[F.floor(F.col(a) * side).alias(f"g{a}") for a in "xyz"]).agg(F.count("*").alias("n"))
+
+
+def bucket_spans(spheres: DataFrame, radius: str, side: int) -> DataFrame:
+    """Spheres with the first and last place of their box on each axis (lo_gx, hi_gx, ...; beyond the grid where it wraps) and ``n``, how many it touches."""
+    ends = {f"{n}_g{a}": F.floor((F.col(f"p{a}") + s * F.col(radius)) * side) for a in "xyz" for n, s in (("lo", -1), ("hi", 1))}
+    wide = [F.col(f"hi_g{a}") - F.col(f"lo_g{a}") + 1 for a in "xyz"]
+    return spheres.withColumns(ends).withColumn("n", (wide[0] * wide[1] * wide[2]).cast("long"))
+
+
 def _class(size: Column) -> Column:
     """The least power of two, as its exponent, that is not below the size; ``-FINEST`` for less, 1 for all of the box's diagonal and more."""
     up = F.when(size > 0, F.greatest(F.lit(-FINEST), F.least(F.lit(1), F.ceil(F.log2(size)).cast("int")))).otherwise(-FINEST)

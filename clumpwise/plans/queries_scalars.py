@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from clumpwise.functions import exprs as X
 from clumpwise.operators import catalog as C
+from clumpwise.operators import hierarchy as H
 from clumpwise.operators import members as M
+from clumpwise.operators import neighbours as N
+from clumpwise.operators import photometry as P
 from clumpwise.operators import scaling as S
+from clumpwise.operators import spatial as R
 from clumpwise.operators import tables as O
+from clumpwise.operators.graph import shared_folder
+from clumpwise.operators.profiles import shell_widths
 from clumpwise.plans.queries_members import PH, REL, rounded
 from clumpwise.plans.registry import query
 from clumpwise.sources import text as T
+from clumpwise.sources.catalog_store import CatalogStore
 from clumpwise.sources.snapshot import domains_of
 
 
@@ -26,13 +34,20 @@ def counts(p: DataFrame) -> DataFrame:
 
 @query("a14_catalog", ("halos",), "select id, hosthalo, level, box_id, px, py, pz, r, rvir from halos where level <= 3")
 def catalog_read(h: DataFrame) -> DataFrame:
-    return h.where("level <= 3").select("id", "hosthalo", "level", "box_id", "px", "py", "pz", "r", "rvir")
+    return _stored(h).where("level <= 3")
 
 
 @query("a14_whole_catalog", ("halos",), "select id, hosthalo, level, box_id, px, py, pz, r, rvir from halos")
 def whole_catalog(h: DataFrame) -> DataFrame:
     """All levels; ``a14_catalog`` is the read under a predicate."""
-    return h.select("id", "hosthalo", "level", "box_id", "px", "py", "pz", "r", "rvir")
+    return _stored(h)
+
+
+def _stored(h: DataFrame) -> DataFrame:
+    """The structures, written as a version of a catalog in the shared folder and read back."""
+    store = CatalogStore(h.sparkSession, f"{shared_folder(h.sparkSession)}/catalog-{uuid.uuid4().hex}")
+    store.write(1, {"halos": h.select("id", "hosthalo", "level", "box_id", "px", "py", "pz", "r", "rvir")}, {"aexp": 1.0}, box=100.0)
+    return store.halos(1)
 
 
 _BOX = "(select id, 0.3e0 as lo_x, 0.3e0+r*4 as hi_x, 0.1e0 as lo_y, 0.5e0 as hi_y, 0.2e0 as lo_z, 0.2e0+r*8 as hi_z from halos where level=1)"
@@ -47,7 +62,7 @@ def box_read(c: DataFrame, h: DataFrame) -> DataFrame:
 
 @query("a16_grid_axes", ("ssp_grid",), "select count(*) as n, count(distinct log_z) as n_z, count(distinct log_age) as n_age, min(log_age) as lo, max(log_age) as hi from ssp_grid")
 def axes(g: DataFrame) -> DataFrame:
-    return g.agg(F.count("*").alias("n"), F.countDistinct("log_z").alias("n_z"), F.countDistinct("log_age").alias("n_age"), F.min("log_age").alias("lo"), F.max("log_age").alias("hi"))
+    return P.grid_axes(P.checked_grid(g, ("sdss_u", "sdss_r", "johnson_k")))
 
 
 @query("b2s_member_dump", ("particles",), "select halo_id, pid, x, y, z, vx, vy, vz, mass*1e11 as mass from particles where halo_id is not null")
@@ -72,7 +87,7 @@ def images(p: DataFrame, h: DataFrame) -> DataFrame:
 
 @query("p10_dense_points", ("particles",), "select pid, halo_id, mass*(abs(vx)+1) as density from particles where mass*(abs(vx)+1) > 5000")
 def dense(p: DataFrame) -> DataFrame:
-    return p.select("pid", "halo_id", (F.col("mass") * (F.abs("vx") + 1)).alias("density")).where("density > 5000")
+    return N.dense_points(p.select("pid", "halo_id", (F.col("mass") * (F.abs("vx") + 1)).alias("density")), 5000.0)
 
 
 @query("p17_contaminants", ("particles",), "select family, count(*) as n from particles where mass > (select min(mass) from particles where family=1)*1.00001e0 group by family")
@@ -109,13 +124,12 @@ def magnitudes(g: DataFrame) -> DataFrame:
 
 @query("j2_neighbour_lookup", ("halo_tree",), "select a.id, b.id as nid, b.r as neighbour_r from halo_tree a join halo_tree b on a.hostsub=b.id")
 def lookup(t: DataFrame) -> DataFrame:
-    return t.select("id", F.col("hostsub").alias("nid")).join(t.select(F.col("id").alias("nid"), F.col("r").alias("neighbour_r")), "nid").select("id", "nid", "neighbour_r")
+    return N.with_neighbour(t.select("id", F.col("hostsub").alias("nid")), t, "id", neighbour_r="r").select("id", "nid", "neighbour_r")
 
 
 @query("j4_gather", PH, "select h.id, h.level, count(pid) as n, sum(mass) as mass from halos h left join particles p on p.halo_id=h.id group by 1,2")
 def gather(p: DataFrame, h: DataFrame) -> DataFrame:
-    per = p.groupBy(F.col("halo_id").alias("id")).agg(F.count("*").alias("n"), F.sum("mass").alias("mass"))
-    return h.select("id", "level").join(per, "id", "left").fillna({"n": 0})
+    return M.gathered(h.select("id", "level"), p)
 
 
 @query(
@@ -130,7 +144,7 @@ def parents(t: DataFrame) -> DataFrame:
 @query("j10_photometry_rows", ("halos", "ssp_grid"), "select h.id, h.level, g.sdss_r from halos h join (select iz*10+ia+1 as id, sdss_r from ssp_grid) g on h.id=g.id")
 def align(h: DataFrame, g: DataFrame) -> DataFrame:
     light = g.select((F.col("iz") * 10 + F.col("ia") + 1).cast("long").alias("id"), "sdss_r")
-    return h.select("id", "level").join(light, "id")
+    return C.with_photometry(h.select("id", "level"), light, "sdss_r")
 
 
 _EXT = "(select s_nationkey as domain, min(lx) as lo_x, max(lx) as hi_x, min(ly) as lo_y, max(ly) as hi_y, min(lz) as lo_z, max(lz) as hi_z from (select box_id as s_nationkey, px as lx, py as ly, pz as lz from halos) a group by 1)"
@@ -160,13 +174,12 @@ def sizes(p: DataFrame) -> DataFrame:
 
 @query("g11_bucket_index", ("cells",), "select cast(floor(x*16) as bigint) as gx, cast(floor(y*16) as bigint) as gy, cast(floor(z*16) as bigint) as gz, count(*) as n from cells group by 1,2,3")
 def buckets(c: DataFrame) -> DataFrame:
-    return c.groupBy(*[F.floor(F.col(a) * 16).alias(f"g{a}") for a in "xyz"]).agg(F.count("*").alias("n"))
+    return R.bucket_index(c, 16)
 
 
 @query("j6_halo_buckets", ("halos",), "select id, count(*) as n from (select h.id, x.i, y.i, z.i from halos h, range(-40,60) x(i), range(-40,60) y(i), range(-40,60) z(i) where x.i between floor((px-r)*32) and floor((px+r)*32) and y.i between floor((py-r)*32) and floor((py+r)*32) and z.i between floor((pz-r)*32) and floor((pz+r)*32)) a group by id")
 def halo_buckets(h: DataFrame) -> DataFrame:
-    side = lambda a: F.floor((F.col(f"p{a}") + F.col("r")) * 32) - F.floor((F.col(f"p{a}") - F.col("r")) * 32) + 1
-    return h.select("id", (side("x") * side("y") * side("z")).cast("long").alias("n"))
+    return R.bucket_spans(h, "r", 32).select("id", "n")
 
 
 @query(
@@ -175,19 +188,18 @@ def halo_buckets(h: DataFrame) -> DataFrame:
     f"""{REL}, l as (select halo_id, pid, d, d-lag(d) over (partition by halo_id order by r2, pid) as width from rel where family=2) select halo_id, round(max(width),10) as widest, count(width) as n from l group by halo_id""",
 )
 def widths(p: DataFrame, h: DataFrame) -> DataFrame:
-    w = Window.partitionBy("halo_id").orderBy("r2", "pid")
-    rel = M.relative(p.where(M.is_star()), h).withColumn("width", F.col("d") - F.lag("d").over(w))
+    rel = shell_widths(M.relative(p.where(M.is_star()), h))
     return rounded(rel.groupBy("halo_id").agg(F.max("width").alias("widest"), F.count("width").alias("n")), 10, "widest")
 
 
 @query("s2_remaining_roots", ("halo_tree", "root_log"), "select id from halo_tree where level=1 except select root_id from root_log where n_fail=0")
 def remaining(t: DataFrame, log: DataFrame) -> DataFrame:
-    return t.where("level = 1").select("id").subtract(log.where("n_fail = 0").select("root_id"))
+    return H.roots_to_do(t, log.where("n_fail = 0")).select("id")
 
 
 @query("s3_distinct_buckets", ("particles",), "select count(*) as n from (select distinct floor(x*64), floor(y*64), floor(z*64) from particles) a")
 def distinct_buckets(p: DataFrame) -> DataFrame:
-    return p.select(*[F.floor(F.col(a) * 64).alias(a) for a in "xyz"]).distinct().agg(F.count("*").alias("n"))
+    return R.bucket_index(p, 64).agg(F.count("*").alias("n"))
 
 
 @query("w6_members_by_sort", ("particles",), "select halo_id, cast(sum(count(*)) over (order by halo_id rows unbounded preceding) - count(*) as bigint) as at, count(*) as n from particles group by halo_id")
