@@ -24,7 +24,11 @@ def plain(row):
     return tuple(repr(float(x)) if isinstance(x, float) else repr(x) for x in row)
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+#: Steps on the way to ``g3_saddles``, which compares what they all give; each takes a minute.
+STEPS = {"j1_knn", "d28_sph_density", "g1_hill_climb", "g2_group_labels"}
+
+
+@pytest.mark.parametrize("name", sorted(set(SQL) - STEPS))
 def test_same_as_sql(spark, duck, name):
     df, res = QUERIES[name](spark, SF), duck.sql(SQL[name])
     mine, theirs = sorted(df.columns), sorted(res.columns)
