@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,9 +22,29 @@ def col(x: Col) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+_PERIODIC: ContextVar[bool] = ContextVar("periodic", default=True)
+
+
+@contextmanager
+def boundary(periodic: bool) -> Iterator[None]:
+    """Plans that are built inside take the box as periodic, or as open: then differences are taken as they are."""
+    token = _PERIODIC.set(periodic)
+    try:
+        yield
+    finally:
+        _PERIODIC.reset(token)
+
+
+def is_periodic() -> bool:
+    """Whether plans that are built here take the box as periodic (they do unless ``boundary`` says otherwise)."""
+    return _PERIODIC.get()
+
+
 def min_image(d: Col, side: float = 1.0) -> Column:
-    """The shortest periodic image of a difference: d - rint(d / side) * side."""
+    """The shortest periodic image of a difference, d - rint(d / side) * side; in an open box (``boundary``) the difference itself."""
     d = col(d)
+    if not is_periodic():
+        return d
     return d - F.rint(d / side) * side if side != 1.0 else d - F.rint(d)
 
 
@@ -99,6 +122,12 @@ def fortran_double(text: Col) -> Column:
     return F.regexp_replace(F.trim(col(text)), "[dD]", "e").try_cast("double")
 
 
+def octal(text: Col) -> Column:
+    """A number written in octal digits, with or without 0o or 0 before them; null where another character stands."""
+    digits = F.regexp_replace(F.lower(F.trim(col(text))), "^0o", "")
+    return F.when(digits.rlike("^[0-7]{1,20}$"), F.conv(digits, 8, 10).cast("long"))
+
+
 def unquoted(text: Col) -> Column:
     return F.regexp_replace(F.trim(col(text)), "^(['\"])(.*)\\1$", "$2")
 

@@ -177,16 +177,24 @@ def pair_potential(members: DataFrame, most: int = 1000) -> DataFrame:
     import numpy as np
     import pyarrow as pa
 
+    periodic, block = X.is_periodic(), 128
+
     def one(table: pa.Table) -> pa.Table:
-        at = np.stack([table.column(c).to_numpy() for c in "xyz"], 1)
+        at = [table.column(c).to_numpy() for c in "xyz"]
         m = table.column("mass").to_numpy()
         total = 0.0
-        for k in range(len(m) - 1):
-            d = at[k + 1 :] - at[k]
-            d -= np.rint(d)
-            r = np.sqrt((d * d).sum(1))
-            near = r > 0
-            total += m[k] * (m[k + 1 :][near] / r[near]).sum()
+        for k in range(0, len(m), block):
+            end, r2 = min(k + block, len(m)), 0.0
+            for x in at:
+                d = x[None, k:] - x[k:end, None]
+                if periodic:
+                    d -= np.rint(d)
+                r2 = r2 + d * d
+            near = r2 > 0
+            near[:, : end - k] &= np.tri(end - k, k=-1, dtype=bool).T  # each pair of the block once
+            inverse = np.zeros_like(r2)
+            np.divide(1.0, np.sqrt(r2), out=inverse, where=near)
+            total += m[k:end] @ (inverse @ m[k:])
         return pa.table({"halo_id": table.column("halo_id").slice(0, 1), "ep": [-X.G * total]})
 
     small = members.groupBy("halo_id").agg(F.count("*").alias("n")).where(F.col("n") < most).select("halo_id")
@@ -200,7 +208,6 @@ def large_potential(members: DataFrame, centres: DataFrame, most: int = 1000) ->
     Where that is null or vanishes (flat or coincident members have no ellipsoidal shells), the value of a homogeneous
     ellipsoid of the principal axes; 0 if all members coincide. No structure is taken whole into a task.
     """
-    from clumpwise.functions.cosmology import ellipsoid_potential
     from clumpwise.operators import profiles as R
 
     large = members.groupBy("halo_id").agg(F.count("*").alias("n"), F.sum("mass").alias("m")).where(F.col("n") >= most)
@@ -211,13 +218,26 @@ def large_potential(members: DataFrame, centres: DataFrame, most: int = 1000) ->
     shells = R.shell_potential(R.shell_table(R.in_shells(rel.withColumns(turned))))
     outer = shells.groupBy("halo_id").agg(F.min("w_in").alias("outer"))
 
-    @F.udf("double")
-    def ellipsoid(m, a, b, c):
-        # the integral diverges where two axes vanish
-        return ellipsoid_potential(m, a, b, c, X.G) if b else 0.0
+    whole = ellipsoid_unit(ax)
+    out = large.join(whole, "halo_id", "left").join(outer, "halo_id", "left")
+    return out.select("halo_id", F.when(F.col("outer") < 0, F.col("outer")).otherwise(F.col("unit") * F.col("m") * F.col("m")).alias("ep"))
+
+
+def ellipsoid_unit(axes: DataFrame) -> DataFrame:
+    """(halo_id, unit): the potential energy of homogeneous ellipsoids of mass 1 with the axes sha, shb, shc.
+
+    0 where two axes vanish, for which the integral diverges.
+    """
+    import pandas as pd
+
+    from clumpwise.functions.cosmology import ellipsoid_potential
+
+    def solve(batches):
+        for p in batches:
+            unit = [ellipsoid_potential(1.0, a, b, c, X.G) if b else 0.0 for a, b, c in zip(p["sha"], p["shb"], p["shc"], strict=True)]
+            yield pd.DataFrame({"halo_id": p["halo_id"], "unit": pd.Series(unit, dtype=float)})
 
-    out = large.join(ax, "halo_id", "left").join(outer, "halo_id", "left")
-    return out.select("halo_id", F.when(F.col("outer") < 0, F.col("outer")).otherwise(ellipsoid("m", "sha", "shb", "shc")).alias("ep"))
+    return axes.select("halo_id", "sha", "shb", "shc").mapInPandas(solve, "halo_id long, unit double")
 
 
 def potential(members: DataFrame, centres: DataFrame, most: int = 1000) -> DataFrame:

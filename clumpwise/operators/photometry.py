@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -78,8 +78,32 @@ def total_light(stars: DataFrame, bands: Sequence[str], red: str) -> DataFrame:
     return stars.groupBy("halo_id").agg(*agg)
 
 
-def light_radii(rel: DataFrame, red: str) -> DataFrame:
-    return fraction_radii(rel, F.col("mass") * X.luminosity(f"mag_{red}"), {"r50_r": 0.5, "r90_r": 0.9})
+def light_radii(rel: DataFrame, red: str, tail: str = "") -> DataFrame:
+    return fraction_radii(rel, F.col("mass") * X.luminosity(f"mag_{red}"), {f"r50_r{tail}": 0.5, f"r90_r{tail}": 0.9})
+
+
+def with_models(stars: DataFrame, grids: Mapping[str, DataFrame], bands: Sequence[str], age: str = "age_gyr", metal: str = "metal") -> DataFrame:
+    """Stars with one magnitude a model and band, mag_{band}_{model}; the models' grids may have axes of their own."""
+    for model, grid in grids.items():
+        stars = with_magnitudes(stars, grid, bands, age, metal).withColumnsRenamed({f"mag_{b}": f"mag_{b}_{model}" for b in bands})
+    return stars
+
+
+def models_light(stars: DataFrame, models: Sequence[str], bands: Sequence[str], red: str) -> DataFrame:
+    """By structure, for all models in one pass: what ``total_light`` gives, as {column}_{model}."""
+    lum = lambda b, m: F.col("mass") * X.luminosity(f"mag_{b}_{m}")
+    agg = []
+    for m in models:
+        agg += [X.magnitude(F.sum(lum(b, m))).alias(f"{b}_{m}") for b in bands]
+        for c, name in (("age_gyr", "age_r"), ("metal", "metal_r")):
+            agg.append(F.try_divide(F.sum(lum(red, m) * F.col(c)), F.sum(lum(red, m))).alias(f"{name}_{m}"))
+    return stars.groupBy("halo_id").agg(*agg)
+
+
+def of_model(light: DataFrame, model: str, bands: Sequence[str]) -> DataFrame:
+    """One model's table (halo_id, bands, age_r, metal_r and, where they are there, r50_r, r90_r) of the columns of all models."""
+    names = [c for c in (*bands, "age_r", "metal_r", "r50_r", "r90_r") if f"{c}_{model}" in light.columns]
+    return light.select("halo_id", *[F.col(f"{c}_{model}").alias(c) for c in names])
 
 
 def interpolated(df: DataFrame, value: str, knots: DataFrame, x: str, y: str, name: str) -> DataFrame:

@@ -100,12 +100,19 @@ def slope(p: DataFrame, h: DataFrame) -> DataFrame:
     return rounded(R.inner_slope(M.relative(p, h, ("rvir",)), "rvir", "rvir"), 6, "inslope", "inslope_err")
 
 
-LOOK = """a as (select *, greatest(5.5e0, least(10e0, case when age_gyr>0 then log10(age_gyr*1e9) else 5.5e0 end)) as la, greatest(-4e0, least(-1.5e0, log10(metal))) as lz from particles where family=2),
- i as (select *, cast(least(greatest(floor((la-5.5e0)/0.5e0)+1,1),9) as int) as ia, cast(least(greatest(floor((lz+4e0)/0.5e0)+1,1),5) as int) as iz from a),
- w as (select *, (la-(5.5e0+0.5e0*(ia-1)))/0.5e0 as wa, (lz-(-4e0+0.5e0*(iz-1)))/0.5e0 as wz from i),
- g as (select w.pid, w.halo_id, w.mass, w.age_gyr, w.metal, w.ia, w.iz, wa, wz, (g00.sdss_u*(1-wa)+g01.sdss_u*wa)*(1-wz)+(g10.sdss_u*(1-wa)+g11.sdss_u*wa)*wz as mu,
+
+
+def look(ages: int = 10, metals: int = 6, tail: str = "") -> str:
+    """CTEs that end in g + tail: stars with their magnitudes on the first ``ages`` and ``metals`` points of the grid's axes."""
+    return f"""a{tail} as (select *, greatest(5.5e0, least({4.5 + 0.5 * (ages + 1)}e0, case when age_gyr>0 then log10(age_gyr*1e9) else 5.5e0 end)) as la, greatest(-4e0, least({-4.5 + 0.5 * metals}e0, log10(metal))) as lz from particles where family=2),
+ i{tail} as (select *, cast(least(greatest(floor((la-5.5e0)/0.5e0)+1,1),{ages - 1}) as int) as ia, cast(least(greatest(floor((lz+4e0)/0.5e0)+1,1),{metals - 1}) as int) as iz from a{tail}),
+ w{tail} as (select *, (la-(5.5e0+0.5e0*(ia-1)))/0.5e0 as wa, (lz-(-4e0+0.5e0*(iz-1)))/0.5e0 as wz from i{tail}),
+ g{tail} as (select w.pid, w.halo_id, w.mass, w.age_gyr, w.metal, w.x, w.y, w.z, w.ia, w.iz, wa, wz, (g00.sdss_u*(1-wa)+g01.sdss_u*wa)*(1-wz)+(g10.sdss_u*(1-wa)+g11.sdss_u*wa)*wz as mu,
  (g00.sdss_r*(1-wa)+g01.sdss_r*wa)*(1-wz)+(g10.sdss_r*(1-wa)+g11.sdss_r*wa)*wz as mr, (g00.johnson_k*(1-wa)+g01.johnson_k*wa)*(1-wz)+(g10.johnson_k*(1-wa)+g11.johnson_k*wa)*wz as mk
- from w join ssp_grid g00 on g00.iz=w.iz-1 and g00.ia=w.ia-1 join ssp_grid g01 on g01.iz=w.iz-1 and g01.ia=w.ia join ssp_grid g10 on g10.iz=w.iz and g10.ia=w.ia-1 join ssp_grid g11 on g11.iz=w.iz and g11.ia=w.ia)"""
+ from w{tail} w join ssp_grid g00 on g00.iz=w.iz-1 and g00.ia=w.ia-1 join ssp_grid g01 on g01.iz=w.iz-1 and g01.ia=w.ia join ssp_grid g10 on g10.iz=w.iz and g10.ia=w.ia-1 join ssp_grid g11 on g11.iz=w.iz and g11.ia=w.ia)"""
+
+
+LOOK = look()
 BANDS = ("sdss_u", "sdss_r", "johnson_k")
 
 
@@ -128,6 +135,82 @@ def photometry(p: DataFrame, g: DataFrame) -> DataFrame:
     return rounded(rounded(out, 6, *BANDS, "age_r"), 8, "metal_r")
 
 
+#: The models of ``d22_models``: the stars' CTE, and the magnitudes there; ``given`` is the grid as it is, ``steep`` has other magnitudes, ``short`` shorter axes.
+MODELS = {"given": ("g", "m{}"), "steep": ("g", "(1.5e0*m{}-1e0)"), "short": ("g_short", "m{}")}
+
+
+def _model_sums(model: str) -> str:
+    table, mag = MODELS[model]
+    light = {b: f"mass*pow(10,-0.4e0*{mag.format(b)})" for b in "urk"}
+    totals = ", ".join(f"round(-2.5e0*log10(sum({light[b]})),6) as {name}_{model}" for b, name in zip("urk", BANDS, strict=True))
+    means = ", ".join(f"round(sum({light['r']}*{c})/sum({light['r']}),{n}) as {out}_{model}" for c, n, out in (("age_gyr", 6, "age_r"), ("metal", 8, "metal_r")))
+    return f"(select halo_id, {totals}, {means} from {table} where age_gyr>0 group by halo_id)"
+
+
+def _grids(g: DataFrame) -> dict[str, DataFrame]:
+    steep = g.withColumns({b: F.col(b) * 1.5 - 1 for b in BANDS})
+    return {"given": g, "steep": steep, "short": g.where("ia < 7 and iz < 4")}
+
+
+@query(
+    "d22_models",
+    ("particles", "ssp_grid"),
+    f"with {LOOK}, {look(7, 4, '_short')} select * from {_model_sums('given')} m1 join {_model_sums('steep')} m2 using (halo_id) join {_model_sums('short')} m3 using (halo_id)",
+)
+def models(p: DataFrame, g: DataFrame) -> DataFrame:
+    """Light by three models of populations, whose grids differ in magnitudes and axes, in one aggregation."""
+    stars = p.where(M.is_star() & X.valid_star("age_gyr", "metal", "mass"))
+    out = P.models_light(P.with_models(stars, _grids(g), BANDS), list(MODELS), BANDS, "sdss_r")
+    digits = lambda c: 8 if c.startswith("metal_r") else 6
+    return out.select("halo_id", *[F.round(c, digits(c)).alias(c) for c in out.columns if c != "halo_id"])
+
+
+@query(
+    "d22_light_radii",
+    ("particles", "halos", "ssp_grid"),
+    f"""with {LOOK}, o as (select g.halo_id, g.pid, mass*pow(10,-0.4e0*mr) as lum, x-px-round_even(x-px,0) as dx, y-py-round_even(y-py,0) as dy, z-pz-round_even(z-pz,0) as dz from g join halos h on h.id=g.halo_id where age_gyr>0),
+ c as (select halo_id, dx*dx+dy*dy+dz*dz as r2, sum(lum) over (partition by halo_id order by dx*dx+dy*dy+dz*dz, pid) as held, sum(lum) over (partition by halo_id) as total from o)
+ select halo_id, round(min(case when held>=0.5e0*total then sqrt(r2) end),9) as r50_r, round(min(case when held>=0.9e0*total then sqrt(r2) end),9) as r90_r from c group by halo_id""",
+)
+def light_radii(p: DataFrame, h: DataFrame, g: DataFrame) -> DataFrame:
+    stars = P.with_magnitudes(p.where(M.is_star() & X.valid_star("age_gyr", "metal", "mass")), g, BANDS)
+    return rounded(P.light_radii(M.relative(stars, h), "sdss_r"), 9, "r50_r", "r90_r")
+
+
+@query(
+    "b5s_tree_dump",
+    ("halo_tree",),
+    """with t as (select id, hostsub as mother, case when hostsub>0 then lead(id) over (partition by hostsub order by id) end as sister from halo_tree),
+ k as (select hostsub as id, min(id) as first_child from halo_tree where hostsub>0 group by hostsub),
+ d as (select t.id, mother, coalesce(first_child,0) as first_child, coalesce(sister,0) as sister from t left join k on k.id=t.id)
+ select *, case when mother>0 then printf('sub:%6d mother:%6d first_child:%6d sister:%6d',id,mother,first_child,sister) else printf('halo:%6d first_child:%6d sister:%6d',id,first_child,sister) end as line from d""",
+)
+def tree_dump(t: DataFrame) -> DataFrame:
+    return H.tree_dump(t)
+
+
+@query("p26_octal", ("orders",), "select o_orderkey, cast((o_orderkey%8)*64+(o_custkey%8)*8+(o_orderkey*3)%8 as bigint) as mode from orders")
+def octal_modes(o: DataFrame) -> DataFrame:
+    """Permissions written as three octal digits of an order's numbers."""
+    digits = [F.col("o_orderkey") % 8, F.col("o_custkey") % 8, (F.col("o_orderkey") * 3) % 8]
+    head = F.when(F.col("o_orderkey") % 2 == 0, F.lit(" 0o")).otherwise(F.lit("0"))
+    return o.select("o_orderkey", X.octal(F.concat(head, *[d.cast("string") for d in digits])).alias("mode"))
+
+
+@query(
+    "p9_open_box",
+    ("particles", "halos"),
+    """with o as (select pid, halo_id, mass, x-px as dx, y-py as dy, z-pz as dz from particles p join halos h on h.id=p.halo_id)
+ select halo_id, count(*) as n, round(max(sqrt(dx*dx+dy*dy+dz*dz)),9) as r, round(sum(mass*(dx*dx+dy*dy+dz*dz)),6) as moment from o group by halo_id""",
+)
+def open_box(p: DataFrame, h: DataFrame) -> DataFrame:
+    """Extents and moments of structures in a box that is not periodic."""
+    with X.boundary(False):
+        rel = M.relative(p, h)
+    out = rel.groupBy("halo_id").agg(F.count("*").alias("n"), F.max("d").alias("r"), F.sum(F.col("mass") * F.col("r2")).alias("moment"))
+    return rounded(rounded(out, 9, "r"), 6, "moment")
+
+
 @query(
     "j13_epoch_age",
     ("particles", "nation"),
