@@ -37,6 +37,8 @@ SLOP = 2
 GAP = 64
 #: Bytes of test texts that are broadcast at once, and the bytes of an item's piece: windows take some 15 times as much.
 TEST_BYTES, PIECE_BYTES = 4 << 20, 1 << 20
+#: Postings from which a slice of windows is searched on its own.
+STARTS = 1 << 17
 
 _POSTINGS = "starts array<int>, n_words array<int>, terms array<long>, at array<int>, positions array<int>"
 _SPANS = "array<struct<item_id:string,start:long,end:long,exact:boolean>>"
@@ -124,7 +126,11 @@ def windows_of(items: list[tuple[str, str]], width: int = WIDTH) -> dict[str, np
 
 
 def matches(q: dict[str, np.ndarray], terms: np.ndarray, at: np.ndarray, positions: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(window, start, exact) of all proximity matches in one block, exact ones among them."""
+    """(window, start, exact) of all proximity matches in one block, exact ones among them.
+
+    Windows are walked in slices whose rarest terms have about ``STARTS`` postings together, or of one window; what a
+    slice needs does not grow with the benchmark.
+    """
     none = np.zeros(0, np.int64)
     windows = q["windows"]
     if not len(windows) or not len(terms):
@@ -141,15 +147,7 @@ def matches(q: dict[str, np.ndarray], terms: np.ndarray, at: np.ndarray, positio
     if not len(live):
         return none, none, none.astype(bool)
     order = np.argsort(per[live], axis=1, kind="stable")
-    rarest = order[:, 0]
-    term = windows[live, rarest]
     first_key = np.concatenate([[0], np.cumsum(lens)])
-    row = np.repeat(np.arange(len(live)), lens[term])
-    start = keys[ramp(first_key[term], lens[term])] - np.repeat(term * span, lens[term]) - np.repeat(rarest, lens[term])
-    # the rarest term may be off its place as well
-    both = np.unique(np.stack([np.repeat(row, 2 * slop + 1), (start[:, None] + np.arange(-slop, slop + 1)).ravel()], 1), axis=0)
-    row, start = both[:, 0], both[:, 1]
-    win = live[row]
 
     def intersect(win: np.ndarray, row: np.ndarray, start: np.ndarray, off: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for k in range(windows.shape[1]):
@@ -164,14 +162,24 @@ def matches(q: dict[str, np.ndarray], terms: np.ndarray, at: np.ndarray, positio
             win, row, start = win[ok], row[ok], start[ok]
         return win, row, start
 
-    win, row, start = intersect(win, row, start, slop)
-    exact = np.zeros(len(win), bool)
-    if slop:
-        w, _, s = intersect(win, row, start, 0)
-        exact = np.isin(win * span + start + GAP, w * span + s + GAP)
-    else:
-        exact[:] = True
-    return win, start, exact
+    load = np.cumsum(lens[windows[live, order[:, 0]]])
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(load, np.arange(STARTS, load[-1], STARTS)) + 1, [len(live)]]))
+    out = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        rarest = order[a:b, 0]
+        term = windows[live[a:b], rarest]
+        row = np.repeat(np.arange(a, b), lens[term])
+        start = keys[ramp(first_key[term], lens[term])] - np.repeat(term * span, lens[term]) - np.repeat(rarest, lens[term])
+        # the rarest term may be off its place as well
+        both = np.unique((row * span + start + GAP)[:, None] + np.arange(-slop, slop + 1))
+        row, start = both // span, both % span - GAP
+        win, row, start = intersect(live[row], row, start, slop)
+        exact = np.ones(len(win), bool)
+        if slop:
+            w, _, s = intersect(win, row, start, 0)
+            exact = np.isin(win * span + start + GAP, w * span + s + GAP)
+        out.append((win, start, exact))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def search(index: DataFrame, items: list[tuple[str, str]], width: int = WIDTH, slop: int = SLOP) -> DataFrame:
