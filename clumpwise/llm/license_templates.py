@@ -30,48 +30,123 @@ PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general publi
 #: Opening words by which a template is found; these must be plain, which is checked.
 OPENING = 3
 
-# Public license wordings.
+# Public license wordings that several licenses share.
+_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+    documentation files (the "Software"), to deal {how} the Software without restriction, including without limitation the
+    rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+    persons to whom the Software is furnished to do so"""
+_NOTICE = """, subject to the following conditions: The above copyright notice and this permission notice
+    [[(including the next paragraph)]] shall be included in all copies or substantial portions of the Software."""
+_AS_IS = """ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+    WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL {holder:2-12} BE
+    LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF
+    OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS {how} THE SOFTWARE"""
+_DISCLAIMS = """ THE SOFTWARE IS PROVIDED "AS IS" AND {holder:1-12} DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING
+    ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL {holder:1-12} BE LIABLE FOR ANY SPECIAL, DIRECT,
+    INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION
+    OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE"""
+_TWO_CLAUSES = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+    following conditions are met: [[1]] Redistributions of source code must retain the above copyright notice, this list of
+    conditions and the following disclaimer. [[2]] Redistributions in binary form must reproduce the above copyright notice,
+    this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+    distribution."""
+_THIRD_CLAUSE = """ [[3]] Neither the name of {holder:1-16} nor the names of {its:1-2} contributors may be used to endorse or promote
+    products derived from this software without specific prior written permission."""
+_PROVIDED_BY = """ THIS SOFTWARE IS PROVIDED BY {holder:2-14} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED
+    TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL
+    {holder:2-14} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT
+    LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+    CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+    ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"""
+_GNU = """is free software[[:]] you can redistribute it and/or modify it under the terms of the {name} as published by the
+    Free Software Foundation[[; either]] version {version:1-2} [[of the License]] [[, or (at your option) any later version]].
+    {program:1-6} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details"""
+
+
+def _filled(text: str, **parts: str) -> str:
+    for k, v in parts.items():
+        text = text.replace("{" + k + "}", v)
+    return text
+
+
+# Public license wordings, whole; those of licenses that are too long to stand in a file are their notices.
 TEMPLATES: dict[str, str] = {
     "mit-notice": "released under the mit license",
     "apache-2.0-notice": "licensed under the apache license version 2 0",
-    "gpl-notice": "licensed under the gnu general public license [[version {version:1-2}]]",
+    "gpl-notice": "licensed under the gnu general public license",
     "cc-by-nc-notice": "licensed under cc by nc {version:1-2}",
-    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
-        associated documentation files (the "Software"), to deal in the Software without restriction, including without
-        limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
-        Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-        The above copyright notice and this permission notice [[(including the next paragraph)]] shall be included in all copies or
-        substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
-        IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
-        NONINFRINGEMENT. IN NO EVENT SHALL {holder:2-12} BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION
-        OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS
-        IN THE SOFTWARE""",
+    "mit": _filled(_GRANT + _NOTICE + _AS_IS, how="in"),
+    "mit-0": _filled(_GRANT + _AS_IS, how="in"),
+    "x11": _filled(_GRANT + _NOTICE + _AS_IS, how="in")
+    + """. Except as contained in this notice, the name of {holder:1-16} shall not be used in advertising or otherwise to promote the
+        sale, use or other dealings in this Software without prior written authorization from {holder:1-16}""",
+    "ncsa": _filled(_GRANT, how="with")
+    + """, subject to the following conditions: [[1]] Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimers. [[2]] Redistributions in binary form must reproduce the above copyright notice, this
+        list of conditions and the following disclaimers in the documentation and/or other materials provided with the distribution.
+        [[3]] Neither the names of {holder:1-20}, nor the names of its contributors may be used to endorse or promote products derived
+        from this Software without specific prior written permission."""
+    + _filled(_AS_IS, how="with"),
     "isc": """Permission to use, copy, modify, [[and/or]] [[and]] distribute this software for any purpose with or without fee is hereby
-        granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS
-        PROVIDED "AS IS" AND {holder:1-12} DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
-        MERCHANTABILITY AND FITNESS""",
-    "bsd": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
-        following conditions are met: [[1]] Redistributions of source code must retain the above copyright notice, this list of
-        conditions and the following disclaimer. [[2]] Redistributions in binary form must reproduce the above copyright notice,
-        this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
-        distribution.""",
+        granted, provided that the above copyright notice and this permission notice appear in all copies."""
+    + _DISCLAIMS,
+    "0bsd": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."
+    + _DISCLAIMS,
+    "bsd-2-clause": _TWO_CLAUSES + _PROVIDED_BY,
+    "bsd-3-clause": _TWO_CLAUSES + _THIRD_CLAUSE + _PROVIDED_BY,
+    "bsd-4-clause": _TWO_CLAUSES
+    + """ [[3]] All advertising materials mentioning features or use of this software must display the following acknowledgement: This
+        product includes software developed by {holder:1-20}. [[4]]"""
+    + _THIRD_CLAUSE.replace("[[3]]", "")
+    + _PROVIDED_BY,
     "apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
         with the License. You may obtain a copy of the License at {address:1-12} Unless required by applicable law or agreed to in writing,
         software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY
-        KIND, either express or implied.""",
-    "gpl": """This program is free software[[:]] you can redistribute it and/or modify it under the terms of the GNU General Public
-        License as published by the Free Software Foundation[[; either]] version {version:1-2} of the License[[, or (at your option) any
-        later version]]""",
+        KIND, either express or implied. See the License for the specific language governing permissions and limitations under the
+        License""",
+    "gpl": _filled(_GNU, name="GNU General Public License"),
+    "lgpl": _filled(_GNU, name="GNU Lesser General Public License"),
+    "lgpl-2.0": _filled(_GNU, name="GNU Library General Public License"),
+    "agpl": _filled(_GNU, name="GNU Affero General Public License"),
     "mpl-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
         distributed with this file, You can obtain one at {address:1-12}""",
+    "epl": """This program and the accompanying materials are made available under the terms of the Eclipse Public License {version:1-3}
+        which [[accompanies this distribution, and]] is available at {address:1-12}""",
     "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
         compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
-        commercial or non-commercial, and by any means.""",
+        commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this
+        software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit
+        of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of
+        relinquishment in perpetuity of all present and future rights to this software under copyright law."""
+    + _filled(_AS_IS, how="in"),
     "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will {holder:1-12} be held liable
-        for any damages arising from the use of this software.""",
+        for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose,
+        including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: [[1]] The
+        origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this
+        software in a product, an acknowledgment in the product documentation would be appreciated but is not required. [[2]] Altered
+        source versions must be plainly marked as such, and must not be misrepresented as being the original software. [[3]] This notice
+        may not be removed or altered from any source distribution""",
     "bsl-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
         accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute,
-        and transmit the Software, and to prepare derivative works of the Software""",
+        and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is
+        furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the
+        above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or
+        in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of
+        machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF
+        ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE,
+        TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES
+        OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR
+        OTHER DEALINGS IN THE SOFTWARE""",
+    "postgresql": """Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and
+        without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two
+        paragraphs appear in all copies. IN NO EVENT SHALL {holder:2-16} BE LIABLE TO ANY PARTY FOR DIRECT, INDIRECT, SPECIAL, INCIDENTAL,
+        OR CONSEQUENTIAL DAMAGES, INCLUDING LOST PROFITS, ARISING OUT OF THE USE OF THIS SOFTWARE AND ITS DOCUMENTATION, EVEN IF
+        {holder:2-16} HAS BEEN ADVISED OF THE POSSIBILITY OF SUCH DAMAGE. {holder:2-16} SPECIFICALLY DISCLAIMS ANY WARRANTIES, INCLUDING,
+        BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE. THE SOFTWARE PROVIDED HEREUNDER
+        IS ON AN "AS IS" BASIS, AND {holder:2-16} HAS NO OBLIGATIONS TO PROVIDE MAINTENANCE, SUPPORT, UPDATES, ENHANCEMENTS, OR
+        MODIFICATIONS""",
+    "cc0": """To the extent possible under law, {name:1-12} has waived all copyright and related or neighboring rights to {work:1-12}""",
     "cc-by": "This work is licensed under {a:0-1} Creative Commons Attribution [[NonCommercial]] [[ShareAlike]] [[NoDerivatives]] {version:1-2} [[International]] License",
 }
 
