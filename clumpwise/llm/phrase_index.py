@@ -39,6 +39,8 @@ GAP = 64
 TEST_BYTES, PIECE_BYTES = 4 << 20, 1 << 20
 #: Postings from which a slice of windows is searched on its own.
 STARTS = 1 << 17
+#: Bytes of blocks that the stored index holds in a row group, checked after each block: a reader holds a group at once.
+GROUP = {"parquet.block.size": 4 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 4, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 4}
 
 _POSTINGS = "starts array<int>, n_words array<int>, terms array<long>, at array<int>, positions array<int>"
 _SPANS = "array<struct<item_id:string,start:long,end:long,exact:boolean>>"
@@ -79,6 +81,14 @@ def build_index(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFra
     return map_arrow(rows, scan, StructType([*kind.fields, *postings.fields])).withColumn("block", F.monotonically_increasing_id())
 
 
+def stored_index(index: DataFrame) -> DataFrame:
+    """The index of ``build_index``, stored (``textops.stored``) in row groups of few blocks.
+
+    Spark reads up to 4,096 rows of a row group at once, and a row here is a block, so that with groups of usual size a task would hold its whole split.
+    """
+    return stored(index, **GROUP)
+
+
 def pieces_of(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """(item_id string, text) of the items, long ones in pieces of about ``PIECE_BYTES`` that overlap by ``width`` - 1 words, so that they have the same windows."""
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -230,7 +240,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop:
     nothing; a null item_id counts as the string "null"; repeated rows each keep
     their row. Other columns are ignored. The index is stored (``textops.stored``).
     """
-    return find_in(stored(build_index(docs, keep)), benchmark, width, slop, keep)
+    return find_in(stored_index(build_index(docs, keep)), benchmark, width, slop, keep)
 
 
 def find_in(index: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int = SLOP, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

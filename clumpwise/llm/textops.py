@@ -96,14 +96,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again, where later reads want few of its columns.
+def stored(df: DataFrame, **options: int) -> DataFrame:
+    """``df`` written as Parquet in the shared folder, with the writer's ``options``, and read again, where later reads want few of its columns.
 
     ``drop_stored`` removes what a session has stored so.
     """
     spark = df.sparkSession
     place = f"{checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(place)
+    df.write.options(**options).parquet(place)
     _STORED.append(place)
     return spark.read.parquet(place)
 
