@@ -22,3 +22,9 @@ def test_neighbours_by_blocks_agree_with_brute_force(spark, monkeypatch):
         d -= np.rint(d)
         d2 = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
         assert got[7 * k] == sorted((float(v), 7 * j) for j, v in enumerate(d2) if j != k)[:6]
+
+
+def test_few_points_are_one_block(spark):
+    points = spark.createDataFrame([(k, 0.1 * k, 0.5, 0.5) for k in range(5)], "pid long, x double, y double, z double")
+    assert N.nearest(points, 3).groupBy("pid").count().where("count = 3").count() == 5
+    assert N.nearest(points, 9).count() == 20 and N.nearest(points.limit(1), 3).count() == 0
