@@ -25,9 +25,10 @@ is only a matter of cost; the search is exact under any order.
   every member is first probed against two leaders only: the least class, and
   the one whose lists are longest, which stands closest to what a group of near
   copies has in common; then only members outside their list's main component
-  are paired with the members of other components of a fitting size, in parts of
-  bounded size. So no list of near copies is expanded into all its pairs, and no
-  link between different components is missed.
+  are compared with the members of other components of a fitting size, in parts of
+  bounded size, by the count of what stands before the list in both and parities of what stands after it. Only pairs
+  that may reach T by these are listed and probed. So no list of near copies is
+  expanded into all its pairs, and no link between different components is missed.
 """
 
 from __future__ import annotations
@@ -63,6 +64,11 @@ FLUSH = 2_000_000
 FILTER_BITS = 25
 #: Members of one long list and size band that are paired in one part, and the parts in which a list's members learn its main component.
 PART, DEALT = 4096, 16
+#: Longs of parities that a member of a long list has for its set beyond that list.
+SIGNS = 16
+SIGN_COLUMNS = [f"s{k}" for k in range(SIGNS)]
+#: Members that lead a list's size band in the first turn (four times as many in each later one), most turns, and comparisons by member that need none.
+LEADERS, TURNS, EASY = 16, 4, 16
 #: Most keys that may be shared by classes (some 300 are expected among 10^11 classes).
 SHARED = 1 << 20
 
@@ -490,36 +496,137 @@ def reaching(met: DataFrame, members: DataFrame) -> DataFrame:
     return p.where((F.col("early") > 0) & enough).select("a", "b")
 
 
-def remaining_pairs(members: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs (a, b) of long lists' members in different components that stand early enough to reach T.
-
-    Linked sets do so in the list of their first common shingle. Of two
-    components one at least is not its list's main one, so the join runs between
-    the members outside the main component and all members.
-    """
+def apart(members: DataFrame, label: DataFrame) -> DataFrame:
+    """The ``members`` of long lists that more than one component has part in, with their component ``c`` and their list's ``main`` one."""
     m = members.join(label, "a", "left").withColumn("c", F.coalesce("component", "a"))
     m = m.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(DEALT)))
     each = m.groupBy("t", "c").agg(F.count("*").alias("k"))
     main = each.groupBy("t").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("many")).where("many > 1")
     main = main.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALT - 1).cast("long"))))
+    return m.join(main, ["t", "part"]).select(*members.columns, "c", "main")
+
+
+def comparisons(m: DataFrame) -> tuple[int, int]:
+    """The rows of ``apart``, and how many pairs of a member outside its list's main component and any member they make."""
+    each = m.groupBy("t").agg(F.count("*").alias("k"), F.count(F.when(F.col("c") != F.col("main"), 1)).alias("out"))
+    rows, work = each.agg(F.sum("k"), F.sum(F.col("k") * F.col("out"))).first()
+    return rows or 0, work or 0
+
+
+def parities(s: np.ndarray, length: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For shingles ``t`` of a set, told apart in its order by length and value: how many come before each, and ``SIGNS`` longs of parities.
+
+    A bit tells whether an odd number of the shingles after t fall on it, so two
+    sets' bits differ in at most as many places as the sets do after t.
+    """
+    order = np.lexsort((s, length))
+    rank = np.empty(len(s), np.int64)
+    rank[order] = np.arange(len(s))
+    pos = rank[np.searchsorted(s, t)]
+    by = np.argsort(pos)
+    bits = 64 * SIGNS
+    slot = (mix(s[order]) % _U(bits)).astype(np.int64)
+    seen = np.searchsorted(pos[by], np.arange(len(s)), side="left")  # how many of t come before a shingle
+    counts = np.bincount(seen * bits + slot, minlength=(len(t) + 1) * bits).reshape(-1, bits)[1:]
+    odd = np.empty((len(t), bits), np.uint8)
+    odd[by] = np.cumsum(counts[::-1], axis=0)[::-1] & 1
+    return pos, np.packbits(odd, axis=1).view(np.int64)
+
+
+def marked(m: DataFrame, sets: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Members (t, a) of long lists with n, ``pos``, how many shingles a has before t, and the parities ``s0``, ``s1``, ... of those after it."""
+    known = m.sparkSession.sparkContext.broadcast(heavy)
+    names = ["t", "a", "n", "pos", *SIGN_COLUMNS]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = []
+            for a, t, s in zip(*(batch.column(k) for k in range(3)), strict=True):
+                t, s = np.asarray(t.as_py(), np.int64), np.frombuffer(s.as_buffer(), _U)
+                pos, signs = parities(s, _lengths(s, known.value), t.view(_U))
+                held.append(np.column_stack([t, np.full(len(t), a.as_py(), np.int64), np.full(len(t), len(s), np.int64), pos, signs]))
+                if sum(map(len, held)) >= 20_000:
+                    yield pa.record_batch(list(map(pa.array, np.concatenate(held).T)), names)
+                    held = []
+            if held:
+                yield pa.record_batch(list(map(pa.array, np.concatenate(held).T)), names)
+
+    each = m.groupBy("a").agg(F.collect_list("t").alias("t"))  # at most the merged part of a
+    each = each.join(sets.select(F.col("cls").alias("a"), "s"), "a")
+    return map_arrow(each.select("a", "t", "s"), scan, ", ".join(f"{x} long" for x in names))
+
+
+def remaining_pairs(m: DataFrame, turn: int | None = None) -> DataFrame:
+    """Pairs (a, b) of ``marked`` members of a list that are ``apart`` and whose sets may reach T, this list being that of their first common shingle.
+
+    Of two components one at least is not its list's main one, so the join runs
+    between the members outside the main component (with a ``turn`` between some members
+    of each list and size band, others each turn) and all members. What stands
+    before the first common shingle is in one of the two sets only, and so is a
+    shingle after it for each parity that differs; linked sets differ in at
+    most n + m - 2T shingles. A linked pair is let through in its first common list, whatever later ones tell.
+    """
     band = F.floor(F.log("n") / F.log(F.lit(4 / 3)))  # sizes of linked sets lie in the same or in neighbouring bands
-    m = cut(m.join(main, ["t", "part"]).select("t", "a", "n", "pos", "c", "main", band.alias("band")))
+    m = m.withColumn("band", band)
     parts = cut(m.groupBy("t", "band").agg(F.ceil(F.count("*") / PART).alias("parts")))
-    few = m.where("c <> main").select("t", F.col("a").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("c").alias("d"), F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"))
+    if turn is None:
+        few = m.where("c <> main")
+    else:
+        dealt = F.pmod(F.xxhash64("a", "t", F.lit(turn)), F.lit(LEADERS << 2 * turn))
+        leaders = m.groupBy("t", "band", dealt.alias("k")).agg(F.min_by("a", F.xxhash64("t", "a", F.lit(turn))).alias("a"))
+        few = m.join(leaders.select("t", "a"), ["t", "a"], "left_semi")
+    other = {"a": "b", "n": "m", "pos": "at", "c": "d", **{x: f"o{x}" for x in SIGN_COLUMNS}}
+    few = few.select("t", *[F.col(x).alias(y) for x, y in other.items()], F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"))
     few = few.join(parts, ["t", "band"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
     m = m.join(parts, ["t", "band"]).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts"))).drop("parts")
     t = F.floor((3 * (F.col("n") + F.col("m")) + 6) / 7)
+    differ = F.col("pos") + F.col("at")
+    for x in SIGN_COLUMNS:
+        differ += F.bit_count(F.col(x).bitwiseXOR(F.col(f"o{x}")))
     good = (
         (F.col("c") != F.col("d"))
-        & ((F.col("c") == F.col("main")) | (F.col("a") < F.col("b")))
+        & (F.lit(turn is not None) | (F.col("c") == F.col("main")) | (F.col("a") < F.col("b")))
         & (4 * F.least("n", "m") >= 3 * F.greatest("n", "m"))
         & (F.col("n") - F.col("pos") >= t)
         & (F.col("m") - F.col("at") >= t)
+        & (differ <= F.col("n") + F.col("m") - 2 * t)
     )
     same = m.join(few, ["t", "band", "part"]).where(good)
     return same.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def joined_further(docs: DataFrame, keys: Keys, heavy: tuple[np.ndarray, np.ndarray], members: DataFrame, pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) of ``links`` and of those between ``members`` of long lists that are not among the probed ``pairs``.
+
+    Where lists hold many members outside their main component, turns of few leaders
+    come first, so that members who link with many are of one component before the rest is paired.
+    """
+
+    def named(found: DataFrame) -> DataFrame:
+        return found.select(F.col("node").alias("a"), "component")
+
+    found = cut(connected(links))
+    m = cut(apart(members, named(found)))
+    rows, work = comparisons(m)
+    if not rows:
+        return found
+    sets = cut(candidate_sets(docs, keys, cut(m.select(F.col("a").alias("cls")).distinct())))
+    signed = cut(marked(m, sets, heavy))
+    m = cut(apart(signed, named(found)))
+    for turn in range(TURNS):
+        if work <= EASY * rows:
+            break
+        more = cut(probed(cut(remaining_pairs(m, turn)), sets))
+        if more.isEmpty():
+            continue
+        links = links.union(more)
+        found = cut(connected(links))
+        m = cut(apart(signed, named(found)))
+        rows, work = comparisons(m)
+    more = cut(remaining_pairs(m).join(pairs, ["a", "b"], "left_anti"))
+    return found if more.isEmpty() else connected(links.union(probed(more, sets)))
+
+
 def grouped(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of every row with (n, grp): the size of its set and its group of linked texts (null without words).
 
@@ -533,15 +640,13 @@ def grouped(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     posted = classes.agg(F.sum(prefix_length_column("n"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-posted // BUCKET))
     heavy = heavy_lists(docs, keys, buckets)
-    lists = cut(merged_lists(docs, keys, buckets, heavy_lists(docs, keys, buckets, heavy)))
-    members = lists.where("kind = 1").select("t", "a", "n", "pos")
+    heavy = heavy_lists(docs, keys, buckets, heavy)
+    lists = cut(merged_lists(docs, keys, buckets, heavy))
+    members = lists.where("kind = 1").select("t", "a", "n")
     stars = lists.where("kind = 3").select("a", "b")
     pairs = cut(reaching(occurrences(lists), members).union(stars).union(_between_chunks(lists)).distinct())
     links = cut(probed(pairs, _sets_of(docs, keys, pairs)))
-    found = connected(links)
-    more = cut(remaining_pairs(members, found.select(F.col("node").alias("a"), "component")).join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        found = connected(links.union(probed(more, _sets_of(docs, keys, more))))
+    found = joined_further(docs, keys, heavy, members, pairs, links)
     named = rows.where("n > 0").withColumn("_node", keys.column()).join(found.withColumnRenamed("node", "_node"), "_node", "left")
     none = rows.where("n = 0").select(*keep, "n", F.lit(None).cast("long").alias("grp"))
     return named.select(*keep, "n", F.coalesce("component", "_node").alias("grp")).union(none)
