@@ -65,10 +65,10 @@ FILTER_BITS = 25
 #: Members of one long list and size band that are paired in one part, and the parts in which a list's members learn its main component.
 PART, DEALT = 4096, 16
 #: Longs of parities that a member of a long list has for its set beyond that list.
-SIGNS = 16
+SIGNS = 8
 SIGN_COLUMNS = [f"s{k}" for k in range(SIGNS)]
 #: Members that lead a list's size band in the first turn (four times as many in each later one), most turns, and comparisons by member that need none.
-LEADERS, TURNS, EASY = 16, 4, 16
+LEADERS, TURNS, EASY = 16, 4, 1024
 #: Most keys that may be shared by classes (some 300 are expected among 10^11 classes).
 SHARED = 1 << 20
 
